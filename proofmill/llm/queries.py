@@ -5,26 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from proofmill.llm import near_dup, rules
+from proofmill.llm import decontam, line_dedup, near_dup, packing, rules, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = rules.decide(rules.evaluate(_table(spark, sf_dir, "documents")))
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op5_packing": op5_packing,
+    "op7_token_counts": op7_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -72,4 +100,19 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.c as component_id, d.
 from documents d left join n on n.doc_id = d.doc_id join (select doc_id, min(c) as c from r group by doc_id) c on c.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_minhash_near_dedup": _OP2, "op9_quality_rules": _OP9}
+_OP10 = r"""
+with l as (
+  select doc_id, unnest(range(1, len(s) + 1)) as pos, unnest(s) as line, len(s) as n
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as s from documents)),
+k as (
+  select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+c as (
+  select key, max(doc_id) as owner from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+j as (
+  select k.*, c.owner is not null and c.owner <> k.doc_id as dropped from k left join c on c.key = k.key)
+select doc_id, any_value(n)::bigint as n_lines, count(*) filter (dropped) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
+from j group by doc_id
+"""
+
+ORACLES: dict[str, str] = {"op10_line_dedup": _OP10, "op2_minhash_near_dedup": _OP2, "op9_quality_rules": _OP9}
