@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,14 @@ def release(spark: SparkSession, keep: int = 0) -> None:
     del paths[: len(paths) - keep]
 
 
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches, and this package's folder for Python workers that were started elsewhere."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(4 * BATCH_ROWS))
+    root, paths = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``f`` over Arrow batches of bounded size. ``f`` may give None for a batch without output."""
 
@@ -55,7 +65,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
                 if out is not None and out.num_rows:
                     yield out
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(4 * BATCH_ROWS))
+    prepare(df.sparkSession)
     return df.mapInArrow(over, schema)
 
 
@@ -108,10 +118,10 @@ _ODD = np.random.default_rng(20240611).integers(0, 2**63, size=N_HASHES, dtype=n
 _ADD = np.random.default_rng(20240612).integers(0, 2**63, size=N_HASHES, dtype=np.uint64)
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    """MinHash of a non-empty set: 96 32-bit minima, little-endian."""
+def signature(shingles: np.ndarray, hashes: int = N_HASHES) -> bytes:
+    """MinHash of a non-empty set: so many 32-bit minima, little-endian."""
     low = None
     for at in range(0, len(shingles), 2048):
-        part = ((shingles[at : at + 2048][None, :] * _ODD[:, None] + _ADD[:, None]) >> np.uint64(32)).min(axis=1)
+        part = ((shingles[at : at + 2048][None, :] * _ODD[:hashes, None] + _ADD[:hashes, None]) >> np.uint64(32)).min(axis=1)
         low = part if low is None else np.minimum(low, part)
     return low.astype("<u4").tobytes()

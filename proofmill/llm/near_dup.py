@@ -74,11 +74,12 @@ def shingles(units: DataFrame, width: int) -> DataFrame:
     return map_batches(units, one, "uid long, grams binary")
 
 
-def buckets(reps: DataFrame) -> DataFrame:
+def buckets(reps: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(uid, sig) to (bucket, uid, size) for bands that more than one unit falls into."""
-    bands = reps.select("uid", F.explode(F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {1 + 4 * ROWS * i}, {4 * ROWS})")) for i in range(BANDS)])).alias("bucket"))
-    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return bands.join(sizes, "bucket")
+    hashed = [F.xxhash64(F.lit(i), F.expr(f"substring(sig, {1 + 4 * rows * i}, {4 * rows})")) for i in range(bands)]
+    banded = reps.select("uid", F.explode(F.array(*hashed)).alias("bucket"))
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return banded.join(sizes, "bucket")
 
 
 def _prune(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -115,12 +116,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(rows, one, "a long, b long")
 
 
-def link(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80) -> DataFrame:
+def link(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80, bands: int = BANDS, rows: int = ROWS, sequential: bool = True) -> DataFrame:
     """(uid, label) for every unit with a link: label is the smallest uid of its component.
 
-    reps: (uid, n, sig), one row per different set. sets_of: from a frame of uids to their (uid, grams).
+    reps: (uid, n, sig), one row per different set. sets_of: from a frame of uids to their (uid, grams). Without
+    ``sequential`` candidates go straight to the exact verification.
     """
-    members = stage(buckets(reps), "buckets")
+    members = stage(buckets(reps, bands, rows), "buckets")
     weight = members.groupBy("uid").agg(F.sum("size").alias("weight"))
     sets = stage(sets_of(weight.select("uid")), "sets")
     members = stage(members.join(weight, "uid").select("bucket", "uid", "weight", "size"), "members")
@@ -135,7 +137,8 @@ def link(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: in
             partner = rest.groupBy("bucket").agg(F.max_by(F.struct("uid", "label"), order).alias("h")).select("bucket", F.col("h.uid").alias("other"), F.col("h.label").alias("other_label"))
             pairs = rest.join(partner, "bucket").where("label <> other_label")
         pairs = stage(pairs.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct(), "pairs")
-        found.append(stage(_confirm(stage(_prune(pairs, reps, percent), "survivors"), sets, percent), "links"))
+        survivors = stage(_prune(pairs, reps, percent), "survivors") if sequential else pairs
+        found.append(stage(_confirm(survivors, sets, percent), "links"))
         labels = connected_components(reduce(DataFrame.unionAll, found))
         if last:
             break

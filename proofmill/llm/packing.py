@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import BATCH_ROWS, map_batches, stage
+from proofmill.llm.common import BATCH_ROWS, map_batches, prepare, stage
 
 SIZE = 1024
 #: How a byte-level BPE of this kind splits its pre-tokens (a fixed value).
@@ -126,7 +126,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> DataFrame
                 local = int(before[-1])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(ids), pa.int64()), pa.array(before[:-1], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "part", "local", "n", "ids"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(4 * BATCH_ROWS))
+    prepare(docs.sparkSession)
     return docs.mapInArrow(over, "doc_id long, part long, local long, n long, ids binary")
 
 
