@@ -55,13 +55,13 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """``f`` over Arrow batches of bounded size. ``f`` may give None for a batch without output."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                out = f(batch.slice(at, BATCH_ROWS))
+            for at in range(0, batch.num_rows, rows):
+                out = f(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
 

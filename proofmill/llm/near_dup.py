@@ -6,9 +6,11 @@ probability of a similarity of 0.8 or more, from a uniform prior, is under ``MIS
 full sets, so links are exact; only misses are left to chance.
 
 A bucket of m documents is not expanded into m^2 pairs. The member that collides most often is the bucket's hub and
-all others are compared with it. Buckets whose members then are in one component are done. What is left open goes
-through further rounds with other hubs, and at last every pair of members in different components is compared, so
-no link between components is lost.
+all others are compared with it. Buckets whose members then are in one component are done; what is left open meets one
+more hub each. For the rest an exact way follows: two sets of that similarity share one of the rarest shingles of each,
+those that are left when all but one of the needed common shingles are taken away. Documents of open buckets are joined
+on these prefixes, and pairs in different components are compared, so no link between components is lost. Copies that
+differ in too many places have prefixes that no one shares, and meet no one.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm.common import N_HASHES, map_batches, shingle_set, signature, stage, utf8
 from proofmill.llm.graph import connected_components
 
-BANDS, ROWS, STEP, MISS, ROUNDS = 24, 4, 16, 1e-6, 4
+BANDS, ROWS, STEP, MISS, ROUNDS = 24, 4, 16, 1e-6, 2
 
 
 def fewest_matches(percent: int, miss: float = MISS) -> list[tuple[int, int]]:
@@ -116,6 +118,23 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(rows, one, "a long, b long")
 
 
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(uid, grams, label) to (uid, label, n, gram): the rarest n - ceil(n * percent / 100) + 1 shingles of each set, without
+    those that no other set has."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        grams = [np.frombuffer(g, np.int64) for g in batch.column(1).to_pylist()]
+        sizes = np.array([len(g) for g in grams])
+        columns = [np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(2).to_numpy(), sizes), np.repeat(sizes, sizes), np.concatenate(grams)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["uid", "label", "n", "gram"])
+
+    each = map_batches(sets.select("uid", "grams", "label"), one, "uid long, label long, n long, gram long", rows=64)
+    shared = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("uid")
+    ranked = each.join(shared, "gram").withColumns({"r": F.row_number().over(own.orderBy("df", "gram")), "k": F.count(F.lit(1)).over(own)})
+    return ranked.where(f"r <= n - (n * {percent} + 99) div 100 + 1 - (n - k)").select("uid", "label", "n", "gram")
+
+
 def link(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80, bands: int = BANDS, rows: int = ROWS, sequential: bool = True) -> DataFrame:
     """(uid, label) for every unit with a link: label is the smallest uid of its component.
 
@@ -127,30 +146,29 @@ def link(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: in
     sets = stage(sets_of(weight.select("uid")), "sets")
     members = stage(members.join(weight, "uid").select("bucket", "uid", "weight", "size"), "members")
     rest = members.select("bucket", "uid", "weight", F.col("uid").alias("label"))
-    found, labels, last = [], None, False
-    for turn in range(ROUNDS + 1):
-        if last := last or turn == ROUNDS:
-            partner = rest.select("bucket", F.col("uid").alias("other"), F.col("label").alias("other_label"))
-            pairs = rest.join(partner, "bucket").where("label < other_label")
-        else:
-            order = F.struct("weight", (-F.col("uid")).alias("tie")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "uid").alias("weight"), F.col("uid").alias("tie"))
-            partner = rest.groupBy("bucket").agg(F.max_by(F.struct("uid", "label"), order).alias("h")).select("bucket", F.col("h.uid").alias("other"), F.col("h.label").alias("other_label"))
-            pairs = rest.join(partner, "bucket").where("label <> other_label")
+    found, labels = [], None
+
+    def compare(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct(), "pairs")
         survivors = stage(_prune(pairs, reps, percent), "survivors") if sequential else pairs
         found.append(stage(_confirm(survivors, sets, percent), "links"))
-        labels = connected_components(reduce(DataFrame.unionAll, found))
-        if last:
-            break
+        return connected_components(reduce(DataFrame.unionAll, found))
+
+    for turn in range(ROUNDS):
+        order = F.struct("weight", (-F.col("uid")).alias("tie")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "uid").alias("weight"), F.col("uid").alias("tie"))
+        hub = rest.groupBy("bucket").agg(F.max_by(F.struct("uid", "label"), order).alias("h")).select("bucket", F.col("h.uid").alias("other"), F.col("h.label").alias("other_label"))
+        labels = compare(rest.join(hub, "bucket").where("label <> other_label"))
         rest = members.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("bucket", "uid", "weight", F.coalesce("label", "uid").alias("label"))
-        per_label = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-        still = per_label.groupBy("bucket").agg(F.expr("sum(k) * sum(k) - sum(k * k)").alias("left")).where("left > 0")
-        still = stage(still, "open")
-        left = still.agg(F.sum("left")).first()[0]
-        if not left:
+        still = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        rest = stage(rest.join(still, "bucket"), "rest")
+        if rest.isEmpty():
             break
-        rest = stage(rest.join(still.select("bucket"), "bucket"), "rest")
-        last = left <= 2 * members.count()
+    else:
+        open_ = rest.groupBy("uid").agg(F.first("label").alias("label"))
+        rare = stage(prefixes(sets.join(open_, "uid"), percent), "prefixes")
+        other = rare.select("gram", F.col("uid").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"))
+        fits = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
+        labels = compare(rare.join(other, "gram").where((F.col("label") < F.col("other_label")) & fits))
     return labels.select(F.col("node").alias("uid"), "label")
 
 

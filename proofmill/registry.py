@@ -1,4 +1,6 @@
 """All queries of the library by name, and their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from proofmill.plans import records, texts
+
+QUERIES = records.QUERIES | texts.QUERIES
+ORACLES = records.ORACLES | texts.ORACLES
