@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,11 +23,22 @@ def compact(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, "(?U)\\s+", ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. What a lambda refers to by its expression is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def char_ngrams(text: Column, size: int = 5) -> Column:
     """The set of character n-grams; a text of ``size`` characters or fewer is its own only one; an empty text has none."""
-    chars = F.split(text, "")
-    window = F.transform(F.slice(chars, 1, F.greatest(F.size(chars) - (size - 1), F.lit(0))), lambda _, i: F.concat(*[F.get(chars, i + k) for k in range(size)]))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= size, F.array(text)).otherwise(F.array_distinct(window))
+
+    def windows(chars: Column) -> Column:
+        starts = F.slice(chars, 1, F.greatest(F.size(chars) - (size - 1), F.lit(0)))
+        return F.array_distinct(F.transform(starts, lambda _, i: F.concat(*[F.get(chars, i + k) for k in range(size)])))
+
+    def of(t: Column) -> Column:
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) <= size, F.array(t)).otherwise(let(F.split(t, ""), windows))
+
+    return let(text, of)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.functions.text import char_ngrams, normalized, phrase_hits, sentences
+from proofmill.functions.text import char_ngrams, let, normalized, phrase_hits, sentences
 
 THRESHOLD = 0.65
 #: Weights of the risk's factors and the phrases that it counts (fixed values).
@@ -114,19 +114,24 @@ def similarity_rate(docs: DataFrame, corpus: DataFrame, threshold: float = THRES
 def risk_factors(text: Column, rate: Column) -> dict[str, Column]:
     """The four factors, to 5 places; native functions in one projection."""
     parts = F.filter(F.transform(F.split(text, "\n"), normalized), lambda x: F.length(x) > 0)
-    count = F.size(parts)
-    repeated = F.when(count > 0, (count - F.size(F.array_distinct(parts))) / count * 100).otherwise(0.0)
-    lengths = F.transform(sentences(text), lambda s: F.length(s).cast("double"))
-    n = F.size(lengths)
+    repeated = let(parts, lambda p: F.when(F.size(p) > 0, (F.size(p) - F.size(F.array_distinct(p))) / F.size(p) * 100).otherwise(0.0))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    mean = F.when(n > 0, total(lengths) / n).otherwise(0.0)
-    spread = F.when(n > 0, total(F.transform(lengths, lambda x: (x - mean) * (x - mean))) / n).otherwise(0.0)
-    coefficient = F.when(mean > 0, F.sqrt(spread) / mean).otherwise(1.0)
+
+    def variation(lengths: Column) -> Column:
+        n = F.size(lengths)
+
+        def of(mean: Column) -> Column:
+            spread = total(F.transform(lengths, lambda x: (x - mean) * (x - mean))) / n
+            coefficient = F.when(mean > 0, F.sqrt(spread) / mean).otherwise(1.0)
+            return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - coefficient) * 100)), 5)
+
+        return F.when(n > 1, let(total(lengths) / n, of)).otherwise(0.0)
+
     size = F.greatest(F.length(normalized(text)), F.lit(1))
     hundred = lambda x: F.round(F.least(F.lit(100.0), x), 5)
     return {
         "paragraph_duplication_rate": hundred(rate * 100 + repeated),
-        "sentence_length_low_variation": F.when(n > 1, F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - coefficient) * 100)), 5)).otherwise(0.0),
+        "sentence_length_low_variation": let(F.transform(sentences(text), lambda s: F.length(s).cast("double")), variation),
         "template_connector_density": hundred(phrase_hits(text, TEMPLATE_CONNECTORS) / size * 900),
         "vague_phrase_density": hundred(phrase_hits(text, VAGUE_PHRASES) / size * 1200),
     }

@@ -40,7 +40,7 @@ def _paragraphs(name: str, source: str, key: str) -> str:
 _SETS = f"""{_paragraphs("dp", "documents", "doc_id")}, {_paragraphs("bp", "benchmark", "item_id")},
 dg as (select id, ord, s, e, unnest(g) as gram, len(g) as n from (select *, {_grams("t")} as g from (select *, {_norm("body")} as t from dp))),
 bg as (select id, ord, s, e, unnest(g) as gram, len(g) as n from (select *, {_grams("t")} as g from (select *, {_norm("body")} as t from bp))),
-pp as (select dg.id as doc_id, dg.ord, dg.s as "start", dg.e as "end", bg.id as sample_id, bg.ord as so, bg.s as sample_start, bg.e as sample_end, count(*) / (dg.n + bg.n - count(*)) as score from dg join bg on bg.gram = dg.gram group by all),
+pp as (select dg.id as doc_id, dg.ord, dg.s as "start", dg.e as "end", bg.id as sample_id, bg.ord as so, bg.s as sample_start, bg.e as sample_end, count(*) / (dg.n + bg.n - count(*)) as score from dg join bg on bg.gram = dg.gram group by dg.id, dg.ord, dg.s, dg.e, bg.id, bg.ord, bg.s, bg.e, dg.n, bg.n),
 pp2 as (select doc_id, ord, "start", "end", sample_id, so, sample_start, sample_end, score from pp),
 best as (select * exclude (so, k) from (select *, row_number() over (partition by doc_id, ord, sample_id order by score desc, so) as k from pp2 where score >= {THRESHOLD}) where k = 1),
 dw as (select doc_id, unnest(g) as gram, len(g) as n from (select doc_id, {_grams("t")} as g from (select doc_id, {_norm("text")} as t from documents))),
@@ -91,11 +91,16 @@ def _hits(phrases: list[str]) -> str:
     return " + ".join(f"(length(low) - length(replace(low, '{p}', ''))) // {len(p)}" for p in phrases)
 
 
+def _to3(x: str) -> str:
+    """Half up in decimals, as Spark rounds a double."""
+    return f"round(({x})::varchar::decimal(24, 12), 3)::double"
+
+
 _RISK = rf"""with b as (select doc_id, text, lower(text) as low, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_norm("x")}), lambda x: length(x) > 0) as p, list_transform(list_filter(list_transform(regexp_split_to_array(text, '[。！？.!?；;\n]+'), lambda x: {_norm("x")}), lambda x: length(x) > 0), lambda x: length(x)::double) as l, greatest(length({_norm("text")}), 1) as size from documents),
 f as (select doc_id, round(least(100.0, case when len(p) > 0 then (len(p) - len(list_distinct(p)))::double / len(p) * 100 else 0 end), 5) as a,
   case when len(l) > 1 then round(greatest(0.0, least(100.0, (1 - (case when list_avg(l) > 0 then list_stddev_pop(l) / list_avg(l) else 1 end)) * 100)), 5) else 0.0 end as b,
   round(least(100.0, ({_hits(similarity.TEMPLATE_CONNECTORS)})::double / size * 900), 5) as c, round(least(100.0, ({_hits(similarity.VAGUE_PHRASES)})::double / size * 1200), 5) as d from b)
-select doc_id, round(a, 3) as paragraph_duplication_rate, round(b, 3) as sentence_length_low_variation, c as template_connector_density, d as vague_phrase_density, round(a * 0.35 + b * 0.25 + c * 0.2 + d * 0.2, 3) as risk_score from f"""
+select doc_id, {_to3('a')} as paragraph_duplication_rate, {_to3('b')} as sentence_length_low_variation, c as template_connector_density, d as vague_phrase_density, {_to3('round((a * 0.35 + b * 0.25 + c * 0.2 + d * 0.2)::varchar::decimal(24, 12), 5)')} as risk_score from f"""
 
 
 @query(_RISK)
