@@ -115,5 +115,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = repeated_passages(docs, id_col, text_col).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cut"))
     step = "named_struct('at', greatest(a.at, cast(x.end as int)), 'out', if(x.start > a.at, concat(a.out, substring(_t, a.at + 1, cast(x.start as int) - a.at)), a.out))"
     rest = f"aggregate(_cut, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(_t, a.at + 1)))"
-    joined = docs.join(gone, docs[id_col] == gone["_id"], "left").withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
-    return joined.withColumn(text_col, F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.expr(rest))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
+    joined = rows.join(gone, F.col("_doc") == F.col("_id"), "left")
+    text = F.when(F.col("_cut").isNull(), F.col(f"_row.`{text_col}`")).otherwise(F.expr(rest))
+    return joined.select(*[(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
