@@ -114,14 +114,18 @@ def shingle_set(words: list[bytes], width: int) -> np.ndarray:
 
 
 N_HASHES = 96
-_ODD = np.random.default_rng(20240611).integers(0, 2**63, size=N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = np.random.default_rng(20240612).integers(0, 2**63, size=N_HASHES, dtype=np.uint64)
+_ODD = np.random.default_rng(20240611).integers(0, 2**32, size=(N_HASHES, 1), dtype=np.uint32) | np.uint32(1)
+_ADD = np.random.default_rng(20240612).integers(0, 2**32, size=(N_HASHES, 1), dtype=np.uint32)
+#: Shingles hashed at once: the block of their hashes stays in the processor's cache.
+_BLOCK = 1024
 
 
 def signature(shingles: np.ndarray, hashes: int = N_HASHES) -> bytes:
     """MinHash of a non-empty set: so many 32-bit minima, little-endian."""
-    low = None
-    for at in range(0, len(shingles), 2048):
-        part = ((shingles[at : at + 2048][None, :] * _ODD[:hashes, None] + _ADD[:hashes, None]) >> np.uint64(32)).min(axis=1)
-        low = part if low is None else np.minimum(low, part)
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    low = np.full(hashes, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(high), _BLOCK):
+        hashed = high[at : at + _BLOCK] * _ODD[:hashes]
+        hashed += _ADD[:hashes]
+        np.minimum(low, hashed.min(axis=1), out=low)
     return low.astype("<u4").tobytes()
