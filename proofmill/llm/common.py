@@ -37,14 +37,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete staged tables but the last ``keep``; call it once the results made from them are written."""
+def staged(spark: SparkSession) -> int:
+    """How many staged tables there are."""
+    return len(_staged.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, keep: int = 0, since: int = 0) -> None:
+    """Delete staged tables but the first ``since`` and the last ``keep``; call it once the results made from them are written."""
     paths = _staged.get(spark.sparkContext.applicationId, [])
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths[: len(paths) - keep]:
+    for path in paths[since : len(paths) - keep]:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-    del paths[: len(paths) - keep]
+    del paths[since : len(paths) - keep]
 
 
 def prepare(spark: SparkSession) -> None:

@@ -3,9 +3,12 @@
 A paragraph is a line of ``PARAGRAPH_WORDS`` words or more. Paragraphs with the same words are one unit; units are
 banded with 12 bands of 3 minima, which lose a pair at the threshold with probability 2e-4, and colliding ones are
 verified by the exact Jaccard similarity of their sets of five-word shingles. Components of the links are the clusters.
-A passage that sits inside a longer paragraph, or takes several short ones, does not show there. So sentences of
-``SENTENCE_WORDS`` words or more that stand in two documents are joined too, and neighbours in a document that make
-``RUN_WORDS`` words together are a repeated run. Of each cluster the smallest document keeps its passage.
+A passage that sits inside a longer paragraph, or takes several short ones, does not show there. So every window of
+``RUN_WORDS`` words that stands word for word in two documents is found too, wherever it begins or ends: windows go
+under the least hash of their ``GRAM_WORDS`` words in a row, those of one such gram in a row as one stretch, and where
+stretches of a gram differ the windows are compared one by one. Sentences of ``SENTENCE_WORDS`` words or more that
+stand in two documents count as well where neighbours make ``RUN_WORDS`` words together. Both are joined into runs. Of
+each cluster the smallest document keeps its passage.
 """
 
 from __future__ import annotations
@@ -13,18 +16,24 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import BATCH_ROWS, prepare, shingle_set, signature, stage
+from proofmill.llm.common import BATCH_ROWS, _mix, map_batches, prepare, release, shingle_set, signature, stage, staged, utf8
+from proofmill.llm.common import _words as _memo
 from proofmill.llm.near_dup import link
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 80, 12, 3
-PARAGRAPH_WORDS, SENTENCE_WORDS, RUN_WORDS = 45, 4, 40
+PARAGRAPH_WORDS, SENTENCE_WORDS, RUN_WORDS, GRAM_WORDS = 45, 4, 40, 20
 _LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r")).astype(np.int8)
+_MARK = np.isin(np.arange(256), list(b".!?"))
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_RUN = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "end", "words", "component_id")] + [("kept", pa.bool_())])
 
 
 def _units(docs: DataFrame, pattern: re.Pattern, least: int, of_words, schema: str) -> DataFrame:  # noqa: ANN001
@@ -60,10 +69,6 @@ def _grams(words: list[bytes]) -> tuple[bytes]:
     return (shingle_set(words, WIDTH).tobytes(),)
 
 
-def _hash(words: list[bytes]) -> tuple[int]:
-    return (xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63),)
-
-
 _PLACE = "doc_id long, ord long, start long, end long, words long"
 
 
@@ -86,16 +91,152 @@ def paragraph_clusters(docs: DataFrame, least: int = PARAGRAPH_WORDS, percent: i
     return found.select("doc_id", "start", "end", "words", "key").join(repeated, "key").select("doc_id", "start", "end", "words", F.col("lo").alias("component_id"), (F.col("doc_id") == F.col("lo")).alias("kept"))
 
 
-def sentence_runs(docs: DataFrame, least: int = SENTENCE_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """(doc_id, start, end, words, component_id, kept) for runs of sentences that other documents have as well."""
-    found = stage(_units(docs, _SENTENCE, least, _hash, f"{_PLACE}, h long"), "sentences")
-    common = found.groupBy("h", "words").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "words", "lo")
-    hits = found.join(common, ["h", "words"]).select("doc_id", "ord", "start", "end", "words", "lo")
-    # Sentences next to each other have the same difference of place and rank. Repeated rows of a document fall together.
-    hits = hits.groupBy("doc_id", "ord").agg(*[F.first(c).alias(c) for c in ("start", "end", "words", "lo")])
-    island = hits.withColumn("island", F.col("ord") - F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")))
-    runs = island.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("lo").alias("component_id"), F.bool_or(F.col("lo") == F.col("doc_id")).alias("kept"))
-    return runs.where(F.col("words") >= run_words).select("doc_id", "start", "end", "words", "component_id", "kept")
+def _words(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of all words of the texts in a row: hash, text it stands in, start, end, whether a sentence begins with it; and the
+    first word of each text. A sentence ends with a word that has a mark in it, or with its line."""
+    whole = b"".join(t + b"\n" for t in texts).lower()
+    raw = np.frombuffer(whole, np.uint8)
+    edge = np.diff(_SPACE[raw], prepend=np.int8(1))
+    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    hashes = np.fromiter(map(_memo.__getitem__, whole.split()), np.uint64, len(first))
+    begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+    inner = np.flatnonzero((raw & 0xC0) == 0x80)
+    points = (lambda x: x - np.searchsorted(inner, x)) if len(inner) else (lambda x: x)
+    row = np.searchsorted(begins, first, side="right") - 1
+    base = points(begins)[row]
+    fresh = np.zeros(len(first) + 1, bool)
+    fresh[0] = True
+    fresh[np.searchsorted(first, np.flatnonzero(raw == 10))] = True
+    fresh[np.searchsorted(first, np.flatnonzero(_MARK[raw]), side="right")] = True
+    return hashes, row, points(first) - base, points(last) - base, fresh[:-1], np.searchsorted(row, np.arange(len(texts)))
+
+
+class _Windows:
+    """The windows of ``width`` words of some texts, cut into stretches whose windows have the same rarest gram.
+
+    The rarest gram is the one of least hash of all the ``gram`` words in a row that a window has, so equal windows have
+    the same one wherever they stand. A window's number is that of its first word.
+    """
+
+    def __init__(self, words: tuple[np.ndarray, ...], width: int, gram: int) -> None:
+        hashes, row = words[0], words[1]
+        n, empty = len(hashes), np.empty(0, np.int64)
+        self.head, self.tail, self.low = empty, empty, np.empty(0, np.uint64)
+        power = np.multiply.accumulate(np.full(n, _BASE, np.uint64))
+        self._back = np.multiply.accumulate(np.full(n, _INVERSE, np.uint64))
+        self._sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power, dtype=np.uint64)))
+        if n < width:
+            return
+        low, step, span = self.hash_of(np.arange(n - gram + 1), gram), 1, width - gram + 1
+        while 2 * step <= span:
+            low, step = np.minimum(low[:-step], low[step:]), 2 * step
+        if step < span:
+            low = np.minimum(low[: step - span], low[span - step :])
+        whole = row[: n - width + 1] == row[width - 1 :]
+        joined = whole[1:] & whole[:-1] & (low[1:] == low[:-1])
+        self.head = np.flatnonzero(whole & np.concatenate(([True], ~joined)))
+        self.tail = np.flatnonzero(whole & np.concatenate((~joined, [True])))
+        self.low = low[self.head]
+
+    def hash_of(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Hashes of ``n`` words from each place on."""
+        return _mix((self._sums[at + n] - self._sums[at]) * self._back[at])
+
+
+def _passages(docs: DataFrame, least: int, run_words: int, gram: int) -> DataFrame:
+    """A row per sentence (ord is its rank) and per stretch of windows (ord is -1): the words from a to b, key and content.
+    Equal sentences and equal windows have equal keys; the content of a stretch tells it from others of its key."""
+    schema = "doc_id long, ord int, a int, b int, start int, end int, key long, content int"
+    names, types = zip(*[x.split() for x in schema.split(", ")], strict=True)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = _words(utf8(batch.column(1)))
+        _, row, start, end, fresh, before = words
+        w = _Windows(words, run_words, gram)
+        at = np.flatnonzero(fresh)
+        to = np.append(at[1:], len(row))[: len(at)]
+        long_ = to - at >= least
+        at, to = at[long_], to[long_]
+        rank = np.arange(len(at)) - np.searchsorted(row[at], row[at])
+        a, b = np.concatenate((at, w.head)), np.concatenate((to, w.tail + run_words))
+        key, r = w.hash_of(a, b - a), row[a]
+        content = key.astype(np.uint32).view(np.int32)
+        content[: len(at)] = 0
+        key = np.concatenate((_mix(key[: len(at)] + (to - at).astype(np.uint64)), w.low))
+        columns = [batch.column(0).to_numpy(zero_copy_only=False)[r], np.concatenate((rank, np.full(len(w.head), -1))), a - before[r], b - before[r], start[a], end[b - 1], key.view(np.int64), content]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if t == "long" else np.int32)) for c, t in zip(columns, types, strict=True)], list(names))
+
+    return map_batches(docs, one, schema, rows=BATCH_ROWS // 4)
+
+
+def _single_windows(docs: DataFrame, run_words: int, gram: int) -> DataFrame:
+    """(doc_id, text, at) to (doc_id, a, start, end, key): the windows of the stretches that begin at the words ``at``."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        words = _words(utf8(batch.column(1)))
+        _, row, start, end, _, before = words
+        w = _Windows(words, run_words, gram)
+        wanted = [np.asarray(x, np.int64) + before[r] for r, x in enumerate(batch.column(2).to_pylist())]
+        open_ = np.isin(w.head, np.concatenate(wanted)) if wanted else np.zeros(0, bool)
+        head, size = w.head[open_], (w.tail - w.head + 1)[open_]
+        if not len(head):
+            return None
+        at = np.repeat(head - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        r = row[at]
+        columns = [batch.column(0).take(pa.array(r)), *[pa.array(x.astype(np.int32)) for x in (at - before[r], start[at], end[at + run_words - 1])], pa.array(w.hash_of(at, run_words).view(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "a", "start", "end", "key"])
+
+    return map_batches(docs.select("doc_id", "text", "at"), one, "doc_id long, a int, start int, end int, key long", rows=BATCH_ROWS // 4)
+
+
+def _joined(spans: list[tuple[int, int, int, int, int]]) -> list[list[int]]:
+    """Spans (a, b, start, end, lo) that overlap or touch as one, in order; lo is the smallest."""
+    out: list[list[int]] = []
+    for a, b, start, end, lo in sorted(spans):
+        if out and a <= out[-1][1]:
+            last = out[-1]
+            last[1], last[3], last[4] = max(last[1], b), max(last[3], end), min(last[4], lo)
+        else:
+            out.append([a, b, start, end, lo])
+    return out
+
+
+def runs_of(doc: int, spans: list[dict], run_words: int) -> list[tuple[int, int, int, int, bool]]:
+    """(start, end, words, component_id, kept) of the runs. Sentences count where neighbours make ``run_words`` together, whoever holds them."""
+    shared = [(x["a"], x["b"], x["start"], x["end"], x["lo"]) for x in spans if x["ord"] < 0]
+    island: list[dict] = []
+    for x in [*sorted((x for x in spans if x["ord"] >= 0), key=lambda x: (x["ord"], x["start"])), None]:
+        if x is not None and island and x["ord"] == island[-1]["ord"]:
+            continue
+        if x is None or island and x["ord"] != island[-1]["ord"] + 1:
+            if sum(y["b"] - y["a"] for y in island) >= run_words:
+                shared += [(y["a"], y["b"], y["start"], y["end"], y["lo"]) for y in island]
+            island = []
+        island.append(x)
+    own = [x for x in shared if x[4] == doc]
+    return [(start, end, b - a, lo, any(a <= x[0] < b for x in own)) for a, b, start, end, lo in _joined(shared)]
+
+
+def passage_runs(docs: DataFrame, least: int = SENTENCE_WORDS, run_words: int = RUN_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
+    """(doc_id, start, end, words, component_id, kept) for windows and runs of sentences that other documents have as well."""
+    since = staged(docs.sparkSession)
+    found = stage(_passages(docs, least, run_words, gram), "passages")
+    per_key = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("content") < F.max("content")).alias("mixed")).where("lo < hi")
+    hits = stage(found.join(per_key, "key").select("doc_id", "ord", "a", "b", "start", "end", "lo", F.expr("mixed and ord < 0").alias("mixed")), "passage_hits")
+    release(docs.sparkSession, keep=1, since=since)
+    # Stretches of one key that differ share some windows and not others, so these are told apart one by one.
+    mixed = hits.where("mixed").groupBy("doc_id").agg(F.collect_set("a").alias("at"))
+    each = stage(_single_windows(docs.join(mixed, "doc_id"), run_words, gram), "windows")
+    common = each.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo")
+    singles = each.join(common, "key").selectExpr("doc_id", "-1 as ord", "a", f"a + {run_words} as b", "start", "end", "lo")
+    spans = hits.where("not mixed").drop("mixed").unionByName(singles)
+    per_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("ord", "a", "b", "start", "end", "lo")).alias("spans"))
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        rows = [(doc, *x) for doc, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in runs_of(doc, own, run_words)]
+        return pa.RecordBatch.from_pylist([dict(zip(_RUN.names, x, strict=True)) for x in rows], _RUN) if rows else None
+
+    return map_batches(per_doc, one, "doc_id long, start long, end long, words long, component_id long, kept boolean", rows=BATCH_ROWS // 4)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,15 +247,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     empty texts and rows without an id have none; rows that repeat an id are one document. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    one, two = paragraph_clusters(rows), sentence_runs(rows)
+    since = staged(docs.sparkSession)
+    one = stage(paragraph_clusters(rows), "clusters")
+    release(docs.sparkSession, keep=1, since=since)  # disk for the second part
+    two = passage_runs(rows)
     return one.withColumn("kind", F.lit("paragraph")).unionByName(two.withColumn("kind", F.lit("run"))).select("doc_id", "kind", "start", "end", "words", "component_id", "kept")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without the passages that their clusters' smallest documents keep; all columns stay."""
+    """The rows of ``docs`` without the passages that their clusters' smallest documents keep; all columns stay.
+    Fewer than ``SENTENCE_WORDS`` words of a line that a run begins or ends with stay with the rest of their line."""
     gone = repeated_passages(docs, id_col, text_col).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cut"))
+    # A run may take the first or last words of a line by chance; fewer than make a sentence don't leave their line.
+    few = f"regexp_count({{0}}, '[^\\\\s]+') < {SENTENCE_WORDS} and length({{0}}) < x.end - x.start"
+    head, tail = (f"substring_index(substring(_t, cast(x.start as int) + 1, cast(x.end - x.start as int)), '\\n', {i})" for i in (1, -1))
+    start = f"if(x.start > 0 and substring(_t, cast(x.start as int), 1) <> '\\n' and {few.format(head)}, x.start + length({head}), x.start)"
+    end = f"if(substring(_t, cast(x.end as int) + 1, 1) not in ('', '\\n') and {few.format(tail)}, x.end - length({tail}), x.end)"
+    cuts = f"array_sort(transform(_cut, x -> named_struct('start', {start}, 'end', {end})))"
     step = "named_struct('at', greatest(a.at, cast(x.end as int)), 'out', if(x.start > a.at, concat(a.out, substring(_t, a.at + 1, cast(x.start as int) - a.at)), a.out))"
-    rest = f"aggregate(_cut, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(_t, a.at + 1)))"
+    rest = f"aggregate({cuts}, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(_t, a.at + 1)))"
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
     joined = rows.join(gone, F.col("_doc") == F.col("_id"), "left")
     text = F.when(F.col("_cut").isNull(), F.col(f"_row.`{text_col}`")).otherwise(F.expr(rest))
