@@ -8,7 +8,7 @@ A passage that sits inside a longer paragraph, or takes several short ones, does
 under the least hash of their ``GRAM_WORDS`` words in a row, those of one such gram in a row as one stretch, and where
 stretches of a gram differ the windows are compared one by one. Sentences of ``SENTENCE_WORDS`` words or more that
 stand in two documents count as well where neighbours make ``RUN_WORDS`` words together. Both are joined into runs. Of
-each cluster the smallest document keeps its passage.
+each cluster the smallest document keeps its passage; in runs this is decided for each window and sentence by itself.
 """
 
 from __future__ import annotations
@@ -202,7 +202,8 @@ def _joined(spans: list[tuple[int, int, int, int, int]]) -> list[list[int]]:
 
 
 def runs_of(doc: int, spans: list[dict], run_words: int) -> list[tuple[int, int, int, int, bool]]:
-    """(start, end, words, component_id, kept) of the runs. Sentences count where neighbours make ``run_words`` together, whoever holds them."""
+    """(start, end, words, component_id, kept): what earlier documents hold as runs to go, and the rest of what is shared
+    as runs that stay. Sentences count where neighbours make ``run_words`` together, whoever holds them."""
     shared = [(x["a"], x["b"], x["start"], x["end"], x["lo"]) for x in spans if x["ord"] < 0]
     island: list[dict] = []
     for x in [*sorted((x for x in spans if x["ord"] >= 0), key=lambda x: (x["ord"], x["start"])), None]:
@@ -213,8 +214,19 @@ def runs_of(doc: int, spans: list[dict], run_words: int) -> list[tuple[int, int,
                 shared += [(y["a"], y["b"], y["start"], y["end"], y["lo"]) for y in island]
             island = []
         island.append(x)
-    own = [x for x in shared if x[4] == doc]
-    return [(start, end, b - a, lo, any(a <= x[0] < b for x in own)) for a, b, start, end, lo in _joined(shared)]
+    gone = _joined([x for x in shared if x[4] < doc])
+    out, i = [(start, end, b - a, lo, False) for a, b, start, end, lo in gone], 0
+    for a, b, start, end, _ in _joined([x for x in shared if x[4] == doc]):
+        while i < len(gone) and gone[i][1] <= a:
+            i += 1
+        k = i
+        while k < len(gone) and gone[k][0] < b:
+            if gone[k][0] > a and gone[k][2] > start:
+                out.append((start, gone[k][2], gone[k][0] - a, doc, True))
+            a, start, k = max(a, gone[k][1]), max(start, gone[k][3]), k + 1
+        if a < b and start < end:
+            out.append((start, end, b - a, doc, True))
+    return out
 
 
 def passage_runs(docs: DataFrame, least: int = SENTENCE_WORDS, run_words: int = RUN_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
@@ -243,7 +255,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, kind, start, end, words, component_id, kept), a row per passage that two documents or more have.
 
     kind: paragraph or run. Places are code points of the text, end exclusive. component_id is the smallest document of
-    the cluster; its passages are kept, all others can go. Repeats within one document only are not reported. Null and
+    the cluster; its passages are kept, all others can go. Words of a run that
+    earlier documents hold go, and the rest of it is a row of its own that is kept. Repeats within one document only are not reported. Null and
     empty texts and rows without an id have none; rows that repeat an id are one document. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")

@@ -55,6 +55,10 @@ def test_runs_are_the_windows_that_two_documents_have(spark):  # noqa: ANN001, A
     assert blank(places((r.doc_id, r.start, r.end) for r in rows)) == blank(places(x[:3] for x in expected))
     assert sum(r.end - r.start for r in rows) == len(places((r.doc_id, r.start, r.end) for r in rows))
     assert all(r.words == len(texts[r.doc_id][r.start : r.end].split()) for r in rows)
+    # What an earlier document has goes, and nothing else does.
+    earlier = blank(places(x[:3] for x in expected if x[3] < x[0]))
+    assert blank(places((r.doc_id, r.start, r.end) for r in rows if not r.kept)) == earlier
+    assert all(r.kept == (r.component_id == r.doc_id) for r in rows)
 
 
 def test_no_shared_window_of_fifty_words_is_left_out(spark):  # noqa: ANN001, ANN201
@@ -65,6 +69,14 @@ def test_no_shared_window_of_fifty_words_is_left_out(spark):  # noqa: ANN001, AN
     assert expected and places(x[:3] for x in expected) <= places((r.doc_id, r.start, r.end) for r in rows)
 
 
+def test_a_document_keeps_only_its_own_part_of_a_run(spark):  # noqa: ANN001, ANN201
+    first, second = (". ".join(f"{w} {i} stands in this sentence here" for i in range(12)) + "." for w in ("Alpha", "Omega"))
+    texts = {1: f"one\n{first}", 2: f"two\n{first} {second}", 3: f"three\n{second}"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = [(r.doc_id, texts[r.doc_id][r.start : r.end].strip(), r.component_id, r.kept) for r in substring_dedup.passage_runs(frame).collect()]
+    assert sorted(rows) == [(1, first, 1, True), (2, first, 1, False), (2, second, 2, True), (3, second, 2, False)]
+
+
 def test_a_run_inside_text_is_removed_to_its_ends(spark):  # noqa: ANN001, ANN201
     """55 words without a sentence mark, spliced into the middle of other sentences."""
     passage = " ".join(f"shared{i}" for i in range(55))
