@@ -32,8 +32,13 @@ _OTHER_WORDS = frozenset(
     "nav navbar navigation menu sidebar footer banner cookie cookies consent gdpr notice alert ad ads advert adverts advertisement sponsor sponsored promo promotion share sharing social comment comments disqus respond replies related recommended recommendations breadcrumb breadcrumbs subscribe newsletter widget widgets popup modal overlay login signup search pagination pager contentinfo complementary copyright legal disclaimer".split()
 )
 _HEADERS = frozenset("header masthead topbar".split())
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden(?![\w-])(?!=[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Pieces after such a word that don't change what a name stands for, and pieces that say a name is about something else.
+_SUFFIXES = frozenset("area bar block body bottom box button buttons col column container content form group icons inner item items left link links list outer panel right row section top wrap wrapper".split())
+_MODIFIERS = frozenset("has have is no not with without hide show".split())
+#: Elements that hold the article, whatever their names say.
+_ROOTS = frozenset("html body main article".split())
+_ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 #: words, link density, words before, link density before, words after, link density after, in another container, in an article, heading; content?
 LABELLED = """
@@ -122,9 +127,27 @@ def tree(depth: int = 6, leaf: int = 1) -> tuple:
     return grow(np.arange(len(y)), depth)
 
 
-def _named_other(attrs: str, in_article: bool) -> bool:
-    words = {w for m in _ATTR.finditer(attrs) for w in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower())}
-    return not words.isdisjoint(_OTHER_WORDS) or not in_article and not words.isdisjoint(_HEADERS) or bool(_HIDDEN.search(attrs))
+def _stands_for(token: str) -> str:
+    """What a class, id or role names: itself, or its last piece without counts and suffixes; empty if it is about
+    something else, as has-sidebar."""
+    pieces = [x for x in re.split(r"[^a-z]+", token) if x]
+    if not _MODIFIERS.isdisjoint(pieces):
+        return ""
+    while len(pieces) > 1 and pieces[-1] in _SUFFIXES:
+        pieces.pop()
+    return pieces[-1] if pieces else ""
+
+
+def _named_other(tag: str, attrs: str, in_article: bool) -> bool:
+    values: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        values.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower())
+    if tag not in ("html", "body") and (values.get("hidden", "false") != "false" or values.get("aria-hidden") == "true" or _NONE.search(values.get("style", ""))):
+        return True
+    if tag in _ROOTS:
+        return False
+    words = {_stands_for(t) for x in ("class", "id", "role") for t in values.get(x, "").split()}
+    return not words.isdisjoint(_OTHER_WORDS) or not in_article and not words.isdisjoint(_HEADERS)
 
 
 def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
@@ -174,7 +197,7 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and open_ and open_[-1][0] == tag:
                 open_.pop()  # these end where the next one begins
             _, other, article = open_[-1] if open_ else ("", False, False)
-            other = other or tag in _OTHER_TAGS or tag == "header" and not article or _named_other(m["attrs"], article or tag in ("article", "main", "body", "html"))
+            other = other or tag in _OTHER_TAGS or tag == "header" and not article or _named_other(tag, m["attrs"], article or tag in ("article", "main", "body", "html"))
             open_.append((tag, other, article or tag in ("article", "main")))
             heading = len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
     text(html[at:])
