@@ -99,6 +99,74 @@ LABELLED = """
 6 0.5 9 0.8 5 0.0 0 0 0 0
 2 0.0 5 0.0 2 0.0 0 0 0 0
 4 0.0 2 0.0 3 0.0 0 0 0 0
+12 0.0 15 0.0 14 0.0 0 0 0 1
+18 0.0 12 0.0 20 0.0 0 0 0 1
+25 0.0 20 0.0 18 0.0 0 0 0 1
+35 0.0 30 0.0 22 0.0 0 0 0 1
+40 0.0 25 0.05 25 0.0 0 0 0 1
+22 0.3 18 0.0 16 0.0 0 0 0 1
+15 0.0 3 1.0 18 0.0 0 0 0 1
+12 0.0 5 0.0 16 0.0 0 0 0 1
+20 0.0 18 0.0 3 1.0 0 0 0 1
+35 0.0 25 0.0 2 1.0 0 0 0 1
+13 0.0 16 0.0 4 1.0 0 0 0 1
+14 0.0 25 0.0 0 0.0 0 0 0 1
+32 0.0 14 0.0 0 0.0 0 0 0 1
+20 0.0 0 0.0 0 0.0 0 0 0 1
+36 0.0 0 0.0 0 0.0 0 0 0 1
+30 0.0 3 1.0 2 1.0 0 0 0 1
+45 0.1 3 1.0 3 1.0 0 0 0 1
+7 0.0 20 0.0 6 0.0 0 0 0 1
+6 0.0 7 0.0 8 0.0 0 0 0 1
+8 0.0 6 0.0 15 0.0 0 0 0 1
+9 0.0 8 0.0 7 0.0 0 0 0 1
+7 0.0 9 0.0 3 1.0 0 0 0 1
+6 0.0 3 1.0 15 0.0 0 0 1 1
+5 0.0 20 0.0 18 0.0 0 0 1 1
+4 0.0 14 0.0 12 0.0 0 0 1 1
+3 1.0 3 1.0 60 0.0 0 0 0 0
+2 1.0 2 1.0 120 0.0 0 0 0 0
+2 1.0 0 0.0 45 0.0 0 0 0 0
+8 0.9 6 1.0 45 0.0 0 0 0 0
+30 0.9 30 0.9 60 0.0 0 0 0 0
+44 0.95 3 1.0 50 0.0 0 0 0 0
+50 0.9 60 0.0 45 0.8 0 0 0 0
+3 1.0 60 0.0 3 1.0 0 0 0 0
+5 0.9 40 0.0 4 1.0 0 0 0 0
+4 1.0 15 0.0 0 0.0 0 0 0 0
+6 1.0 12 0.0 18 0.0 0 0 0 0
+35 0.8 20 0.0 25 0.9 0 0 0 0
+6 0.0 3 1.0 2 1.0 0 0 0 0
+8 0.0 4 1.0 3 1.0 0 0 0 0
+4 0.0 2 1.0 2 0.9 0 0 0 0
+28 0.0 40 0.0 0 0.0 1 0 0 0
+29 0.0 3 1.0 0 0.0 1 0 0 0
+28 0.0 2 1.0 40 0.0 1 0 0 0
+20 0.0 18 0.0 22 0.0 1 0 0 0
+50 0.0 60 0.0 45 0.0 1 0 0 0
+25 0.0 20 0.0 15 0.0 1 1 0 0
+3 0.0 2 0.0 2 0.0 0 1 0 1
+2 0.0 0 0.0 3 0.0 0 1 0 1
+5 0.0 3 1.0 4 0.0 0 1 1 1
+4 0.0 4 0.0 3 0.0 0 1 0 1
+6 0.0 30 0.9 40 0.9 0 0 0 0
+9 0.0 25 1.0 18 1.0 0 0 0 0
+5 0.0 45 0.95 36 1.0 0 0 1 0
+14 0.2 20 0.9 22 1.0 0 0 0 0
+12 0.1 24 1.0 30 0.9 0 0 0 0
+40 0.0 30 1.0 35 0.0 0 0 0 1
+18 0.0 45 1.0 30 0.0 0 0 0 1
+6 0.0 36 1.0 25 0.0 0 0 1 1
+12 0.0 30 0.9 25 0.8 0 1 0 1
+9 0.0 25 1.0 3 1.0 0 1 0 1
+7 0.0 3 0.0 9 0.0 0 0 0 1
+6 0.0 4 0.0 12 0.0 0 0 0 1
+8 0.0 5 0.0 20 0.0 0 0 0 1
+6 0.0 0 0.0 22 0.0 0 0 0 1
+9 0.0 8 0.0 3 0.0 0 0 0 1
+6 0.0 7 0.0 2 0.0 0 0 0 1
+8 0.0 20 0.0 0 0.0 0 0 0 1
+6 0.0 28 0.9 2 1.0 0 0 0 0
 """
 
 

@@ -31,3 +31,47 @@ def test_names_that_are_about_something_else_keep_the_article(page):  # noqa: AN
 )
 def test_named_and_hidden_containers_go(attrs):  # noqa: ANN001, ANN201
     assert html_text.main_text(f"<article><p>{LONG}</p><div {attrs}><p>Other {LONG}</p></div></article>") == TEXT
+
+
+def plain(*sizes: int) -> list[str]:
+    return [" ".join(f"word{i}x{j}" for j in range(n)) for i, n in enumerate(sizes)]
+
+
+LINKS = "".join(f"<p><a href=/{i}>Link number {i}</a></p>" for i in range(5))
+
+
+@pytest.mark.parametrize("sizes", [(12, 18, 14, 25), (26, 20, 30), (35, 40, 22, 38, 15), (80, 16), (60, 31, 12)])
+@pytest.mark.parametrize("before, after", [("", ""), ("<nav>%s</nav>", "<footer><p>%s</p></footer>"), ("%s", "%s")])
+def test_short_paragraphs_of_a_page_without_an_article(sizes, before, after):  # noqa: ANN001, ANN201
+    paragraphs = plain(*sizes)
+    around = [x.replace("%s", LINKS) for x in (before, after)]
+    page = f"<body>{around[0]}<div>{''.join(f'<p>{x}</p>' for x in paragraphs)}</div>{around[1]}</body>"
+    assert html_text.main_text(page) == "\n\n".join(paragraphs)
+
+
+def test_lists_and_headings_of_a_page_without_an_article():  # noqa: ANN201
+    first, one, two, three, last = plain(30, 7, 8, 9, 20)
+    page = f"<body>{LINKS}<h1>What this page tells</h1><p>{first}</p><ul><li>{one}<li>{two}<li>{three}</ul><h2>And some more</h2><p>{last}</p>{LINKS}</body>"
+    assert html_text.main_text(page) == "\n\n".join(["What this page tells", first, one, two, three, "And some more", last])
+
+
+def test_links_and_footers_around_long_text_go():  # noqa: ANN201
+    long, notice = plain(70, 28)
+    many = "<p>" + " ".join(f"<a href=/{i}>Read story {i} as well</a>" for i in range(9)) + "</p>"
+    page = f"<body>{LINKS}{many}<p>{long}</p>{many}<h3>More of our stories today</h3>{many}{LINKS}<footer><p>{notice}</p></footer></body>"
+    assert html_text.main_text(page) == long
+
+
+def test_text_after_a_block_of_links_stays():  # noqa: ANN201
+    many = "<p>" + " ".join(f"<a href=/{i}>Read story {i} as well</a>" for i in range(9)) + "</p>"
+    one, two, item = plain(40, 35, 7)
+    for tag in ("div", "article"):
+        page = f"<body>{many}<{tag}><p>{one}</p><p>{two}</p><h2>Two words</h2><ul><li>{item}<li>{item}</ul><p>{two}</p></{tag}></body>"
+        assert html_text.main_text(page) == "\n\n".join([one, two, "Two words", item, item, two])
+
+
+def test_the_tree_asks_for_own_and_neighbours_link_density():  # noqa: ANN201
+    def asked(node) -> set[int]:  # noqa: ANN001
+        return set() if isinstance(node, bool) else {node[0]} | asked(node[2]) | asked(node[3])
+
+    assert 1 in asked(html_text.tree()) and {3, 5} & asked(html_text.tree())
