@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -16,40 +20,77 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows handed to Python at once; texts can be long, so batches stay small.
 BATCH_ROWS = 512
 
-_staged: dict[str, list[str]] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every machine of the cluster sees, as the session names it."""
+    """The folder every machine of the cluster sees, as the session names it; a temporary one if this machine is all there is."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         base = tempfile.mkdtemp(prefix="proofmill-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again, which cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/proofmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Staged tables that are deleted together."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.folder = f"{shared_dir(spark)}/proofmill/{uuid.uuid4().hex}"
+        self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def close(self) -> None:
+        path = self._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self._conf).delete(path, True)
+
+
+#: The open scopes, innermost last; each thread has its own.
+_scopes: ContextVar[tuple[Scratch, ...]] = ContextVar("scopes", default=())
+#: What is staged outside all scopes, by application; it goes when Python ends.
+_loose: dict[str, Scratch] = {}
+
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[Scratch]:
+    """Tables staged inside are deleted at the end, but those kept for the scope around it.
 
-def staged(spark: SparkSession) -> int:
-    """How many staged tables there are."""
-    return len(_staged.get(spark.sparkContext.applicationId, []))
+    Operators open one for what they need in between, so their results rest on what they keep alone. A caller who opens
+    one around an operator and the writing of its result has nothing left behind.
+    """
+    scope = Scratch(spark)
+    token = _scopes.set((*_scopes.get(), scope))
+    try:
+        yield scope
+    finally:
+        _scopes.reset(token)
+        scope.close()
 
 
-def release(spark: SparkSession, keep: int = 0, since: int = 0) -> None:
-    """Delete staged tables but the first ``since`` and the last ``keep``; call it once the results made from them are written."""
-    paths = _staged.get(spark.sparkContext.applicationId, [])
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths[since : len(paths) - keep]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-    del paths[since : len(paths) - keep]
+def _scope(spark: SparkSession, keep: bool) -> Scratch:
+    inner = _scopes.get()[: -1 if keep else None]
+    app = spark.sparkContext.applicationId
+    if not inner and app not in _loose:
+        _loose[app] = Scratch(spark)
+    return inner[-1] if inner else _loose[app]
+
+
+@atexit.register
+def _close_loose() -> None:
+    for scope in _loose.values():
+        with suppress(Exception):  # Spark may be gone
+            scope.close()
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it again, which cuts the lineage and survives lost executors.
+
+    It lives as long as the innermost scope, or with ``keep`` as long as the one around that.
+    """
+    spark = df.sparkSession
+    path = f"{_scope(spark, keep).folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def prepare(spark: SparkSession) -> None:

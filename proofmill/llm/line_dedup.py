@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import stage
+from proofmill.llm.common import stage, staging
 
 SPACES = " \t\n\x0b\f\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -84,15 +84,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(f"`{text_col}`", F.lit("")).alias("text"))
-    lines = stage(line_hashes(rows.select("doc_id", "text"), min_chars), "lines")
-    cuts = lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
-    cuts = sorted(set(cuts or []), reverse=True)
-    runs = LineRuns()
-    for high, low in zip([None, *cuts], [*cuts, None], strict=True):
-        part = lines if high is None else lines.where(F.col("doc_id") <= high)
-        runs.add(part if low is None else part.where(F.col("doc_id") > low))
-    common = stage(runs.counts().where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner"), "common")
-    drops = lines.join(common, ["h1", "h2"]).where("doc_id <> owner").select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("drop"))
+    with staging(docs.sparkSession):
+        lines = stage(line_hashes(rows.select("doc_id", "text"), min_chars), "lines")
+        cuts = lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+        cuts = sorted(set(cuts or []), reverse=True)
+        runs = LineRuns()
+        for high, low in zip([None, *cuts], [*cuts, None], strict=True):
+            part = lines if high is None else lines.where(F.col("doc_id") <= high)
+            runs.add(part if low is None else part.where(F.col("doc_id") > low))
+        common = stage(runs.counts().where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner"), "common")
+        drops = lines.join(common, ["h1", "h2"]).where("doc_id <> owner").select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("drop"))
+        drops = stage(drops, "drops", keep=True)
     return _cut(rows.join(drops, "doc_id", "left"), names, text_col)
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import BATCH_ROWS, _mix, map_batches, prepare, release, shingle_set, signature, stage, staged, utf8
+from proofmill.llm.common import BATCH_ROWS, _mix, map_batches, prepare, shingle_set, signature, stage, staging, utf8
 from proofmill.llm.common import _words as _memo
 from proofmill.llm.near_dup import link
 
@@ -74,21 +74,24 @@ _PLACE = "doc_id long, ord long, start long, end long, words long"
 
 def paragraph_clusters(docs: DataFrame, least: int = PARAGRAPH_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, start, end, words, component_id, kept) for paragraphs whose cluster has two documents or more."""
-    found = stage(_units(docs, _LINE, least, _signed, f"{_PLACE}, key binary, n long, sig binary"), "paragraphs")
-    per_key = found.groupBy("key").agg(F.min(F.struct("doc_id", "ord")).alias("first"), F.max("doc_id").alias("hi"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    reps = stage(per_key.select(F.monotonically_increasing_id().alias("uid"), "key", "n", "sig", F.col("first.doc_id").alias("doc_id"), F.col("first.ord").alias("ord"), "hi"), "units")
-
-    def sets_of(uids: DataFrame) -> DataFrame:
-        wanted = reps.join(uids, "uid", "left_semi").select("uid", "doc_id", "ord")
-        texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-        sets = _units(texts, _LINE, least, _grams, f"{_PLACE}, grams binary").select("doc_id", "ord", "grams")
-        return sets.join(wanted, ["doc_id", "ord"]).select("uid", "grams").dropDuplicates(["uid"])
-
-    labels = link(reps.select("uid", "n", "sig"), sets_of, percent, BANDS, ROWS, sequential=False)
-    of_key = stage(reps.join(labels, "uid", "left").select("key", F.coalesce("label", "uid").alias("label"), "doc_id", "hi"), "of_key")
-    clusters = of_key.groupBy("label").agg(F.min("doc_id").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    repeated = of_key.select("key", "label").join(clusters, "label").select("key", "lo")
-    return found.select("doc_id", "start", "end", "words", "key").join(repeated, "key").select("doc_id", "start", "end", "words", F.col("lo").alias("component_id"), (F.col("doc_id") == F.col("lo")).alias("kept"))
+    with staging(docs.sparkSession):
+        found = stage(_units(docs, _LINE, least, _signed, f"{_PLACE}, key binary, n long, sig binary"), "paragraphs")
+        per_key = found.groupBy("key").agg(F.min(F.struct("doc_id", "ord")).alias("first"), F.max("doc_id").alias("hi"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        reps = stage(per_key.select(F.monotonically_increasing_id().alias("uid"), "key", "n", "sig", F.col("first.doc_id").alias("doc_id"), F.col("first.ord").alias("ord"), "hi"), "units")
+
+        def sets_of(uids: DataFrame) -> DataFrame:
+            wanted = reps.join(uids, "uid", "left_semi").select("uid", "doc_id", "ord")
+            texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+            sets = _units(texts, _LINE, least, _grams, f"{_PLACE}, grams binary").select("doc_id", "ord", "grams")
+            return sets.join(wanted, ["doc_id", "ord"]).select("uid", "grams").dropDuplicates(["uid"])
+
+        labels = link(reps.select("uid", "n", "sig"), sets_of, percent, BANDS, ROWS, sequential=False)
+        of_key = stage(reps.join(labels, "uid", "left").select("key", F.coalesce("label", "uid").alias("label"), "doc_id", "hi"), "of_key")
+        clusters = of_key.groupBy("label").agg(F.min("doc_id").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+        repeated = of_key.select("key", "label").join(clusters, "label").select("key", "lo")
+        rows = found.select("doc_id", "start", "end", "words", "key").join(repeated, "key")
+        rows = rows.select("doc_id", "start", "end", "words", F.col("lo").alias("component_id"), (F.col("doc_id") == F.col("lo")).alias("kept"))
+        return stage(rows, "clusters", keep=True)
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -231,24 +234,24 @@ def runs_of(doc: int, spans: list[dict], run_words: int) -> list[tuple[int, int,
 
 def passage_runs(docs: DataFrame, least: int = SENTENCE_WORDS, run_words: int = RUN_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
     """(doc_id, start, end, words, component_id, kept) for windows and runs of sentences that other documents have as well."""
-    since = staged(docs.sparkSession)
-    found = stage(_passages(docs, least, run_words, gram), "passages")
-    per_key = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("content") < F.max("content")).alias("mixed")).where("lo < hi")
-    hits = stage(found.join(per_key, "key").select("doc_id", "ord", "a", "b", "start", "end", "lo", F.expr("mixed and ord < 0").alias("mixed")), "passage_hits")
-    release(docs.sparkSession, keep=1, since=since)
-    # Stretches of one key that differ share some windows and not others, so these are told apart one by one.
-    mixed = hits.where("mixed").groupBy("doc_id").agg(F.collect_set("a").alias("at"))
-    each = stage(_single_windows(docs.join(mixed, "doc_id"), run_words, gram), "windows")
-    common = each.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo")
-    singles = each.join(common, "key").selectExpr("doc_id", "-1 as ord", "a", f"a + {run_words} as b", "start", "end", "lo")
-    spans = hits.where("not mixed").drop("mixed").unionByName(singles)
-    per_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("ord", "a", "b", "start", "end", "lo")).alias("spans"))
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows = [(doc, *x) for doc, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in runs_of(doc, own, run_words)]
-        return pa.RecordBatch.from_pylist([dict(zip(_RUN.names, x, strict=True)) for x in rows], _RUN) if rows else None
-
-    return map_batches(per_doc, one, "doc_id long, start long, end long, words long, component_id long, kept boolean", rows=BATCH_ROWS // 4)
+    with staging(docs.sparkSession):
+        with staging(docs.sparkSession):
+            found = stage(_passages(docs, least, run_words, gram), "passages")
+            per_key = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("content") < F.max("content")).alias("mixed")).where("lo < hi")
+            hits = stage(found.join(per_key, "key").select("doc_id", "ord", "a", "b", "start", "end", "lo", F.expr("mixed and ord < 0").alias("mixed")), "hits", keep=True)
+        # Stretches of one key that differ share some windows and not others, so these are told apart one by one.
+        mixed = hits.where("mixed").groupBy("doc_id").agg(F.collect_set("a").alias("at"))
+        each = stage(_single_windows(docs.join(mixed, "doc_id"), run_words, gram), "windows")
+        common = each.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo")
+        singles = each.join(common, "key").selectExpr("doc_id", "-1 as ord", "a", f"a + {run_words} as b", "start", "end", "lo")
+        spans = hits.where("not mixed").drop("mixed").unionByName(singles)
+        per_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("ord", "a", "b", "start", "end", "lo")).alias("spans"))
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            rows = [(doc, *x) for doc, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in runs_of(doc, own, run_words)]
+            return pa.RecordBatch.from_pylist([dict(zip(_RUN.names, x, strict=True)) for x in rows], _RUN) if rows else None
+
+        return stage(map_batches(per_doc, one, "doc_id long, start long, end long, words long, component_id long, kept boolean", rows=BATCH_ROWS // 4), "runs", keep=True)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,10 +263,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     empty texts and rows without an id have none; rows that repeat an id are one document. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    since = staged(docs.sparkSession)
-    one = stage(paragraph_clusters(rows), "clusters")
-    release(docs.sparkSession, keep=1, since=since)  # disk for the second part
-    two = passage_runs(rows)
+    one, two = paragraph_clusters(rows), passage_runs(rows)
     return one.withColumn("kind", F.lit("paragraph")).unionByName(two.withColumn("kind", F.lit("run"))).select("doc_id", "kind", "start", "end", "words", "component_id", "kept")
 
 
