@@ -1,13 +1,11 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a frame that must be written before the next stage is called: a stage
-begins by deleting what the one before it had staged in the shared folder.
+Each stage takes (spark, docs, sf_dir) and returns a frame. What a stage needs in between is deleted before it returns;
+its frame rests on small tables that live as long as the caller's ``common.staging`` scope, or else as the application.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,33 +18,28 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' policy keeps."""
-    common.release(spark)
     return rules.keep_good(docs)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that other documents keep; n_chars follows."""
-    common.release(spark)
     done = line_dedup.dedup_lines(docs)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each group of near-duplicates."""
-    common.release(spark)
     verdict = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(verdict, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    common.release(spark)
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
-    common.release(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -61,11 +54,13 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{common.shared_dir(spark)}/proofmill-pipeline/{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        made = stage(spark, docs, sf_dir)
-        made.write.parquet(f"{base}/{name}")
-        docs = spark.read.schema(made.schema).parquet(f"{base}/{name}")
-    common.release(spark)
-    return docs
+
+    def through(k: int) -> DataFrame:
+        """What the first k stages return; what stage k has read is deleted once its own result is written."""
+        if not k:
+            return spark.read.parquet(f"{sf_dir}/documents.parquet")
+        with common.staging(spark):
+            name, stage = STAGES[k - 1]
+            return common.stage(stage(spark, through(k - 1), sf_dir), name, keep=True)
+
+    return through(len(STAGES))
