@@ -8,10 +8,12 @@ a document gives one piece for each sequence that it lies in, so a boundary in i
 from __future__ import annotations
 
 import json
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
-from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +28,33 @@ SIZE = 1024
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-#: Characters whose class no version of Unicode that a tokenizer may know will change: all up to Latin Extended-B.
-_SETTLED = 0x24F
+#: A character whose class depends on the version of Unicode that a tokenizer knows; the classes up to Latin Extended-B
+#: will not change.
+_UNSETTLED = re.compile("[\u0250-\U0010ffff]")
+#: White space that runs on for long overflows the stack of the split by rank; only texts of ``_LONG`` can hold so much.
+_RUN, _LONG = re.compile(r"\s{200}"), 20_000
 
 
-def ranks_of(tokenizer_file: str) -> dict[bytes, int] | None:
+def _spec(tokenizer_file: str) -> dict:
+    return json.loads(Path(tokenizer_file).read_text())
+
+
+def splits_plainly(spec: dict) -> bool:
+    """Whether texts are split by ``PATTERN`` alone: no normalizer, no space put in front, no other pre-tokenizer."""
+    pre = spec.get("pre_tokenizer") or {}
+    return not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+
+
+def ranks_of(spec: dict) -> dict[bytes, int] | None:
     """The vocabulary as byte strings by rank, if every id is one byte or the product of the merge of that rank; else None.
 
     Then taking the mergeable pair of the lowest id and taking the first mergeable pair of the merge list are the same,
     so the ranks give the library's ids.
     """
-    spec = json.loads(Path(tokenizer_file).read_text())
-    vocab, merges = spec["model"]["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+    model = spec["model"]
+    if model["type"] != "BPE" or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    vocab, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
     ordered = all(vocab.get(a + b) == len(shown) + i for i, (a, b) in enumerate(merges))
@@ -46,53 +63,66 @@ def ranks_of(tokenizer_file: str) -> dict[bytes, int] | None:
     return {bytes(shown[c] for c in piece): i for piece, i in vocab.items() if all(c in shown for c in piece)}
 
 
-class ChunkIds(dict):
-    """Chunk of text to its ids as bytes, for a byte-level BPE whose pre-tokens begin at single spaces; a bounded memo.
+def _bytes(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
 
-    A space between two characters that aren't white space always begins a pre-token, so a text may be cut before each.
-    Chunks with white space at an end never get into the memo: their texts go to the library whole. Chunks of settled
-    characters are merged by rank where the vocabulary allows it, others by the library.
+class Ids(dict):
+    """The library's ids of texts, as little-endian 32-bit bytes.
+
+    A text of settled characters is merged by rank as a whole, where the vocabulary and the splitting allow it. Other
+    texts are cut before single spaces, each of which begins a pre-token there, and the chunks encoded by the library;
+    the dictionary is a bounded memo of them. Chunks with white space at an end never get into it: their texts go to
+    the library whole, as do texts with special strings, and all texts where the file splits them in another way.
     """
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __init__(self, tokenizer_file: str) -> None:
         from tokenizers import Tokenizer
 
+        spec = _spec(tokenizer_file)
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        ranks = ranks_of(tokenizer_file)
+        self.plain = splits_plainly(spec)
         self.by_rank = None
-        if ranks:
+        if self.plain and (ranks := ranks_of(spec)):
             import tiktoken
 
             self.by_rank = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            alone = [p for p in (b.decode("utf-8", "ignore") for b in ranks) if p and max(p) <= chr(_SETTLED) and len(self.by_rank.encode_ordinary(p)) == 1]
+            alone = [p for p in (b.decode("utf-8", "ignore") for b in ranks) if p and not _UNSETTLED.search(p) and len(self.by_rank.encode_ordinary(p)) == 1]
             if any(len(e.ids) != 1 for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
                 self.by_rank = None  # a piece that no merges reach: only the library knows
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        easy = [c for c in chunks if max(c) <= chr(_SETTLED)] if self.by_rank else []
-        out = {c: pack_ids(f"<{len(ids)}I", *ids) for c, ids in zip(easy, map(self.by_rank.encode_ordinary, easy), strict=True)} if easy else {}
-        hard = [c for c in chunks if c not in out]
-        return out | dict(zip(hard, self.encode(hard), strict=True))
+        return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def documents(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian 32-bit."""
+        """The ids of each text."""
         if len(self) > self.LIMIT:
             self.clear()
-        cut = [self._cut(t) for t in texts]
-        missing = [c for c in set().union(*(c for c in cut if c)) if c not in self]
-        good = [c for c in missing if (word := c.removeprefix(" ")) and not word[0].isspace() and not word[-1].isspace()]
-        self.update(self.encode_chunks(good))
-        bad = set(missing).difference(good)
         out: list[bytes] = [b""] * len(texts)
+        cut: dict[int, list[str]] = {}
         whole = []
-        for i, chunks in enumerate(cut):
-            if chunks is None or bad and not bad.isdisjoint(chunks):
+        for i, text in enumerate(texts):
+            if not self.plain or any(s in text for s in self.special):
+                whole.append(i)
+            elif self.by_rank and not _UNSETTLED.search(text) and (len(text) < _LONG or not _RUN.search(text)):
+                out[i] = _bytes(self.by_rank.encode_ordinary(text))
+            elif "\0" in text:
+                whole.append(i)
+            else:
+                chunks = text.replace(" ", "\0 ").split("\0")
+                cut[i] = chunks if chunks[0] else chunks[1:]
+        missing = [c for c in set().union(*cut.values()) if c not in self]
+        good = [c for c in missing if (word := c.removeprefix(" ")) and not word[0].isspace() and not word[-1].isspace()]
+        self.update(zip(good, self.encode(good), strict=True))
+        bad = set(missing).difference(good)
+        for i, chunks in cut.items():
+            if bad and not bad.isdisjoint(chunks):
                 whole.append(i)
             else:
                 out[i] = b"".join(map(self.__getitem__, chunks))
@@ -100,14 +130,8 @@ class ChunkIds(dict):
             out[i] = ids
         return out
 
-    def _cut(self, text: str) -> list[str] | None:
-        if "\0" in text or any(s in text for s in self.special):
-            return None
-        chunks = text.replace(" ", "\0 ").split("\0")
-        return chunks if chunks[0] else chunks[1:]
-
 
-_memo: dict[str, ChunkIds] = {}
+_memo: dict[str, Ids] = {}
 
 
 def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> DataFrame:
@@ -115,7 +139,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> DataFrame
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_file not in _memo:
-            _memo[tokenizer_file] = ChunkIds(tokenizer_file)
+            _memo[tokenizer_file] = Ids(tokenizer_file)
         memo = _memo[tokenizer_file]
         part, local, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for whole in batches:
