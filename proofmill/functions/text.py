@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -48,17 +49,37 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(common / union)
 
 
+def fill(template: str, **values: Column) -> Column:
+    """A text with columns in place of its {names}."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p])
+
+
+def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str, block: int = 256) -> Column:
+    """Array of ``kind``: what ``step`` gives over the items in order. ``step`` goes from (s, out) and an item to the next
+    (s, out). A fold copies what it has gathered at each item, so long arrays are folded in blocks."""
+    none, nested = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    part = lambda s, xs: F.aggregate(xs, F.struct(s.alias("s"), none.alias("out")), step)
+
+    def in_blocks(xs: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / block).cast("int") - 1), lambda k: F.slice(xs, k * block + 1, F.lit(block)))
+        one = lambda a, x: let(part(a["s"], x), lambda r: F.struct(r["s"].alias("s"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+        return F.flatten(F.aggregate(cut, F.struct(start.alias("s"), nested.alias("out")), one, lambda a: a["out"]))
+
+    return let(items, lambda xs: F.when(F.size(xs) <= block, part(start, xs)["out"]).otherwise(in_blocks(xs)))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, value) of all matches of a pattern, without a UDF: the lengths of what split() leaves and of the matches add up."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        return F.struct((start + F.length(x["value"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["value"].alias("value")))).alias("out"))
+        start = acc["s"] + F.length(x["gap"])
+        return F.struct((start + F.length(x["value"])).alias("s"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["value"].alias("value")))).alias("out"))
 
     none = F.array().cast("array<struct<start:int,value:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), scan(pairs, F.lit(0), step, "struct<start:int,value:string>")).otherwise(none)
 
 
 def phrase_hits(text: Column, phrases: list[str]) -> Column:

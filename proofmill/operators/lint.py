@@ -1,18 +1,18 @@
-"""Text lint: located issues of six families of rules over the lines of many documents.
+"""Text lint: located issues of six families of rules over many documents.
 
-Every rule is a function from lines or texts to issues, so rules can be chosen and run side by side. An issue is (doc_id,
+A rule is an expression: from a line, or from all lines of a text, to an array of issues. All chosen rules are evaluated
+in one pass over a document's row and exploded once, so a corpus is read once and never shuffled. An issue is (doc_id,
 rule_id, category, severity, line, column, excerpt, message, suggestion).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.functions.text import matches, strip
+from proofmill.functions.text import fill, let, matches, scan, strip
 
 #: Rules, sections, words and pairs (fixed values).
 SECTIONS = ["摘要", "关键词", "引言", "结论", "参考文献"]
@@ -22,6 +22,27 @@ CATEGORIES = {"NORM-001": "章节顺序", "NORM-002": "标点配对", "NORM-003"
 RUN_CLASS = "[，。；！？!?,.、:;：…·~—-]"
 MAX_SENTENCE = 120
 ISSUE = ["doc_id", "rule_id", "category", "severity", "line", "column", "excerpt", "message", "suggestion"]
+_KIND = "struct<rule_id:string,severity:string,line:bigint,column:bigint,excerpt:string,message:string,suggestion:string>"
+
+
+#: What issues say, and what they suggest (fixed values).
+MESSAGES = {
+    "section_missing": ("缺少必需章节：{name}", "补充“{name}”并按规定顺序排列"),
+    "section_order": ("章节“{name}”顺序错误", "请按照“摘要、关键词、引言、结论、参考文献”的顺序调整章节"),
+    "closer": ("多余的闭合标点“{mark}”", "删除多余的闭合标点，或补全相应的左侧标点"),
+    "opener": ("标点“{mark}”未成对", "补全与“{mark}”配对的闭合标点"),
+    "repeated": ("存在重复标点“{mark}”", "保留一个标点即可"),
+    "run": ("存在连续 {n} 个相同标点", "减少重复标点并保留一个规范标点"),
+    "date": ("数字日期格式不符合 YYYY-MM-DD：{value}", "改为 YYYY-MM-DD，例如 2026-08-03"),
+    "reference_form": ("参考文献第 {expected} 条格式不正确", "下一条参考文献应连续编号为 [{expected}]"),
+    "reference_number": ("参考文献编号应为 [{expected}]，但找到了 [{actual}]", "下一条参考文献应连续编号为 [{expected}]"),
+    "reference_first": ("", "第一条参考文献应以 [1] 开始"),
+    "tab": ("包含 Tab 字符", "使用空格替代 Tab"),
+    "trailing": ("存在行尾空格或制表符", "删除行尾空白字符"),
+    "word_twice": ("存在连续重复词“{word}”", "删除重复出现的连续词"),
+    "banned": ("包含禁用词“{word}”", "改写为更客观、规范的表达"),
+    "long": ("句子长度超过 {most} 个字符（当前 {n} 个字符）", "拆分成长短适中的多个句子"),
+}
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,139 +50,134 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\r?\n")).alias("_n", "text")).select("doc_id", (F.col("_n") + 1).alias("line"), "text")
 
 
-def _issue(rows: DataFrame, rule: str, severity: str, column: Column | int, excerpt: Column, message: Column | str, suggestion: Column | str, line: Column | None = None) -> DataFrame:
-    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return rows.select(
-        "doc_id", F.lit(rule).alias("rule_id"), F.lit(CATEGORIES[rule]).alias("category"), F.lit(severity).alias("severity"), (F.col("line") if line is None else line).cast("long").alias("line"), as_col(column).cast("long").alias("column"), excerpt.alias("excerpt"), as_col(message).alias("message"), as_col(suggestion).alias("suggestion")
-    )
-
-
-def section_order(rows: DataFrame, sections: list[str] = SECTIONS) -> DataFrame:
-    """Missing required headings, and headings before one that should precede them. A document's first lines of all
-    headings fit in one row, so order is checked inside it."""
-    index = F.create_map(*[x for i, s in enumerate(sections) for x in (F.lit(s), F.lit(i))])
-    found = rows.select("doc_id", "line", index[strip(F.col("text"))].alias("i"))
-    firsts = found.groupBy("doc_id").agg(*[F.min(F.when(F.col("i") == k, F.col("line"))).alias(f"s{k}") for k in range(len(sections))])
-    entries = []
-    for k, name in enumerate(sections):
-        before = F.greatest(F.lit(0), *[F.coalesce(f"s{j}", F.lit(0)) for j in range(k)]) if k else F.lit(0)
-        entries.append(F.struct(F.lit(name).alias("name"), F.col(f"s{k}").alias("at"), before.alias("before")))
-    each = firsts.select("doc_id", F.explode(F.array(*entries)).alias("x")).select("doc_id", "x.*")
-    bad = each.where("at is null or at < before").withColumn("line", F.coalesce("at", F.lit(1)))
-    missing = F.col("at").isNull()
-    return _issue(
-        bad, "NORM-001", "high", 1, F.col("name"),
-        F.when(missing, F.concat(F.lit("缺少必需章节："), "name")).otherwise(F.concat(F.lit("章节“"), "name", F.lit("”顺序错误"))),
-        F.when(missing, F.concat(F.lit("补充“"), "name", F.lit("”并按规定顺序排列"))).otherwise(F.lit("请按照“摘要、关键词、引言、结论、参考文献”的顺序调整章节")),
-    )
-
-
-def unmatched_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A stack over the brackets of a whole text, folded inside the engine. A closer that doesn't fit is reported and
-    pops nothing; straight quotes open only, so each is reported and blocks what is around it."""
+def _issue(rule: str, severity: str, line: Column, column: Column | int, excerpt: Column, says: str, **values: Column) -> Column:
+    message, suggestion = (fill(t, **values) for t in MESSAGES[says])
+    column = column if isinstance(column, Column) else F.lit(column)
+    return F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), line.cast("long").alias("line"), column.cast("long").alias("column"), excerpt.alias("excerpt"), message.alias("message"), suggestion.alias("suggestion"))
+
+
+def _some(ok: Column, issue: Column) -> Column:
+    return F.when(ok, F.array(issue)).otherwise(F.array().cast(f"array<{_KIND}>"))
+
+
+def _lead(text: Column) -> Column:
+    """How much white space a line begins with."""
+    return F.length(text) - F.length(F.regexp_replace(text, "^(?U:\\s+)", ""))
+
+
+def section_order(rows: Column, sections: list[str] = SECTIONS) -> Column:
+    """Missing required headings, and headings before one that should precede them."""
+
+    def of(trimmed: Column) -> Column:
+        at = [F.array_position(trimmed, s) for s in sections]
+        entries = []
+        for k, name in enumerate(sections):
+            before = F.greatest(F.lit(0), F.lit(0), *at[:k])
+            missing = _issue("NORM-001", "high", F.lit(1), 1, F.lit(name), "section_missing", name=F.lit(name))
+            early = _issue("NORM-001", "high", at[k], 1, F.lit(name), "section_order", name=F.lit(name))
+            entries.append(F.when(at[k] == 0, missing).when(at[k] < before, early))
+        return F.array_compact(F.array(*entries))
+
+    return let(F.transform(rows, strip), of)
+
+
+def unmatched_pairs(rows: Column) -> Column:
+    """A stack over the brackets of a whole text. A closer that doesn't fit is reported and pops nothing; straight quotes
+    open only, so each is reported and blocks what is around it. Marks carry their line and column through the fold."""
     marks = "".join(PAIRS) + "".join(v for v in PAIRS.values() if v not in PAIRS)
-    opens = "".join(PAIRS)
+    opens = F.lit("".join(PAIRS))
     wants = F.create_map(*[F.lit(x) for pair in PAIRS.items() for x in pair])
     pattern = "[" + "".join("\\" + c if c in "[]()" else c for c in marks) + "]"
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), matches(F.coalesce(text_col, F.lit("")), pattern).alias("m")).where(F.size("m") > 0)
-    mark = "array<struct<start:int,value:string>>"
+    place = lambda i: lambda m: F.struct((i + 1).alias("line"), (m["start"] + 1).alias("col"), m["value"].alias("value"))
+    found = F.flatten(F.transform(rows, lambda t, i: F.transform(matches(t, pattern), place(i))))
+    none = F.array().cast("array<struct<line:int,col:int,value:string>>")
 
     def fold(acc: Column, x: Column) -> Column:
         top = F.try_element_at(acc["stack"], F.lit(-1))
-        is_open = F.lit(opens).contains(x["value"])
+        is_open = opens.contains(x["value"])
         fits = ~is_open & F.coalesce(wants[top["value"]] == x["value"], F.lit(False))
         stack = F.when(is_open, F.concat(acc["stack"], F.array(x))).when(fits, F.slice(acc["stack"], 1, F.greatest(F.size(acc["stack"]) - 1, F.lit(0)))).otherwise(acc["stack"])
         return F.struct(stack.alias("stack"), F.when(is_open | fits, acc["extra"]).otherwise(F.concat(acc["extra"], F.array(x))).alias("extra"))
 
-    none = F.array().cast(mark)
-    done = found.select("doc_id", "_t", F.aggregate("m", F.struct(none.alias("stack"), none.alias("extra")), fold).alias("r"))
-    each = done.select("doc_id", "_t", F.explode(F.concat(F.transform("r.extra", lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), F.lit(True).alias("extra"))), F.transform("r.stack", lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), F.lit(False).alias("extra"))))).alias("x"))
-    before = F.expr("substring(_t, 1, x.start)")
-    placed = each.select("doc_id", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"), (F.length(before) - F.coalesce(F.length(before) - F.length(F.substring_index(before, "\n", -1)), F.lit(0)) + 1).alias("col"), "x.value", "x.extra")
-    return _issue(
-        placed, "NORM-002", "high", F.col("col"), F.col("value"),
-        F.when(F.col("extra"), F.concat(F.lit("多余的闭合标点“"), "value", F.lit("”"))).otherwise(F.concat(F.lit("标点“"), "value", F.lit("”未成对"))),
-        F.when(F.col("extra"), F.lit("删除多余的闭合标点，或补全相应的左侧标点")).otherwise(F.concat(F.lit("补全与“"), "value", F.lit("”配对的闭合标点"))),
-    )
-
-
-def _found(rows: DataFrame, pattern: str) -> DataFrame:
-    return rows.select("doc_id", "line", F.explode(matches(F.col("text"), pattern)).alias("m")).select("doc_id", "line", (F.col("m.start") + 1).alias("col"), F.col("m.value").alias("value"))
-
-
-def repeated_punctuation(rows: DataFrame) -> DataFrame:
-    two = _found(rows, "([，。；])\\1+").withColumn("two", F.substring("value", 1, 2))
-    three = _found(rows, f"({RUN_CLASS})\\1{{2,}}")
-    return _issue(two, "NORM-003", "medium", F.col("col"), F.col("two"), F.concat(F.lit("存在重复标点“"), "two", F.lit("”")), "保留一个标点即可").unionByName(
-        _issue(three, "NORM-003", "medium", F.col("col"), F.col("value"), F.concat(F.lit("存在连续 "), F.length("value").cast("string"), F.lit(" 个相同标点")), "减少重复标点并保留一个规范标点")
-    )
-
-
-def invalid_dates(rows: DataFrame) -> DataFrame:
-    bad = _found(rows, "(?<!\\d)\\d{4}[-/]\\d{1,2}[-/]\\d{1,2}(?!\\d)").where(~F.col("value").rlike("^\\d{4}-\\d{2}-\\d{2}$"))
-    return _issue(bad, "NORM-004", "low", F.col("col"), F.col("value"), F.concat(F.lit("数字日期格式不符合 YYYY-MM-DD："), "value"), "改为 YYYY-MM-DD，例如 2026-08-03")
-
-
-def reference_numbering(rows: DataFrame, heading: str = "参考文献") -> DataFrame:
-    """Entries after the first reference heading count up from 1. What is expected follows from the last number before
-    and how many lines ago it stood, so a window does it."""
-    by_doc = Window.partitionBy("doc_id").orderBy("line")
-    start = rows.withColumn("_h", F.min(F.when(strip(F.col("text")) == heading, F.col("line"))).over(Window.partitionBy("doc_id")))
-    body = start.where((F.col("line") > F.col("_h")) & (F.length(strip(F.col("text"))) > 0))
-    number = F.regexp_extract("text", "^(?U:\\s*)\\[(\\d+)\\]", 1)
-    body = body.withColumns({"actual": F.when(number != "", number.try_cast("long")), "k": F.row_number().over(by_doc)})
-    before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("actual").isNotNull(), F.struct("actual", "k")), ignorenulls=True).over(before)
-    seen = body.withColumn("_l", last).withColumn("expected", F.when(F.col("_l").isNull(), F.col("k").cast("long")).otherwise(F.col("_l.actual") + F.col("k") - F.col("_l.k")))
-    bad = seen.where("actual is null or actual <> expected")
-    column = F.when(F.col("actual").isNotNull(), F.lit(1)).otherwise(F.length("text") - F.length(F.regexp_replace("text", "^(?U:\\s+)", "")) + 1)
-    e = F.col("expected").cast("string")
-    return _issue(
-        bad, "NORM-005", "medium", column, strip(F.col("text")),
-        F.when(F.col("actual").isNull(), F.concat(F.lit("参考文献第 "), e, F.lit(" 条格式不正确"))).otherwise(F.concat(F.lit("参考文献编号应为 ["), e, F.lit("]，但找到了 ["), F.col("actual").cast("string"), F.lit("]"))),
-        F.when(F.col("expected") == 1, F.lit("第一条参考文献应以 [1] 开始")).otherwise(F.concat(F.lit("下一条参考文献应连续编号为 ["), e, F.lit("]"))),
-    )
-
-
-def tabs(rows: DataFrame) -> DataFrame:
-    return _issue(rows.where(F.col("text").contains("\t")), "NORM-006", "medium", F.instr("text", "\t"), F.lit("\t"), "包含 Tab 字符", "使用空格替代 Tab")
-
-
-def trailing_blanks(rows: DataFrame) -> DataFrame:
+    extra = lambda x: _issue("NORM-002", "high", x["line"], x["col"], x["value"], "closer", mark=x["value"])
+    left = lambda x: _issue("NORM-002", "high", x["line"], x["col"], x["value"], "opener", mark=x["value"])
+    return F.aggregate(found, F.struct(none.alias("stack"), none.alias("extra")), fold, lambda r: F.concat(F.transform(r["extra"], extra), F.transform(r["stack"], left)))
+
+
+def repeated_punctuation(text: Column, line: Column) -> Column:
+    two = lambda m: _issue("NORM-003", "medium", line, m["start"] + 1, F.substring(m["value"], 1, 2), "repeated", mark=F.substring(m["value"], 1, 2))
+    three = lambda m: _issue("NORM-003", "medium", line, m["start"] + 1, m["value"], "run", n=F.length(m["value"]))
+    return F.concat(F.transform(matches(text, "([，。；])\\1+"), two), F.transform(matches(text, f"({RUN_CLASS})\\1{{2,}}"), three))
+
+
+def invalid_dates(text: Column, line: Column) -> Column:
+    found = matches(text, "(?<!\\d)\\d{4}[-/]\\d{1,2}[-/]\\d{1,2}(?!\\d)")
+    bad = F.filter(found, lambda m: ~m["value"].rlike("^\\d{4}-\\d{2}-\\d{2}$"))
+    return F.transform(bad, lambda m: _issue("NORM-004", "low", line, m["start"] + 1, m["value"], "date", value=m["value"]))
+
+
+def reference_numbering(rows: Column, heading: str = "参考文献") -> Column:
+    """Entries after the first reference heading count up from 1; what is expected next follows the number found."""
+
+    def of(head: Column) -> Column:
+        entry = lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), F.nullif(F.regexp_extract(t, "^(?U:\\s*)\\[(\\d+)\\]", 1), F.lit("")).try_cast("long").alias("n"))
+        after = F.filter(F.transform(rows, entry), lambda x: (head > 0) & (x["line"] > head) & (F.length(strip(x["text"])) > 0))
+
+        def step(acc: Column, x: Column) -> Column:
+            e, n = acc["s"], x["n"]
+            column = F.when(n.isNotNull(), F.lit(1)).otherwise(_lead(x["text"]) + 1)
+            at = ("NORM-005", "medium", x["line"], column, strip(x["text"]))
+            bad = F.when(n.isNull(), _issue(*at, "reference_form", expected=e)).otherwise(_issue(*at, "reference_number", expected=e, actual=n))
+            bad = F.when(e == 1, bad.withField("suggestion", F.lit(MESSAGES["reference_first"][1]))).otherwise(bad)
+            return F.struct((F.coalesce(n, e) + 1).alias("s"), F.when(F.coalesce(n == e, F.lit(False)), acc["out"]).otherwise(F.concat(acc["out"], F.array(bad))).alias("out"))
+
+        return scan(after, F.lit(1).cast("long"), step, _KIND)
+
+    return let(F.array_position(F.transform(rows, strip), heading), of)
+
+
+def tabs(text: Column, line: Column) -> Column:
+    return _some(text.contains("\t"), _issue("NORM-006", "medium", line, F.instr(text, "\t"), F.lit("\t"), "tab"))
+
+
+def trailing_blanks(text: Column, line: Column) -> Column:
     """The column is where the line's first word begins, not where the blanks do; a blank line counts to its end."""
-    lead = F.length("text") - F.length(F.regexp_replace("text", "^(?U:\\s+)", ""))
-    return _issue(rows.where(F.col("text").rlike("[ \\t]+$")), "NORM-006", "medium", lead + 1, F.regexp_extract("text", "((?U:\\s)+)$", 1), "存在行尾空格或制表符", "删除行尾空白字符")
+    blanks = F.regexp_extract(text, "((?U:\\s)+)\\z", 1)
+    return _some(text.rlike("[ \\t]\\z"), _issue("NORM-006", "medium", line, _lead(text) + 1, blanks, "trailing"))
 
 
-def repeated_words(rows: DataFrame) -> DataFrame:
+def repeated_words(text: Column, line: Column) -> Column:
     """A word and white space and the same again. No boundary is asked for after it: 'a apple' counts."""
     pattern = "(?:^|(?U:\\s))([\\p{L}0-9]+)(?:(?U:\\s+)\\1)+"
-    hits = _found(rows, pattern)
-    lead = F.length("value") - F.length(F.regexp_replace("value", "^(?U:\\s)", ""))
-    hits = hits.withColumns({"col": F.col("col") + lead, "w": F.regexp_extract("value", pattern, 1), "value": F.expr("regexp_replace(value, '^(?U:\\\\s)', '')")})
-    return _issue(hits, "NORM-006", "medium", F.col("col"), F.expr("substring(value, 1, length(w) * 2 + 1)"), F.concat(F.lit("存在连续重复词“"), "w", F.lit("”")), "删除重复出现的连续词")
 
+    def issue(m: Column) -> Column:
+        word, value = F.regexp_extract(m["value"], pattern, 1), F.regexp_replace(m["value"], "^(?U:\\s)", "")
+        column = m["start"] + F.length(m["value"]) - F.length(value) + 1
+        return _issue("NORM-006", "medium", line, column, F.substring(value, F.lit(1), F.length(word) * 2 + 1), "word_twice", word=word)
+
+    return F.transform(matches(text, pattern), issue)
 
-def banned_words(rows: DataFrame, words: list[str] = BANNED_WORDS) -> DataFrame:
-    hits = [_found(rows.where(F.col("text").contains(w)), w) for w in words]
-    each = reduce(DataFrame.unionByName, hits)
-    return _issue(each, "NORM-006", "medium", F.col("col"), F.col("value"), F.concat(F.lit("包含禁用词“"), "value", F.lit("”")), "改写为更客观、规范的表达")
 
+def banned_words(text: Column, line: Column, words: list[str] = BANNED_WORDS) -> Column:
+    found = matches(text, "|".join(f"\\Q{w}\\E" for w in words))
+    return F.transform(found, lambda m: _issue("NORM-006", "medium", line, m["start"] + 1, m["value"], "banned", word=m["value"]))
 
-def long_sentences(rows: DataFrame, most: int = MAX_SENTENCE) -> DataFrame:
+
+def long_sentences(text: Column, line: Column, most: int = MAX_SENTENCE) -> Column:
     """Sentences over the limit; and lines over it that end without a mark, once more."""
-    rows = rows.where(F.length("text") > most)
-    each = _found(rows, "[^。！？!?\n]+[。！？!?]?").withColumn("value", strip(F.col("value")))
-    line = rows.select("doc_id", "line", F.lit(1).alias("col"), strip(F.col("text")).alias("value")).where(~F.col("value").rlike("[。！？!?]$"))
-    both = each.unionByName(line).where(F.length("value") > most)
-    return _issue(both, "NORM-006", "medium", F.col("col"), F.col("value"), F.concat(F.lit(f"句子长度超过 {most} 个字符（当前 "), F.length("value").cast("string"), F.lit(" 个字符）")), "拆分成长短适中的多个句子")
+    issue = lambda column, value: _issue("NORM-006", "medium", line, column, value, "long", most=F.lit(most), n=F.length(value))
+    each = F.filter(matches(text, "[^。！？!?\n]+[。！？!?]?"), lambda m: F.length(strip(m["value"])) > most)
+    whole = strip(text)
+    open_end = _some((F.length(whole) > most) & ~whole.rlike("[。！？!?]$"), issue(1, whole))
+    none = F.array().cast(f"array<{_KIND}>")
+    return F.when(F.length(text) > most, F.concat(F.transform(each, lambda m: issue(m["start"] + 1, strip(m["value"]))), open_end)).otherwise(none)
 
 
-LINE_RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "section_order": section_order,
+#: Rules over all lines of a text, and rules over a line and its number.
+TEXT_RULES: dict[str, Callable[..., Column]] = {"section_order": section_order, "unmatched_pairs": unmatched_pairs, "reference_numbering": reference_numbering}
+LINE_RULES: dict[str, Callable[..., Column]] = {
     "repeated_punctuation": repeated_punctuation,
     "invalid_dates": invalid_dates,
-    "reference_numbering": reference_numbering,
     "tabs": tabs,
     "trailing_blanks": trailing_blanks,
     "repeated_words": repeated_words,
@@ -170,15 +186,33 @@ LINE_RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def issues(docs: DataFrame, rules: dict[str, dict] | None = None) -> DataFrame:
+    """The issues of the rules named, with what their functions take besides; all rules if none are named."""
+    chosen = {name: {} for name in (*TEXT_RULES, *LINE_RULES)} if rules is None else rules
+    of_line = [(LINE_RULES[n], more) for n, more in chosen.items() if n in LINE_RULES]
+
+    def found(rows: Column) -> Column:
+        parts = [TEXT_RULES[n](rows, **more) for n, more in chosen.items() if n in TEXT_RULES]
+        if of_line:
+            parts.append(F.flatten(F.transform(rows, lambda t, i: F.concat(*[f(t, i + 1, **more) for f, more in of_line]))))
+        return F.concat(*parts)
+
+    # explode_outer, since Spark infers a filter on the size from explode and computes all of it a second time for that.
+    each = docs.select("doc_id", F.explode_outer(let(F.split("text", "\r?\n"), found)).alias("x")).where("x is not null").select("doc_id", "x.*")
+    names = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
+    return each.withColumn("category", names[F.col("rule_id")]).select(*ISSUE)
+
+
 def analyze(docs: DataFrame, overrides: dict[str, dict] | None = None) -> DataFrame:
     """All issues of all documents with a text that isn't blank. Rules are fixed; with ``overrides`` ({rule_id: {enabled,
     max_chars}}) a rule can be switched off and the sentence limit set."""
     docs = docs.where(F.length(strip(F.coalesce("text", F.lit("")))) > 0)
-    rows, off = lines(docs), {r for r, o in (overrides or {}).items() if o.get("enabled") is False}
-    most = (overrides or {}).get("TEXT-LONG-SENTENCE", {}).get("max_chars", MAX_SENTENCE)
-    rules = {**LINE_RULES, "long_sentences": lambda r: long_sentences(r, most)}
-    found = [rule(rows) for name, rule in rules.items() if not (name == "long_sentences" and "TEXT-LONG-SENTENCE" in off)]
-    out = reduce(DataFrame.unionByName, [*found, unmatched_pairs(docs)])
+    off = {r for r, o in (overrides or {}).items() if o.get("enabled") is False}
+    rules: dict[str, dict] = {name: {} for name in (*TEXT_RULES, *LINE_RULES)}
+    rules["long_sentences"] = {"most": (overrides or {}).get("TEXT-LONG-SENTENCE", {}).get("max_chars", MAX_SENTENCE)}
+    if "TEXT-LONG-SENTENCE" in off:
+        del rules["long_sentences"]
+    out = issues(docs, rules)
     return out.where(~F.col("rule_id").isin(*off)) if off else out
 
 

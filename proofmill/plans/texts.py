@@ -115,29 +115,43 @@ _LINES = r"l as (select doc_id, unnest(range(1, len(s) + 1)) as line, unnest(s)
 
 @query(rf"with {_LINES}, s as (select doc_id, line, unnest(regexp_extract_all(t, '[^。！？!?]+[。！？!?]?')) as v from l), e as (select doc_id, line, trim(v) as v from s union all select doc_id, line, trim(t) from l where not regexp_matches(trim(t), '[。！？!?]$')) select doc_id, line, length(v)::int as n from e where length(v) > 120")
 def lint_long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lint.long_sentences(lint.lines(table(spark, sf_dir, "documents")))
+    found = lint.issues(table(spark, sf_dir, "documents"), {"long_sentences": {}})
     return found.select("doc_id", "line", F.length("excerpt").alias("n"))
 
 
 @query()
 def lint_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.repeated_words(lint.lines(table(spark, sf_dir, "documents"))).select("doc_id", "line", "column", "excerpt", "message")
+    return lint.issues(table(spark, sf_dir, "documents"), {"repeated_words": {}}).select("doc_id", "line", "column", "excerpt", "message")
 
 
-_QUOTES = r"""with d as (select doc_id, text, unnest(range(1, length(text) + 1)) as i from documents where regexp_matches(text, '["'']') and not regexp_matches(text, '[()（）\[\]【】《》“”]'))
+_QUOTES = r"""with d as (select doc_id, text, unnest(range(1, length(text) + 1)) as i from documents where regexp_matches(text, '["'']'))
 select doc_id, text[i] as mark, count(*) as n from d where text[i] in ('"', '''') group by 1, 2"""
 
 
 @query(_QUOTES)
 def lint_straight_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without brackets: each straight quote is unmatched."""
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[()（）\\[\\]【】《》“”]"))
-    return lint.unmatched_pairs(docs).groupBy("doc_id", F.col("excerpt").alias("mark")).agg(F.count(F.lit(1)).alias("n"))
+    """Straight quotes never close, so each one is unmatched."""
+    found = lint.issues(table(spark, sf_dir, "documents"), {"unmatched_pairs": {}}).where(F.col("excerpt").isin('"', "'"))
+    return found.groupBy("doc_id", F.col("excerpt").alias("mark")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: The stack as a recursion over the marks of each text.
+_STACK = r"""with recursive m as (select doc_id, text, list_filter(list_transform(range(1, length(text) + 1), lambda i: {'p': i, 'c': text[i]}), lambda x: contains('()（）[]【】《》“”"' || chr(39), x.c)) as marks
+  from documents where regexp_matches(text, '[()（）\[\]【】《》“”"'']')),
+r as (select doc_id, marks, 1 as i, []::struct(p bigint, c varchar)[] as stack, []::struct(p bigint, c varchar)[] as extra from m
+  union all select doc_id, marks, i + 1,
+    case when contains('(（[【《“"' || chr(39), marks[i].c) then list_append(stack, marks[i]) when fits then stack[:len(stack) - 1] else stack end,
+    case when contains('(（[【《“"' || chr(39), marks[i].c) or fits then extra else list_append(extra, marks[i]) end
+  from (select *, coalesce(stack[len(stack)].c || marks[i].c in ('()', '（）', '[]', '【】', '《》', '“”'), false) as fits from r where i <= len(marks))),
+e as (select doc_id, unnest(extra) as x, '多余的闭合标点“' as a, '”' as b from r where i = len(marks) + 1 union all select doc_id, unnest(stack), '标点“', '”未成对' from r where i = len(marks) + 1)
+select e.doc_id, 'NORM-002' as rule_id, 'high' as severity, (length(h) - length(replace(h, chr(10), '')) + 1)::bigint as line, (length(regexp_replace(h, '^(.|\n)*\n', '')) + 1)::bigint as "column", x.c as excerpt, a || x.c || b as message
+from (select e.*, substr(m.text, 1, x.p - 1) as h from e join m on m.doc_id = e.doc_id) e"""
+
+
+@query(_STACK)
 def lint_unmatched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.unmatched_pairs(table(spark, sf_dir, "documents"))
+    found = lint.issues(table(spark, sf_dir, "documents"), {"unmatched_pairs": {}})
+    return found.select("doc_id", "rule_id", "severity", "line", "column", "excerpt", "message")
 
 
 @query(rf"with {_LINES}, f as (select doc_id, min(line) filter (trim(t) = 'All rights reserved.') as a, min(line) filter (trim(t) = 'Released under the MIT License.') as b from l group by 1) select doc_id, case when a is null then 'All rights reserved.' end as first_missing, case when b is null then 'Released under the MIT License.' end as second_missing, coalesce(b < a, false) as wrong_order from f")
@@ -145,7 +159,7 @@ def lint_section_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule with headings that these texts have."""
     names = ["All rights reserved.", "Released under the MIT License."]
     docs = table(spark, sf_dir, "documents")
-    found = lint.section_order(lint.lines(docs), names)
+    found = lint.issues(docs, {"section_order": {"sections": names}})
     lack = lambda s: F.max(F.when((F.col("excerpt") == s) & F.col("message").startswith("缺少"), F.col("excerpt")))
     per = found.groupBy("doc_id").agg(lack(names[0]).alias("first_missing"), lack(names[1]).alias("second_missing"), F.bool_or(F.col("message").endswith("顺序错误")).alias("wrong_order"))
     return docs.select("doc_id").join(per, "doc_id", "left").withColumn("wrong_order", F.coalesce("wrong_order", F.lit(False)))
@@ -181,7 +195,7 @@ def layout_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"with {_LINES}, c as (select doc_id, lower(regexp_replace(t, '[\s\p{{Z}}]+', '', 'g')) as k from l), m as (select doc_id, unnest([case when not bool_or(starts_with(k, '摘要') or starts_with(k, 'abstract')) then '摘要' end, case when not bool_or(starts_with(k, '目录') or starts_with(k, 'contents')) then '目录' end]) as missing from c where k <> '' group by 1) select doc_id, missing from m where missing is not null")
 def layout_required_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = layout.required_sections(layout.reading_lines(_layout_rows(spark, sf_dir)))
+    found = layout.lint(_layout_rows(spark, sf_dir), ["required_section_completeness_check"])
     return found.select("doc_id", F.regexp_extract("message", "“(摘要|目录)”", 1).alias("missing")).where("missing <> ''")
 
 
@@ -191,6 +205,11 @@ def rewrite_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.basic(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "polished")
 
 
+@query()
+def layout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.summary(layout.runs(_layout_rows(spark, sf_dir)))
+
+
 @query()
 def rewrite_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rewrite.polish(table(spark, sf_dir, "documents").select("doc_id", "text"), "enhanced", [("MIT License", "MIT licence")])
