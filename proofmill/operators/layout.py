@@ -1,18 +1,20 @@
 """Lint of positioned lines. Input: (doc_id, page_number, reading_order, y1, y2, x1, height, text); blank lines don't count.
 
-A rule gives findings (doc_id, rule_id, page_number, reading_order, text, message); documents in which a rule has nothing
-to look at are unsupported. Numbering rules share one closed form: with j entries before, what is expected is
-j + 1 + max(0, max over them of (number - their rank)), a running maximum.
+A document's lines are gathered into one row in reading order, once; each rule is an expression from that array to an
+array of findings, and a second one says whether there was anything to look at. So the lines are read once and dealt
+out once, however many rules run. A finding is (doc_id, rule_id, severity, n, page_number, reading_order, text, message,
+suggestion).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.functions.text import compact, matches, strip
+from proofmill.functions.text import compact, fill, let, matches, scan, strip
 
 #: Patterns and words of the rules (fixed values).
 REFERENCE_HEADING = "(?i)^(参考文献|references|bibliography)$"
@@ -28,144 +30,234 @@ COVER_WORDS = ["学位论文", "硕士论文", "博士论文"]
 REQUIRED = {"摘要": ["摘要", "abstract"], "关键词": ["关键词", "关键字", "keywords", "key words"], "目录": ["目录", "contents"], "参考文献": ["参考文献", "references", "bibliography"]}
 MAX_FINDINGS = 20
 
-_ORDER = ["page_number", "reading_order", "y1", "x1"]
+#: What findings say, and what they suggest (fixed values).
+MESSAGES = {
+    "numbering": ("{name}编号不连续：当前序号为 {number}，同组下一序号应为 {expected}。", "请检查是否遗漏、重复或错序编号，并保持同一章节内连续编号。"),
+    "reference_bracket": ("参考文献条目缺少方括号编号。", "请以“[序号]”开头，并按正文出现顺序连续编号。"),
+    "reference_number": ("参考文献编号应为 [{expected}]，实际为 [{number}]。", "请调整参考文献编号，使其从 [1] 起连续递增。"),
+    "reference_year": ("参考文献条目未识别到四位出版年份。", "请补充规范的出版或发表年份。"),
+    "reference_kind": ("参考文献条目未识别到文献类型标识。", "请按采用的 GB/T 7714 模板补充如 [J]、[M]、[D] 等文献类型标识。"),
+    "wide": ("检测到全角英文字母或数字。", "请将英文字母和阿拉伯数字统一为半角字符。"),
+    "mixed": ("中文文本中混用了英文半角标点。", "请根据院校规范统一使用中文全角标点，英文或公式内容除外。"),
+    "keywords": ("中英文关键词数量不一致：中文 {zh} 个，英文 {en} 个。", "请核对中英文关键词并保持数量和含义一一对应。"),
+    "heading_first": ("标题编号未从 1 开始：在 {under} 下发现“{number}”。", "请确认该同级标题是否应从“{expected}”开始编号。"),
+    "heading_next": ("标题编号不连续：在 {under} 下发现“{number}”，应接续为“{expected}”。", "请检查标题是否遗漏、重复或错序，并使同级标题按顺序连续编号。"),
+    "toc": ("目录条目“{title}”未在正文中识别到同名标题。", "请核对目录与正文标题是否一致；如为换行标题，请人工确认。"),
+    "cover": ("首页未识别到学位论文封面标识。", "请确认封面页包含学位论文类型与题名；非标准模板或扫描件可能无法识别。"),
+    "section": ("未识别到必备章节“{name}”。", "请确认论文包含该章节；扫描件或非标准标题可能导致无法识别。"),
+    "page": ("页码不连续：上一页显示 {previous}，当前页显示 {current}。", "请核对页码起始页、连续性和页码格式。"),
+    "citation": ("正文首次引用序号应为 [{expected}]，但识别到 [{number}]。", "请核对正文引注、脚注与参考文献编号的连续性。"),
+}
+#: What a rule without anything to look at says (fixed values).
+UNSUPPORTED = {
+    "figure_table_formula_numbering_check": "figure_table_formula_labels_not_detected",
+    "reference_basic_format_check": "reference_section_not_detected",
+    "bilingual_keywords_correspondence_check": "bilingual_keywords_not_detected",
+    "heading_numbering_sequence_check": "heading_numbering_candidates_not_detected",
+    "toc_body_heading_consistency_check": "toc_not_detected",
+    "page_number_sequence_check": "page_numbers_not_detected",
+    "citation_footnote_sequence_check": "citations_not_detected",
+}
+NO_ENTRIES = "reference_entries_not_detected"
+#: Which lines are numbered headings, and which are entries of a table of contents: parameters, as layouts differ.
+HEADING = "^(\\d+(?:\\.\\d+){0,3})[\\s、.．]+\\S.{0,88}$"
+TOC_ENTRY = "^(.*\\S)\\s*(?:[.．·…]{2,}|\\t|\\s{2,})\\s*\\d+$"
 
+_FINDING = "struct<n:int,page_number:bigint,reading_order:bigint,text:string,message:string,suggestion:string>"
+_LINE = ("page_number", "reading_order", "y1", "x1", "y2", "height", "text")
 
-def reading_lines(rows: DataFrame) -> DataFrame:
-    """Lines with text, trimmed, numbered in reading order."""
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """(doc_id, lines): a document's lines with text, trimmed, in reading order, numbered from 1 as ``n``."""
     kept = rows.withColumn("text", strip(F.col("text"))).where(F.length("text") > 0)
-    return kept.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*_ORDER)))
+    line = F.struct(*[F.col(c).cast("long" if c in _LINE[:2] else "string" if c == "text" else "double").alias(c) for c in _LINE])
+    sorted_ = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return sorted_.select("doc_id", F.transform("lines", lambda x, i: x.withField("n", i + 1)).alias("lines"))
 
 
 def with_expected(rows: DataFrame, keys: list[str], number: str, order: list[str]) -> DataFrame:
-    """Adds ``expected``: 1 for a group's first entry, then max(expected + 1, number + 1)."""
+    """Adds ``expected``: 1 for a group's first entry, then max(expected + 1, number + 1). With j entries before, that is
+    j + 1 + max(0, max over them of (number - their rank)), a running maximum."""
     by = Window.partitionBy(*keys).orderBy(*order)
     ranked = rows.withColumn("_j", F.row_number().over(by))
     ahead = F.max(F.col(number) - F.col("_j")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     return ranked.withColumn("expected", F.col("_j") + F.greatest(F.lit(0), F.coalesce(ahead, F.lit(0)))).drop("_j")
 
 
-def _finding(rows: DataFrame, rule: str, message: Column | str) -> DataFrame:
-    return rows.select("doc_id", F.lit(rule).alias("rule_id"), "n", "page_number", "reading_order", "text", (message if isinstance(message, Column) else F.lit(message)).alias("message"))
+def _finding(line: Column, says: str, **values: Column) -> Column:
+    message, suggestion = (fill(t, **values) for t in MESSAGES[says])
+    return F.struct(line["n"].alias("n"), line["page_number"].alias("page_number"), line["reading_order"].alias("reading_order"), line["text"].alias("text"), message.alias("message"), suggestion.alias("suggestion"))
 
 
-def _say(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+def _some(*checks: tuple[Column, Column]) -> Column:
+    """The findings whose conditions hold."""
+    return F.array_compact(F.array(*[F.when(ok, finding) for ok, finding in checks])).cast(f"array<{_FINDING}>")
 
 
-def capped(findings: DataFrame, most: int = MAX_FINDINGS) -> DataFrame:
-    """At most so many findings of a rule in a document, the first ones; a report's feature, 1 to 200."""
-    if not 1 <= most <= 200:
-        raise ValueError("max_findings must be 1 to 200")
-    rank = F.row_number().over(Window.partitionBy("doc_id", "rule_id").orderBy("n", "message"))
-    return findings.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+def _with(lines: Column, keep: Callable[[Column], Column], **fields: Callable[[Column], Column]) -> Column:
+    """The lines that ``keep`` takes, with fields computed from their texts."""
+    chosen = F.filter(lines, lambda x: keep(x["text"]))
+    return F.transform(chosen, lambda x: reduce(lambda y, f: y.withField(f, fields[f](x["text"])), fields, x))
+
+
+def _in_sequence(entries: Column, says: str, **values: Callable[[Column], Column]) -> Column:
+    """Findings for entries whose ``number`` is not the one expected: 1, then max(expected + 1, number + 1)."""
+
+    def step(acc: Column, x: Column) -> Column:
+        bad = _finding(x, says, expected=acc["s"], **{k: f(x) for k, f in values.items()})
+        return F.struct((F.greatest(acc["s"], x["number"]) + 1).alias("s"), F.when(x["number"] == acc["s"], acc["out"]).otherwise(F.concat(acc["out"], F.array(bad))).alias("out"))
 
+    return scan(entries, F.lit(1).cast("long"), step, _FINDING)
 
-def figure_numbering(lines: DataFrame) -> DataFrame:
-    part = lambda i: F.regexp_extract("text", OBJECT, i)
-    rows = lines.where(F.col("text").rlike(OBJECT)).withColumns({"_k": F.lower(part(1)), "_a": part(2).try_cast("long"), "_b": part(3).try_cast("long")})
-    name = F.when(F.col("_k").isin("图", "figure", "fig", "fig."), "图").when(F.col("_k").isin("表", "table"), "表").otherwise("公式")
-    rows = rows.withColumns({"name": name, "chapter": F.when(F.col("_b").isNotNull(), F.col("_a")), "number": F.coalesce("_b", "_a")})
-    bad = with_expected(rows, ["doc_id", "name", "chapter"], "number", ["n"]).where("number <> expected")
-    return _finding(bad, "figure_table_formula_numbering_check", _say(F.col("name"), "编号不连续：当前序号为 ", F.col("number"), "，同组下一序号应为 ", F.col("expected"), "。"))
 
+def _number(pattern: str, group: int) -> Callable[[Column], Column]:
+    return lambda t: F.nullif(F.regexp_extract(t, pattern, group), F.lit("")).try_cast("long")
 
-def _reference_section(lines: DataFrame) -> DataFrame:
+
+def figure_numbering(lines: Column) -> Column:
+    kind = lambda t: F.lower(F.regexp_extract(t, OBJECT, 1))
+    name = lambda t: F.when(kind(t).isin("图", "figure", "fig", "fig."), "图").when(kind(t).isin("表", "table"), "表").otherwise("公式")
+    first, second = _number(OBJECT, 2), _number(OBJECT, 3)
+    number, chapter = lambda t: F.coalesce(second(t), first(t)), lambda t: F.when(second(t).isNotNull(), first(t))
+    group = lambda t: F.concat_ws(":", name(t), chapter(t).cast("string"))
+    entries = _with(lines, lambda t: t.rlike(OBJECT), name=name, number=number, group=group)
+
+    def of(xs: Column) -> Column:
+        groups = F.array_distinct(F.transform(xs, lambda x: x["group"]))
+        return F.flatten(F.transform(groups, lambda g: _in_sequence(F.filter(xs, lambda x: x["group"] == g), "numbering", name=lambda x: x["name"], number=lambda x: x["number"])))
+
+    return let(entries, of)
+
+
+def _section(lines: Column) -> Column:
     """Lines after the first reference heading and before the next section."""
-    by = Window.partitionBy("doc_id").orderBy("n")
-    head = F.min(F.when(F.col("text").rlike(REFERENCE_HEADING), F.col("n"))).over(Window.partitionBy("doc_id"))
-    rows = lines.withColumn("_h", head).where(F.col("n") > F.col("_h"))
-    ended = F.max(F.col("text").rlike(NEXT_SECTION).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_e", ended).where("_e = 0")
-
-
-def reference_format(lines: DataFrame) -> DataFrame:
-    rule, section = "reference_basic_format_check", _reference_section(lines)
-    plain = _finding(section.where(~F.col("text").rlike(REFERENCE) & F.col("text").rlike(UNNUMBERED)), rule, "参考文献条目缺少方括号编号。")
-    entries = section.where(F.col("text").rlike(REFERENCE)).withColumns({"number": F.regexp_extract("text", REFERENCE, 1).try_cast("long"), "body": F.regexp_extract("text", REFERENCE, 2)})
-    wrong = with_expected(entries, ["doc_id"], "number", ["n"]).where("number <> expected")
-    return reduce(
-        DataFrame.unionByName,
-        [
-            plain,
-            _finding(wrong, rule, _say("参考文献编号应为 [", F.col("expected"), "]，实际为 [", F.col("number"), "]。")),
-            _finding(entries.where(~F.col("body").rlike(YEAR)), rule, "参考文献条目未识别到四位出版年份。"),
-            _finding(entries.where(~F.col("body").rlike(KIND)), rule, "参考文献条目未识别到文献类型标识。"),
-        ],
-    )
-
-
-def symbol_mix(lines: DataFrame) -> DataFrame:
-    rule = "chinese_english_symbol_mix_check"
-    wide = lines.where(F.col("text").rlike("[Ａ-Ｚａ-ｚ０-９]"))
-    mixed = lines.where(F.col("text").rlike("[\\u4e00-\\u9fff][,;:!?][\\u4e00-\\u9fff]"))
-    return _finding(wide, rule, "检测到全角英文字母或数字。").unionByName(_finding(mixed, rule, "中文文本中混用了英文半角标点。"))
-
-
-def bilingual_keywords(lines: DataFrame) -> DataFrame:
-    label = F.lower(F.regexp_extract("text", KEYWORDS, 1))
-    rows = lines.where(F.col("text").rlike(KEYWORDS)).withColumn("zh", label.isin("关键词", "关键字"))
-    words = F.size(F.filter(F.split(F.regexp_extract("text", KEYWORDS, 2), "[,，;；、]"), lambda w: F.length(F.trim(w)) > 0))
-    rows = rows.withColumn("words", words)
-    row = F.struct("words", "n", "page_number", "reading_order", "text")
-    first = rows.groupBy("doc_id").agg(F.min_by(F.when(F.col("zh"), F.col("words")), F.when(F.col("zh"), F.col("n"))).alias("zh"), F.min_by(F.when(~F.col("zh"), row), F.when(~F.col("zh"), F.col("n"))).alias("en"))
-    bad = first.where("zh is not null and en is not null and zh <> en.words").select("doc_id", "zh", "en.*")
-    return _finding(bad, "bilingual_keywords_correspondence_check", _say("中英文关键词数量不一致：中文 ", F.col("zh"), " 个，英文 ", F.col("words"), " 个。"))
-
-
-def heading_numbering(lines: DataFrame, pattern: str = "^(\\d+(?:\\.\\d+){0,3})[\\s、.．]+\\S.{0,88}$") -> DataFrame:
-    """Numbered headings count up from 1 below each parent. Which lines are headings is a parameter."""
-    number = F.regexp_extract("text", pattern, 1)
-    rows = lines.withColumn("number", number).where(number != "").withColumns({"parent": F.regexp_extract("number", "^(.*)\\.\\d+$", 1), "current": F.regexp_extract("number", "(\\d+)$", 1).try_cast("long")})
-    rows = rows.withColumn("previous", F.lag("current").over(Window.partitionBy("doc_id", "parent").orderBy("n")))
-    bad = rows.where("(previous is null and current <> 1) or current <> previous + 1")
-    under = F.when(F.col("parent") == "", F.lit("章节")).otherwise(F.col("parent"))
-    follows = F.concat_ws(".", F.when(F.col("parent") != "", F.col("parent")), (F.col("previous") + 1).cast("string"))
-    return _finding(
-        bad, "heading_numbering_sequence_check",
-        F.when(F.col("previous").isNull(), _say("标题编号未从 1 开始：在 ", under, " 下发现“", F.col("number"), "”。")).otherwise(_say("标题编号不连续：在 ", under, " 下发现“", F.col("number"), "”，应接续为“", follows, "”。")),
-    )
-
-
-def toc_consistency(lines: DataFrame, entry: str = "^(.*\\S)\\s*(?:[.．·…]{2,}|\\t|\\s{2,})\\s*\\d+$") -> DataFrame:
-    """Entries of a table of contents whose title is no line of the body. Which lines are entries is a parameter."""
-    title = strip(F.regexp_replace(F.regexp_extract("text", entry, 1), "[.．·…\\s]+$", ""))
-    toc = lines.where(F.col("text").rlike(entry)).withColumns({"title": title, "_key": compact(title)}).where("title <> ''")
-    body = lines.where(~F.col("text").rlike(entry)).select("doc_id", compact(F.col("text")).alias("_key"))
-    return _finding(toc.join(body, ["doc_id", "_key"], "left_anti"), "toc_body_heading_consistency_check", _say("目录条目“", F.col("title"), "”未在正文中识别到同名标题。"))
-
-
-def required_sections(lines: DataFrame) -> DataFrame:
-    rule, small = "required_section_completeness_check", compact(F.col("text"))
-    starts = lambda words: reduce(lambda a, b: a | b, [small.startswith(w) for w in words])
-    first_page = F.min("page_number").over(Window.partitionBy("doc_id"))
-    cover = F.bool_or((F.col("page_number") == F.col("_p")) & reduce(lambda a, b: a | b, [small.contains(w) for w in COVER_WORDS]))
-    per_doc = lines.withColumn("_p", first_page).groupBy("doc_id").agg(
-        F.min_by(F.struct("n", "page_number", "reading_order", "text"), "n").alias("a"), cover.alias("cover"), *[F.bool_or(starts(w)).alias(f"has_{i}") for i, w in enumerate(REQUIRED.values())]
-    )
-    checks = [F.when(~F.col("cover"), F.lit("首页未识别到学位论文封面标识。"))] + [F.when(~F.col(f"has_{i}"), F.lit(f"未识别到必备章节“{name}”。")) for i, name in enumerate(REQUIRED)]
-    each = per_doc.select("doc_id", "a.*", F.explode(F.array_compact(F.array(*checks))).alias("m"))
-    return _finding(each, rule, F.col("m"))
-
-
-def page_numbers(lines: DataFrame) -> DataFrame:
-    rows = lines.where((F.col("y2") >= F.col("height") * 0.85) & F.col("text").rlike("^[0-9]+$")).withColumn("current", F.col("text").try_cast("long"))
-    rows = rows.withColumn("previous", F.lag("current").over(Window.partitionBy("doc_id").orderBy("n")))
-    return _finding(rows.where("current <> previous + 1"), "page_number_sequence_check", _say("页码不连续：上一页显示 ", F.col("previous"), "，当前页显示 ", F.col("current"), "。"))
-
-
-def citation_sequence(lines: DataFrame) -> DataFrame:
+    head = F.array_position(F.transform(lines, lambda x: x["text"].rlike(REFERENCE_HEADING)), True)
+
+    def of(after: Column) -> Column:
+        end = F.array_position(F.transform(after, lambda x: x["text"].rlike(NEXT_SECTION)), True)
+        return F.when(end > 0, F.slice(after, F.lit(1), (end - 1).cast("int"))).otherwise(after)
+
+    rest = F.when(head > 0, F.slice(lines, (head + 1).cast("int"), F.greatest(F.size(lines), F.lit(1)))).otherwise(F.slice(lines, 1, 0))
+    return let(rest, of)
+
+
+def reference_format(lines: Column) -> Column:
+    number, body = _number(REFERENCE, 1), lambda t: F.regexp_extract(t, REFERENCE, 2)
+
+    def step(acc: Column, x: Column) -> Column:
+        t, e = x["text"], acc["s"]
+        entry, n = t.rlike(REFERENCE), number(x["text"])
+        bad = _some(
+            (~entry & t.rlike(UNNUMBERED), _finding(x, "reference_bracket")),
+            (entry & (n != e), _finding(x, "reference_number", expected=e, number=n)),
+            (entry & ~body(t).rlike(YEAR), _finding(x, "reference_year")),
+            (entry & ~body(t).rlike(KIND), _finding(x, "reference_kind")),
+        )
+        return F.struct(F.when(entry, F.greatest(e, n) + 1).otherwise(e).alias("s"), F.concat(acc["out"], bad).alias("out"))
+
+    return scan(_section(lines), F.lit(1).cast("long"), step, _FINDING)
+
+
+def symbol_mix(lines: Column) -> Column:
+    wide, mixed = "[Ａ-Ｚａ-ｚ０-９]", "[\\u4e00-\\u9fff][,;:!?][\\u4e00-\\u9fff]"
+    return F.flatten(F.transform(lines, lambda x: _some((x["text"].rlike(wide), _finding(x, "wide")), (x["text"].rlike(mixed), _finding(x, "mixed")))))
+
+
+def _keywords(lines: Column) -> tuple[Column, Column]:
+    """The first line of keywords in Chinese and in English, with their number."""
+    words = lambda t: F.size(F.filter(F.split(F.regexp_extract(t, KEYWORDS, 2), "[,，;；、]"), lambda w: F.length(strip(w)) > 0))
+    rows = _with(lines, lambda t: t.rlike(KEYWORDS), zh=lambda t: F.regexp_extract(t, KEYWORDS, 1).isin("关键词", "关键字"), words=words)
+    return F.get(F.filter(rows, lambda x: x["zh"]), F.lit(0)), F.get(F.filter(rows, lambda x: ~x["zh"]), F.lit(0))
+
+
+def bilingual_keywords(lines: Column) -> Column:
+    zh, en = _keywords(lines)
+    return let(F.struct(zh.alias("zh"), en.alias("en")), lambda b: _some((b["zh"]["words"] != b["en"]["words"], _finding(b["en"], "keywords", zh=b["zh"]["words"], en=b["en"]["words"]))))
+
+
+def heading_numbering(lines: Column, pattern: str = HEADING) -> Column:
+    """Numbered headings count up from 1 below each parent."""
+    number = lambda t: F.regexp_extract(t, pattern, 1)
+    rows = _with(lines, lambda t: t.rlike(pattern), number=number, parent=lambda t: F.regexp_extract(number(t), "^(.*)\\.\\d+$", 1), current=lambda t: F.regexp_extract(number(t), "(\\d+)$", 1).try_cast("long"))
+
+    def of(xs: Column) -> Column:
+        def below(parent: Column) -> Column:
+            under = F.when(parent == "", F.lit("章节")).otherwise(parent)
+            name = lambda k: F.concat_ws(".", F.nullif(parent, F.lit("")), k.cast("string"))
+
+            def check(own: Column) -> Column:
+                def one(x: Column, i: Column) -> Column:
+                    before = F.get(own, i - 1)["current"]
+                    return _some(
+                        ((i == 0) & (x["current"] != 1), _finding(x, "heading_first", under=under, number=x["number"], expected=name(F.lit(1)))),
+                        ((i > 0) & (x["current"] != before + 1), _finding(x, "heading_next", under=under, number=x["number"], expected=name(before + 1))),
+                    )
+
+                return F.flatten(F.transform(own, one))
+
+            return let(F.filter(xs, lambda x: x["parent"] == parent), check)
+
+        return F.array_sort(F.flatten(F.transform(F.array_distinct(F.transform(xs, lambda x: x["parent"])), below)))
+
+    return let(rows, of)
+
+
+def toc_consistency(lines: Column, entry: str = TOC_ENTRY) -> Column:
+    """Entries of a table of contents whose title is no line of the body."""
+    body = F.array_distinct(F.transform(F.filter(lines, lambda x: ~x["text"].rlike(entry)), lambda x: compact(x["text"])))
+    title = lambda t: strip(F.regexp_replace(F.regexp_extract(t, entry, 1), "[.．·…\\s]+$", ""))
+    rows = _with(lines, lambda t: t.rlike(entry), title=title)
+    absent = lambda known: F.filter(rows, lambda x: (x["title"] != "") & ~F.array_contains(known, compact(x["title"])))
+    return F.transform(let(body, absent), lambda x: _finding(x, "toc", title=x["title"]))
+
+
+def required_sections(lines: Column) -> Column:
+    small = F.transform(lines, lambda x: compact(x["text"]))
+    page = F.array_join(F.transform(F.filter(lines, lambda x: x["page_number"] == F.get(lines, F.lit(0))["page_number"]), lambda x: compact(x["text"])), "")
+    first = F.get(lines, F.lit(0))
+    starts = lambda t, words: reduce(lambda a, b: a | b, [t.startswith(w) for w in words])
+    cover = let(page, lambda t: reduce(lambda a, b: a | b, [t.contains(w) for w in COVER_WORDS]))
+    absent = lambda ts, words: ~F.exists(ts, lambda t: starts(t, words))
+    sections = let(small, lambda ts: _some(*[(absent(ts, words), _finding(first, "section", name=F.lit(name))) for name, words in REQUIRED.items()]))
+    return F.concat(_some((~cover, _finding(first, "cover"))), sections)
+
+
+def _pages(lines: Column) -> Column:
+    """Lines of digits alone in the bottom part of their page."""
+    low = F.filter(lines, lambda x: (x["y2"] >= x["height"] * 0.85) & x["text"].rlike("^[0-9]+$"))
+    return F.transform(low, lambda x: x.withField("number", x["text"].try_cast("long")))
+
+
+def page_numbers(lines: Column) -> Column:
+    def of(xs: Column) -> Column:
+        one = lambda x, i: _some(((i > 0) & (x["number"] != F.get(xs, i - 1)["number"] + 1), _finding(x, "page", previous=F.get(xs, i - 1)["number"], current=x["number"])))
+        return F.flatten(F.transform(xs, one))
+
+    return let(_pages(lines), of)
+
+
+def _cited(lines: Column) -> Column:
+    """The numbers cited before the reference heading, in order, with their lines."""
+    head = F.array_position(F.transform(lines, lambda x: x["text"].rlike(REFERENCE_HEADING)), True)
+    body = F.when(head > 0, F.slice(lines, F.lit(1), (head - 1).cast("int"))).otherwise(lines)
+    numbers = lambda t: F.flatten(F.transform(F.regexp_extract_all(t, F.lit(CITATION), F.lit(0)), lambda m: F.regexp_extract_all(m, F.lit("\\d+"), F.lit(0))))
+    return F.flatten(F.transform(body, lambda x: F.transform(numbers(x["text"]), lambda v: x.withField("number", v.try_cast("long")))))
+
+
+def citation_sequence(lines: Column) -> Column:
     """Numbers cited before the reference heading appear for the first time in the order 1, 2, 3."""
-    by = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    body = lines.withColumn("_r", F.max(F.col("text").rlike(REFERENCE_HEADING).cast("int")).over(by)).where("_r = 0")
-    cited = body.select("*", F.posexplode(F.flatten(F.transform(matches(F.col("text"), CITATION), lambda m: F.regexp_extract_all(m["value"], F.lit("\\d+"), F.lit(0))))).alias("k", "value"))
-    cited = cited.withColumn("number", F.col("value").try_cast("long"))
-    first = cited.withColumn("_f", F.row_number().over(Window.partitionBy("doc_id", "number").orderBy("n", "k"))).where("_f = 1")
-    bad = with_expected(first, ["doc_id"], "number", ["n", "k"]).where("number <> expected")
-    return _finding(bad, "citation_footnote_sequence_check", _say("正文首次引用序号应为 [", F.col("expected"), "]，但识别到 [", F.col("number"), "]。"))
 
+    def step(acc: Column, x: Column) -> Column:
+        expected, seen = acc["s"]["expected"], acc["s"]["seen"]
+        new = ~F.array_contains(seen, x["number"])
+        bad = _finding(x, "citation", expected=expected, number=x["number"])
+        state = F.struct(F.when(new, F.greatest(expected, x["number"]) + 1).otherwise(expected).alias("expected"), F.when(new, F.concat(seen, F.array(x["number"]))).otherwise(seen).alias("seen"))
+        return F.struct(state.alias("s"), F.when(new & (x["number"] != expected), F.concat(acc["out"], F.array(bad))).otherwise(acc["out"]).alias("out"))
+
+    return scan(_cited(lines), F.struct(F.lit(1).cast("long").alias("expected"), F.array().cast("array<bigint>").alias("seen")), step, _FINDING)
 
-RULES = {
+
+RULES: dict[str, Callable[[Column], Column]] = {
     "figure_table_formula_numbering_check": figure_numbering,
     "reference_basic_format_check": reference_format,
     "chinese_english_symbol_mix_check": symbol_mix,
@@ -176,6 +268,8 @@ RULES = {
     "page_number_sequence_check": page_numbers,
     "citation_footnote_sequence_check": citation_sequence,
 }
+#: Every rule's severity and how its evidence comes about (fixed values).
+SEVERITY, EVIDENCE = "warning", "derived"
 
 
 def select_rules(names: list[str]) -> list[str]:
@@ -186,33 +280,66 @@ def select_rules(names: list[str]) -> list[str]:
     return wanted
 
 
-def supported(lines: DataFrame) -> DataFrame:
-    """(doc_id, rule_id) for each rule that has something to look at in a document."""
-    t = F.col("text")
-    has = {
-        "figure_table_formula_numbering_check": F.bool_or(t.rlike(OBJECT)),
-        "reference_basic_format_check": F.bool_or(t.rlike(REFERENCE_HEADING)),
-        "chinese_english_symbol_mix_check": F.lit(True),
-        "bilingual_keywords_correspondence_check": F.bool_or(t.rlike("(?i)^\\s*关键[词字]\\s*[:：]")) & F.bool_or(t.rlike("(?i)^\\s*key\\s*words?\\s*[:：]")),
-        "heading_numbering_sequence_check": F.bool_or(t.rlike("^\\d+(?:\\.\\d+){0,3}[\\s、.．]+\\S")),
-        "toc_body_heading_consistency_check": F.bool_or(t.rlike("(?:[.．·…]{2,}|\\t|\\s{2,})\\s*\\d+$")),
-        "required_section_completeness_check": F.lit(True),
-        "page_number_sequence_check": F.count_if((F.col("y2") >= F.col("height") * 0.85) & t.rlike("^[0-9]+$")) >= 2,
-        "citation_footnote_sequence_check": F.bool_or(t.rlike(CITATION)),
+def _lacks(rule: str, lines: Column) -> Column:
+    """Why a rule has nothing to look at in a document; null if it has."""
+    some = lambda pattern: F.exists(lines, lambda x: x["text"].rlike(pattern))
+    ready = {
+        "figure_table_formula_numbering_check": lambda: some(OBJECT),
+        "reference_basic_format_check": lambda: some(REFERENCE_HEADING),
+        "bilingual_keywords_correspondence_check": lambda: reduce(lambda a, b: a.isNotNull() & b.isNotNull(), _keywords(lines)),
+        "heading_numbering_sequence_check": lambda: some(HEADING),
+        "toc_body_heading_consistency_check": lambda: some(TOC_ENTRY),
+        "page_number_sequence_check": lambda: F.size(_pages(lines)) >= 2,
+        "citation_footnote_sequence_check": lambda: F.size(_cited(lines)) > 0,
     }
-    rows = lines.groupBy("doc_id").agg(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in has.items()])).alias("r"))
-    return rows.select("doc_id", F.explode("r").alias("rule_id"))
+    if rule not in ready:
+        return F.lit(None).cast("string")
+    lack = F.when(~ready[rule](), F.lit(UNSUPPORTED[rule]))
+    if rule == "reference_basic_format_check":
+        entries = F.exists(_section(lines), lambda x: x["text"].rlike(REFERENCE) | x["text"].rlike(UNNUMBERED))
+        lack = F.coalesce(lack, F.when(~entries, F.lit(NO_ENTRIES)))
+    return lack
+
+
+def runs(rows: DataFrame, names: list[str] | None = None, most: int = MAX_FINDINGS) -> DataFrame:
+    """(doc_id, rule_id, status, message, findings) for every rule chosen: completed, or unsupported with the reason. At
+    most ``most`` findings of a rule, the first ones; a report's feature, 1 to 200."""
+    if not 1 <= most <= 200:
+        raise ValueError("max_findings must be 1 to 200")
+    chosen = select_rules(names if names is not None else list(RULES))
 
+    def run(name: str, lines: Column) -> Column:
+        none = F.array().cast(f"array<{_FINDING}>")
+        return let(
+            _lacks(name, lines),
+            lambda lack: F.struct(F.lit(name).alias("rule_id"), F.when(lack.isNull(), "completed").otherwise("unsupported").alias("status"), lack.alias("message"), F.when(lack.isNull(), F.slice(RULES[name](lines), 1, most).cast(f"array<{_FINDING}>")).otherwise(none).alias("findings")),
+        )
+
+    each = gathered(rows).select("doc_id", F.explode_outer(F.array(*[run(n, F.col("lines")) for n in chosen])).alias("r"))
+    return each.select("doc_id", "r.*")
 
-def lint(rows: DataFrame, names: list[str] | None = None, most: int = MAX_FINDINGS) -> DataFrame:
-    lines = reading_lines(rows)
-    chosen = select_rules(names if names is not None else list(RULES))
-    return capped(reduce(DataFrame.unionByName, [RULES[n](lines) for n in chosen]), most)
 
+def findings_of(runs: DataFrame) -> DataFrame:
+    found = runs.select("doc_id", "rule_id", F.explode_outer("findings").alias("f")).where("f is not null")
+    return found.select("doc_id", "rule_id", F.lit(SEVERITY).alias("severity"), "f.*")
 
-def summary(rows: DataFrame, findings: DataFrame) -> DataFrame:
-    """(doc_id, rule_count, completed, unsupported, rules_with_findings, finding_count)."""
-    ran = supported(reading_lines(rows)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("completed"))
-    got = findings.groupBy("doc_id").agg(F.countDistinct("rule_id").alias("rules_with_findings"), F.count(F.lit(1)).alias("finding_count"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return ran.join(got, "doc_id", "left").select("doc_id", F.lit(len(RULES)).alias("rule_count"), "completed", (len(RULES) - F.col("completed")).alias("unsupported"), zero("rules_with_findings"), zero("finding_count"))
+
+def lint(rows: DataFrame, names: list[str] | None = None, most: int = MAX_FINDINGS) -> DataFrame:
+    return findings_of(runs(rows, names, most))
+
+
+def summary(runs: DataFrame) -> DataFrame:
+    """A row per document with the ten counters of a report; errors end a job here, so none are counted."""
+    n = F.size("findings")
+    done = F.count_if(F.col("status") == "completed")
+    counted = {
+        "rule_count": F.count(F.lit(1)),
+        "completed_rule_count": done,
+        "unsupported_rule_count": F.count_if(F.col("status") == "unsupported"),
+        "error_rule_count": F.count_if(F.col("status") == "error"),
+        "issue_rule_count": F.count_if(n > 0),
+        "finding_count": F.sum(n),
+        **{f"{s}_finding_count": F.sum(F.when(F.lit(SEVERITY == s), n).otherwise(0)) for s in ("error", "warning", "info")},
+        "derived_rule_count": F.count_if((F.col("status") == "completed") & F.lit(EVIDENCE == "derived")),
+    }
+    return runs.groupBy("doc_id").agg(*[c.cast("long").alias(k) for k, c in counted.items()])
