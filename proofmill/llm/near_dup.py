@@ -6,18 +6,20 @@ probability of a similarity of 0.8 or more, from a uniform prior, is under ``MIS
 full sets, so links are exact; only misses are left to chance.
 
 A bucket of m documents is not expanded into m^2 pairs. The member that collides most often is the bucket's hub and
-all others are compared with it. Buckets whose members then are in one component are done; what is left open meets one
-more hub each. For the rest an exact way follows: two sets of that similarity share one of the rarest shingles of each,
-those that are left when all but one of the needed common shingles are taken away. Documents of open buckets are joined
-on these prefixes, and pairs in different components are compared, so no link between components is lost. Copies that
-differ in too many places have prefixes that no one shares, and meet no one.
+all others are compared with it. Buckets whose members then are in one component are done; in what is left open members
+of other components meet ``HUBS`` more hubs each. For the rest an exact way follows: put the shingles of each set in one
+order, the rarest first. If the first common one of two sets stands at place p of n and q of m, they share min(n - p,
+m - q) at most, and a link needs percent * (n + m) / (100 + percent). So of two sets of about one size only the first
+ninth counts (at 0.8), and a copy with more shingles of its own than that meets no one. Members of one component aren't
+compared with each other: for each shingle, only those outside its commonest component meet all. What stays quadratic is
+members outside of it that come as near to a link with it as the bound can tell, without having one with any hub.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import N_HASHES, map_batches, shingle_set, signature, stage, utf8
+from proofmill.llm.common import N_HASHES, map_batches, shingle_set, signature, stage, staging, utf8
 from proofmill.llm.graph import connected_components
 
-BANDS, ROWS, STEP, MISS, ROUNDS = 24, 4, 16, 1e-6, 2
+BANDS, ROWS, STEP, MISS, HUBS = 24, 4, 16, 1e-6, 3
+#: Sizes within this ratio are one class of the exact join.
+RATIO = 1.05
 
 
 def fewest_matches(percent: int, miss: float = MISS) -> list[tuple[int, int]]:
@@ -67,13 +71,17 @@ def sign(units: DataFrame, width: int, extra: str = "") -> DataFrame:
 
 
 def shingles(units: DataFrame, width: int) -> DataFrame:
-    """(uid, text) to (uid, grams): the sorted shingle hashes as bytes."""
+    """(uid, key, text) to (uid, grams): the sorted shingle hashes as bytes, of texts that have the key."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        grams = [shingle_set(t.lower().split(), width).tobytes() for t in utf8(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["uid", "grams"])
+        uids, grams = [], []
+        for uid, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+            words = text.lower().split()
+            if xxhash.xxh3_128_digest(b" ".join(words)) == key:
+                uids.append(uid), grams.append(shingle_set(words, width).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(grams, pa.binary())], ["uid", "grams"])
 
-    return map_batches(units, one, "uid long, grams binary")
+    return map_batches(units.select("uid", "key", "text"), one, "uid long, grams binary")
 
 
 def buckets(reps: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -119,8 +127,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(uid, grams, label) to (uid, label, n, gram): the rarest n - ceil(n * percent / 100) + 1 shingles of each set, without
-    those that no other set has."""
+    """(uid, grams, label) to (uid, label, n, gram, p): the rarest n - ceil(n * percent / 100) + 1 shingles of each set with
+    their places in it, without those that no other set has."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         grams = [np.frombuffer(g, np.int64) for g in batch.column(1).to_pylist()]
@@ -132,7 +140,23 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     shared = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = Window.partitionBy("uid")
     ranked = each.join(shared, "gram").withColumns({"r": F.row_number().over(own.orderBy("df", "gram")), "k": F.count(F.lit(1)).over(own)})
-    return ranked.where(f"r <= n - (n * {percent} + 99) div 100 + 1 - (n - k)").select("uid", "label", "n", "gram")
+    return ranked.withColumn("p", F.expr("n - k + r - 1")).where(f"p <= n - (n * {percent} + 99) div 100").select("uid", "label", "n", "gram", "p")
+
+
+def _met(rare: DataFrame, percent: int) -> DataFrame:
+    """(uid, other): of the prefixes, those of different labels whose sizes and places leave room for a link."""
+    need = f"(({{0}} + {{1}}) * {percent} + {99 + percent}) div {100 + percent}"
+    of_gram = rare.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
+    mixed = rare.join(of_gram.where("labels > 1"), "gram").withColumn("minor", F.col("label") != F.col("major"))
+    # The smaller set stands in the class of its size, the larger one looks into those of all sizes that its place allows.
+    size_class = f"cast(floor(ln({{0}}) / {log(RATIO)}) as int)"
+    small = mixed.where(f"n - p >= {need.format('n', 'n')}").withColumn("to_major", F.explode(F.expr("if(minor, array(false, true), array(false))")))
+    small = small.select("gram", F.expr(size_class.format("n")).alias("size_class"), "to_major", F.col("uid").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("m"), F.col("p").alias("q"))
+    reach = f"least(n, (n - p) * {100 + percent} div {percent} - n)"
+    large = mixed.withColumns({"lo": F.expr(f"(n * {percent} + 99) div 100"), "hi": F.expr(reach)}).where("lo <= hi")
+    large = large.withColumn("size_class", F.explode(F.expr(f"sequence({size_class.format('lo')}, {size_class.format('hi')})"))).withColumn("to_major", ~F.col("minor"))
+    fits = F.expr(f"label <> other_label and (m < n or m = n and other < uid) and least(n - p, m - q) >= {need.format('n', 'm')}")
+    return large.join(small, ["gram", "size_class", "to_major"]).where(fits).select("uid", "other")
 
 
 def link(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80, bands: int = BANDS, rows: int = ROWS, sequential: bool = True) -> DataFrame:
@@ -141,57 +165,64 @@ def link(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: in
     reps: (uid, n, sig), one row per different set. sets_of: from a frame of uids to their (uid, grams). Without
     ``sequential`` candidates go straight to the exact verification.
     """
-    members = stage(buckets(reps, bands, rows), "buckets")
-    weight = members.groupBy("uid").agg(F.sum("size").alias("weight"))
-    sets = stage(sets_of(weight.select("uid")), "sets")
-    members = stage(members.join(weight, "uid").select("bucket", "uid", "weight", "size"), "members")
-    rest = members.select("bucket", "uid", "weight", F.col("uid").alias("label"))
-    found, labels = [], None
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct(), "pairs")
-        survivors = stage(_prune(pairs, reps, percent), "survivors") if sequential else pairs
-        found.append(stage(_confirm(survivors, sets, percent), "links"))
-        return connected_components(reduce(DataFrame.unionAll, found))
-
-    for turn in range(ROUNDS):
-        order = F.struct("weight", (-F.col("uid")).alias("tie")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "uid").alias("weight"), F.col("uid").alias("tie"))
-        hub = rest.groupBy("bucket").agg(F.max_by(F.struct("uid", "label"), order).alias("h")).select("bucket", F.col("h.uid").alias("other"), F.col("h.label").alias("other_label"))
-        labels = compare(rest.join(hub, "bucket").where("label <> other_label"))
-        rest = members.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("bucket", "uid", "weight", F.coalesce("label", "uid").alias("label"))
-        still = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        rest = stage(rest.join(still, "bucket"), "rest")
-        if rest.isEmpty():
-            break
-    else:
-        open_ = rest.groupBy("uid").agg(F.first("label").alias("label"))
-        rare = stage(prefixes(sets.join(open_, "uid"), percent), "prefixes")
-        other = rare.select("gram", F.col("uid").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"))
-        fits = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
-        labels = compare(rare.join(other, "gram").where((F.col("label") < F.col("other_label")) & fits))
-    return labels.select(F.col("node").alias("uid"), "label")
+    with staging(reps.sparkSession):
+        members = stage(buckets(reps, bands, rows), "buckets")
+        weight = members.groupBy("uid").agg(F.sum("size").alias("weight"))
+        sets = stage(sets_of(weight.select("uid")), "sets")
+        members = stage(members.join(weight, "uid").select("bucket", "uid", "weight"), "members")
+        rest = members.withColumn("label", F.col("uid"))
+        found: list[DataFrame] = []
+
+        def compare(pairs: DataFrame) -> DataFrame:
+            with staging(reps.sparkSession):
+                pairs = stage(pairs.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct(), "pairs")
+                survivors = stage(_prune(pairs, reps, percent), "survivors") if sequential else pairs
+                found.append(stage(_confirm(survivors, sets, percent), "links", keep=True))
+            return connected_components(reduce(DataFrame.unionAll, found))
+
+        # First the member that collides most often; then, of those that do about as often, others for each bucket.
+        for orders in (["weight"], [f"weight * (1 + pmod(xxhash64({i}, uid), 1000) / 2000)" for i in range(HUBS)]):
+            best = [F.max_by(F.struct(F.col("uid").alias("other"), F.col("label").alias("other_label")), F.struct(F.expr(order), -F.col("uid"))) for order in orders]
+            hubs = rest.groupBy("bucket").agg(F.array_distinct(F.array(*best)).alias("h")).select("bucket", F.inline("h"))
+            labels = compare(rest.join(hubs, "bucket").where("label <> other_label"))
+            rest = members.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+            still = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+            rest = stage(rest.join(still, "bucket").select("bucket", "uid", "weight", "label"), "rest")
+            if rest.isEmpty():
+                break
+        else:
+            open_ = rest.groupBy("uid").agg(F.first("label").alias("label"))
+            rare = stage(prefixes(sets.join(open_, "uid"), percent), "prefixes")
+            labels = compare(_met(rare, percent))
+        return stage(labels.select(F.col("node").alias("uid"), "label"), "labels", keep=True)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of ``docs``; other columns of ``docs`` are ignored.
 
     Words are runs of anything but ASCII white space, A-Z in lower case. Null, empty and blank texts have no shingles
-    and are their own component. Rows that repeat an id count as one document in its components. A null id has a
-    null component and is kept. An empty table gives no rows.
+    and are their own component. Rows that repeat an id count as one document: what is linked with any of their texts
+    is linked with all. A null id has a null component and is kept. An empty table gives no rows.
     """
     units = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage(sign(units, width), "signed")
-    reps = stage(signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("uid"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
-    one_each = reps.groupBy("uid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-
-    def sets_of(uids: DataFrame) -> DataFrame:
-        return shingles(units.withColumnRenamed("doc_id", "uid").join(uids, "uid", "left_semi").select("uid", "text"), width).dropDuplicates(["uid"])
-
-    labels = link(one_each, sets_of, percent)
-    of_key = reps.join(labels, "uid", "left").select("key", F.coalesce("label", "uid").alias("label"))
-    return (
-        signed.select("doc_id", "key", "n")
-        .join(of_key, "key", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    with staging(docs.sparkSession):
+        signed = stage(sign(units, width), "signed")
+        per_key = signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        reps = stage(per_key.withColumn("uid", F.monotonically_increasing_id()), "reps")
+
+        def sets_of(uids: DataFrame) -> DataFrame:
+            wanted = reps.join(uids, "uid", "left_semi").select("doc_id", "uid", "key")
+            return shingles(units.join(wanted, "doc_id"), width).dropDuplicates(["uid"])
+
+        labels = link(reps.select("uid", "n", "sig"), sets_of, percent)
+        of_key = stage(reps.join(labels, "uid", "left").select("key", "doc_id", F.coalesce("label", "uid").alias("label")), "of_key")
+        texts = signed.where("doc_id is not null").select("doc_id", "key").join(of_key.select("key", "label"), "key")
+        several = stage(texts.groupBy("doc_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi"), "several")
+        if not several.isEmpty():  # texts of one id are one document
+            ties = connected_components(texts.join(several.select("doc_id", "lo"), "doc_id").select(F.col("lo").alias("a"), F.col("label").alias("b")))
+            of_key = of_key.join(ties.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("key", "doc_id", F.coalesce("to", "label").alias("label"))
+        roots = of_key.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        of_text = of_key.join(roots, "label").select("key", "component_id")
+        rows = signed.select("doc_id", "key", F.col("n").alias("n_shingles")).join(of_text, "key", "left")
+        rows = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        return stage(rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near_duplicates", keep=True)
