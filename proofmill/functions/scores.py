@@ -62,7 +62,7 @@ def china_time(ts: Column) -> Column:
     return F.date_format(F.from_utc_timestamp(ts, "Asia/Shanghai"), "yyyy-MM-dd HH:mm")
 
 
-def radar_point(index: Column, total: Column, ratio: Column, centre: float = 50.0, radius: float = 40.0) -> Column:
+def radar_point(index: Column, total: Column, ratio: Column, centre: float = 110.0, radius: float = 82.0) -> Column:
     """Where a ratio lies on the axis of its index; the first axis points up."""
     angle = index * (2 * math.pi) / total - math.pi / 2
     return F.struct((F.cos(angle) * ratio * radius + centre).alias("x"), (F.sin(angle) * ratio * radius + centre).alias("y"))

@@ -31,15 +31,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def char_ngrams(text: Column, size: int = 5) -> Column:
     """The set of character n-grams; a text of ``size`` characters or fewer is its own only one; an empty text has none."""
-
-    def windows(chars: Column) -> Column:
-        starts = F.slice(chars, 1, F.greatest(F.size(chars) - (size - 1), F.lit(0)))
-        return F.array_distinct(F.transform(starts, lambda _, i: F.concat(*[F.get(chars, i + k) for k in range(size)])))
-
-    def of(t: Column) -> Column:
-        return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) <= size, F.array(t)).otherwise(let(F.split(t, ""), windows))
-
-    return let(text, of)
+    # What is looked ahead to is taken, and one character is used up.
+    windows = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1)))
+    return let(text, lambda t: F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) <= size, F.array(t)).otherwise(windows(t)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -117,4 +111,6 @@ def extension(name: Column) -> Column:
 
 
 def page_label(pages: Column) -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(pages)), "、")
+    """The page numbers from 1 on, in order, joined; null without any."""
+    known = F.array_sort(F.array_distinct(F.filter(pages, lambda p: p >= 1)))
+    return F.when(F.size(known) > 0, F.array_join(F.transform(known, lambda p: p.cast("string")), "、"))

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.functions.text import page_label
 
 
-def valid_rect(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
-    """Finite, not empty, on a page of some size."""
-    finite = ~F.isnan(x1) & ~F.isnan(y1) & ~F.isnan(x2) & ~F.isnan(y2)
-    return F.coalesce(finite & (x2 > x1) & (y2 > y1) & (width > 0) & (height > 0), F.lit(False))
+def valid_rect(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, page: Column) -> Column:
+    """Finite, not empty, on a page of some size and of a whole number from 1 on."""
+    values = (x1, y1, x2, y2, width, height)
+    finite = reduce(lambda a, b: a & b, [~F.isnan(x) & (F.abs(x) < float("inf")) for x in values])
+    return F.coalesce(finite & (x2 > x1) & (y2 > y1) & (width > 0) & (height > 0) & (page >= 1) & (page == F.floor(page)), F.lit(False))
 
 
 def union_rects(rects: DataFrame, keys: tuple[str, ...] = ("finding_id", "page_number")) -> DataFrame:
     """The rectangle around all valid ones of each finding and page, and its centre."""
-    ok = rects.where(valid_rect(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2", "width", "height")]))
+    ok = rects.where(valid_rect(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2", "width", "height", "page_number")]))
     out = ok.groupBy(*keys).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
     return out.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2})
 

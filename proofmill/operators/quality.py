@@ -35,6 +35,20 @@ def unite(tasks: DataFrame, duplication: DataFrame, innovation: DataFrame, revie
     return with_latest_rank(reduce(DataFrame.unionByName, parts), tie="source_record_id")
 
 
+def payloads(duplication: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(source_record_id, payload_json) of the sources that store columns: JSON objects, missing values as null. Items that
+    are JSON text already stay a text inside."""
+    whole = {"ignoreNullFields": "false"}
+    one = duplication.select(F.col("id").alias("source_record_id"), F.to_json(F.struct("total_similarity_rate"), whole).alias("payload_json"))
+    two = reviews.select(F.col("id").alias("source_record_id"), F.to_json(F.struct("total_score", F.col("score_items_json").alias("score_items")), whole).alias("payload_json"))
+    return one.unionByName(two)
+
+
+def ordered(rows: DataFrame, name: str = "student_name", created: str = "created_at") -> DataFrame:
+    """By name, each name's newest first."""
+    return rows.orderBy(name, *latest_first(created, "source_record_id"))
+
+
 def subject_scores(scored: DataFrame) -> DataFrame:
     """(subject_id, a column per metric): means without nulls, to one decimal. One pass; no pivot job."""
     mean = lambda m: round_half_up(F.avg(F.when(F.col("metric") == m, F.col("score")))).alias(m)

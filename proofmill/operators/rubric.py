@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.functions.scores import grade
-from proofmill.functions.text import strip
+from proofmill.functions.text import fill, strip
 
 #: Dimensions, weights, points and templates (fixed values).
 DIMENSIONS = ["research_topic", "research_method", "research_content", "research_conclusion", "application_value"]
@@ -21,6 +21,12 @@ TEMPLATES = {
     "academic_master": (["摘要", "关键词", "引言", "研究方法", "分析与讨论", "结论", "参考文献"], 50),
     "professional_master": (["摘要", "关键词", "引言", "实践背景", "方法与方案", "结论", "参考文献"], 30),
 }
+LABELS = {"section_completeness": "章节完整性", "reference_count_and_numbering": "参考文献数量与编号", "methodology_section": "研究方法章节", "conclusion_section": "结论章节", "normative_detection_result": "规范检测结果"}
+METHOD, CONCLUSION, HEADING = "研究方法", "结论", "参考文献"
+FINDINGS = {"references": "参考文献条目：{n}/{least}", "method": "缺少研究方法章节", "conclusion": "缺少结论章节"}
+MOST_MESSAGES = 5
+SIMILARITY = ("LOCAL-CORPUS-SIMILARITY", "相似片段", "与《{title}》存在相似表达", "核对引用来源，并结合研究语境重新组织表达。", "本地样本")
+INNOVATION = ("INNOVATION-RUBRIC", "创新性量表", "{label}量表等级为 {level} 级", "结合量表证据和改进计划进行人工复核。", "该维度", "未填写", "创新性维度")
 PASS_SCORE, PASS, REVISE = 80, "基础检查通过", "需修改"
 
 
@@ -42,39 +48,66 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def checklist(runs: DataFrame, issues: DataFrame | None = None, rubrics: DataFrame | None = None) -> DataFrame:
-    """Runs (doc_id, template_id, text) with missing_sections, reference_count, the five scores, total and label.
+    """Runs (doc_id, template_id, text) with missing_sections, reference_count, the five scores, total, label, and
+    score_items: (key, label, points, score, findings) of each score.
 
     A section is there if a line is its name or begins with its name and a full-width colon. References are numbered
     lines after the first reference heading. A method section is only asked for where the template asks for one. An
-    unknown template gives no row. Everything but the issues' count is one projection over the text.
+    unknown template gives no row. Of the issues the first five messages are listed. Everything else is one projection
+    over the text.
     """
     kinds = templates(runs.sparkSession) if rubrics is None else rubrics
     lines = F.transform(F.split("text", "\r?\n"), strip)
     rows = runs.join(kinds, "template_id").withColumn("_l", lines)
     missing = F.expr("filter(required_sections, s -> not exists(_l, x -> x = s or startswith(x, concat(s, '：'))))")
-    head = F.array_position("_l", "参考文献")
+    head = F.array_position("_l", HEADING)
     after = F.when(head > 0, F.slice("_l", head + 1, F.greatest(F.size("_l"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumns({"missing_sections": missing, "reference_count": F.size(F.filter(after, lambda x: x.rlike("^\\[\\d+\\]")))})
-    n_issues = F.lit(0)
+    n_issues, messages = F.lit(0), F.array().cast("array<string>")
     if issues is not None:
-        rows = rows.join(issues.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_i")), "doc_id", "left")
-        n_issues = F.coalesce("_i", F.lit(0))
+        first = F.slice(F.array_sort(F.collect_list(F.struct("line", "column", "rule_id", "message"))), 1, MOST_MESSAGES)
+        rows = rows.join(issues.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_i"), F.transform(first, lambda x: x["message"]).alias("_m")), "doc_id", "left")
+        n_issues, messages = F.coalesce("_i", F.lit(0)), F.coalesce("_m", messages)
     no = lambda s: F.array_contains("missing_sections", s)
     scores = {
         "section_completeness": F.size("missing_sections") == 0,
         "reference_count_and_numbering": F.col("reference_count") >= F.col("minimum_reference_count"),
-        "methodology_section": ~no("研究方法"),
-        "conclusion_section": ~no("结论"),
+        "methodology_section": ~no(METHOD),
+        "conclusion_section": ~no(CONCLUSION),
         "normative_detection_result": n_issues == 0,
     }
     rows = rows.withColumns({k: F.when(ok, POINTS[k]).otherwise(0) for k, ok in scores.items()})
     rows = rows.withColumn("total_score", reduce(lambda a, b: a + b, [F.col(k) for k in POINTS]))
     label = F.when((F.col("total_score") >= PASS_SCORE) & (F.size("missing_sections") == 0), PASS).otherwise(REVISE)
-    return rows.withColumn("result_label", label).select("doc_id", "template_id", "missing_sections", "reference_count", *POINTS, "total_score", "result_label")
+    if_missing = lambda s, text: F.when(no(s), F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
+    findings = {
+        "section_completeness": F.col("missing_sections"),
+        "reference_count_and_numbering": F.array(fill(FINDINGS["references"], n=F.col("reference_count"), least=F.col("minimum_reference_count"))),
+        "methodology_section": if_missing(METHOD, FINDINGS["method"]),
+        "conclusion_section": if_missing(CONCLUSION, FINDINGS["conclusion"]),
+        "normative_detection_result": messages,
+    }
+    items = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(LABELS[k]).alias("label"), F.lit(POINTS[k]).alias("points"), F.col(k).alias("score"), findings[k].alias("findings")) for k in POINTS])
+    return rows.withColumns({"result_label": label, "score_items": items}).select("doc_id", "template_id", "missing_sections", "reference_count", *POINTS, "total_score", "result_label", "score_items")
 
 
-def source_findings(matches: DataFrame, levels: DataFrame) -> DataFrame:
-    """(subject_id, kind, severity, detail): matches are high from a similarity of 0.5; levels low from 4, else medium or high."""
-    one = matches.select("subject_id", F.lit("similarity").alias("kind"), F.when(F.col("jaccard_score") >= 0.5, "high").otherwise("medium").alias("severity"), F.col("title").alias("detail"))
-    two = levels.select("subject_id", F.lit("innovation").alias("kind"), F.when(F.col("level") >= 4, "low").otherwise("medium").alias("severity"), F.col("label").alias("detail"))
+def source_findings(matches: DataFrame, dimensions: DataFrame) -> DataFrame:
+    """(report_id, finding_id, rule_id, category, severity, excerpt, message, suggestion) from the matches (report_id, idx,
+    sample_id, title, jaccard_score, excerpt) and scale dimensions (report_id, idx, key, label, level) of reports; idx
+    counts from 1. Matches are high from a similarity of 0.5, else medium; dimensions low from level 4, else medium."""
+    has = lambda c: F.nullif(F.col(c), F.lit(""))
+    number = F.col("idx").cast("string")
+    rule, category, message, suggestion, sample = SIMILARITY
+    one = matches.select(
+        "report_id", F.concat(F.lit("duplication-"), F.coalesce(has("sample_id"), number)).alias("finding_id"), F.lit(rule).alias("rule_id"), F.lit(category).alias("category"),
+        F.when(F.col("jaccard_score") >= 0.5, "high").otherwise("medium").alias("severity"), F.coalesce(has("excerpt"), has("title"), F.lit(category)).alias("excerpt"),
+        fill(message, title=F.coalesce(has("title"), F.lit(sample))).alias("message"), F.lit(suggestion).alias("suggestion"),
+    )
+    rule, category, message, suggestion, this, open_, name = INNOVATION
+    level = F.coalesce(F.nullif(F.col("level"), F.lit(0)).cast("string"), F.lit(open_))
+    two = dimensions.select(
+        "report_id", F.concat(F.lit("innovation-"), F.coalesce(has("key"), number)).alias("finding_id"), F.lit(rule).alias("rule_id"), F.lit(category).alias("category"),
+        F.when(F.col("level") >= 4, "low").otherwise("medium").alias("severity"), F.coalesce(has("label"), has("key"), F.lit(name)).alias("excerpt"),
+        fill(message, label=F.coalesce(has("label"), F.lit(this)), level=level).alias("message"), F.lit(suggestion).alias("suggestion"),
+    )
     return one.unionByName(two)

@@ -1,9 +1,10 @@
 """Exact character 5-gram similarity of documents with a corpus, best passages, covered spans, and writing risk.
 
-Pairs come from an equi-join on grams, never from a product of the tables: a unit's set is exploded, both sides meet on
-the gram, and the count of a pair is the size of the intersection. Sizes travel with the grams, so nothing is looked up
-afterwards. Sizes that cannot reach the threshold are dropped inside the join. Pairs without a common gram have
-similarity 0 and only matter at a threshold of 0, which is refused.
+Pairs come from an equi-join on grams, never from a product of the tables, and only on the rarest grams of each side: with
+n grams and a threshold t, a unit that is similar to another one shares one of its n - ceil(t n) + 1 rarest with it. Grams
+that the corpus hasn't got are the rarest of all and drop out early. Two places that meet say how many grams can follow,
+which must be enough for the threshold. The pairs left over are counted exactly, on the grams themselves; for the join 64
+bits of each will do. Pairs without a common gram have similarity 0 and only matter at a threshold of 0, which is refused.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.functions.text import char_ngrams, let, normalized, phrase_hits, sentences
+from proofmill.functions.text import char_ngrams, jaccard, let, normalized, phrase_hits, scan, sentences, strip
 
 THRESHOLD = 0.65
+#: A corpus of so many different grams is broadcast, 16 bytes each; a larger one is joined by shuffling both sides.
+BROADCAST_GRAMS = 2_000_000
 #: Weights of the risk's factors and the phrases that it counts (fixed values).
 RISK_WEIGHTS = {"paragraph_duplication_rate": 0.35, "sentence_length_low_variation": 0.25, "template_connector_density": 0.2, "vague_phrase_density": 0.2}
 TEMPLATE_CONNECTORS = ["首先", "其次", "再次", "最后", "因此", "综上所述", "总之", "与此同时", "however", "therefore", "moreover", "firstly", "secondly"]
@@ -31,31 +34,59 @@ def clamp_threshold(value: object) -> float:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ord, text, start, end): trimmed lines that aren't blank, with their places."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("ord", "raw"))
-    before = F.coalesce(F.sum(F.length("raw") + 1).over(Window.partitionBy("id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lead = F.regexp_replace("raw", "^(?U:\\s+)", "")
-    body = F.regexp_replace(lead, "(?U:\\s+)$", "")
-    start = before + F.length("raw") - F.length(lead)
-    return lines.select("id", "ord", body.alias("text"), start.cast("long").alias("start"), (start + F.length(body)).cast("long").alias("end")).where(F.length("text") > 0)
+    """(id, ord, text, start, end): trimmed lines that aren't blank, with their places. Places are counted inside the row."""
 
+    def step(acc: Column, raw: Column) -> Column:
+        at = acc["s"]["at"]
+        lead = F.regexp_replace(raw, "^(?U:\\s+)", "")
+        body = strip(raw)
+        start = at + F.length(raw) - F.length(lead)
+        line = F.struct(acc["s"]["ord"].alias("ord"), body.alias("text"), start.alias("start"), (start + F.length(body)).alias("end"))
+        state = F.struct((acc["s"]["ord"] + 1).alias("ord"), (at + F.length(raw) + 1).alias("at"))
+        return F.struct(state.alias("s"), F.when(F.length(body) > 0, F.concat(acc["out"], F.array(line))).otherwise(acc["out"]).alias("out"))
 
-def grams(units: DataFrame, keys: list[str], text_col: str = "text", size: int = 5) -> DataFrame:
-    """(keys, n, gram) for the set of n-grams of each unit's normalized text."""
-    sets = units.select(*keys, char_ngrams(normalized(F.col(text_col)), size).alias("g"))
-    return sets.select(*keys, F.size("g").alias("n"), F.explode("g").alias("gram"))
+    found = scan(F.split(text_col, "\n"), F.struct(F.lit(0).alias("ord"), F.lit(0).cast("long").alias("at")), step, "struct<ord:int,text:string,start:bigint,end:bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.explode_outer(found).alias("x")).where("x is not null").select("id", "x.*")
+
+
+def _sets(units: DataFrame, keys: list[str], size: int = 5) -> DataFrame:
+    """(keys, n, g): the set of n-grams of each unit's normalized text."""
+    return units.select(*keys, char_ngrams(normalized(F.col("text")), size).alias("g")).select(*keys, F.size("g").alias("n"), "g")
+
+
+def _exploded(sets: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, h). explode_outer, since Spark infers a filter on the size from explode and makes the grams twice."""
+    each = sets.select(*keys, "n", F.explode_outer("g").alias("gram")).where("gram is not null")
+    return each.select(*keys, "n", F.xxhash64("gram").alias("h"))
+
+
+def _rarest(grams: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, n, h, p): the grams that can be the first common one, with their places from the rarest on. ``grams`` has
+    their frequency ``d``; those that it lacks have been left out and come before all others."""
+    own = Window.partitionBy(*keys)
+    ranked = grams.withColumns({"_r": F.row_number().over(own.orderBy("d", "h")), "_k": F.count(F.lit(1)).over(own)})
+    return ranked.withColumn("p", F.expr("n - _k + _r - 1")).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold - 5e-7))).select(*keys, "n", "h", "p")
 
 
 def pair_scores(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], at_least: float) -> DataFrame:
-    """(left keys, right keys, score) of pairs that share a gram and may reach ``at_least``, from two frames of grams.
+    """(left keys, right keys, score) of the pairs that reach ``at_least``, from two frames of units (keys, text).
 
-    The small side is broadcast by Spark where its size allows; a gram that very many units share is split by AQE.
+    The right side is the corpus. How many grams it has is counted first: this decides between a broadcast and a shuffle,
+    and left units too large or too small for any of it are left out before their grams are dealt out.
     """
-    a, b = left.withColumnRenamed("n", "na"), right.withColumnRenamed("n", "nb")
-    fits = F.least("na", "nb") >= F.greatest("na", "nb") * (at_least - 5e-7)
-    joined = a.join(b, "gram").where(fits)
-    counted = joined.groupBy(*left_keys, *right_keys, "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-    return counted.select(*left_keys, *right_keys, (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("score"))
+    a, b = _sets(left, left_keys), _sets(right, right_keys)
+    b_grams = _exploded(b, right_keys)
+    frequency = b_grams.groupBy("h").agg(F.count(F.lit(1)).alias("d"))
+    bounds = b.where("n > 0").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    frequency = F.broadcast(frequency) if frequency.count() <= BROADCAST_GRAMS else frequency.hint("shuffle_merge")
+    t = at_least - 5e-7
+    fits = (F.col("n") >= (bounds.lo or 0) * t) & (F.col("n") * t <= (bounds.hi or 0))
+    a_rare = _rarest(_exploded(a.where(fits), left_keys).join(frequency, "h"), left_keys, at_least)
+    b_rare = _rarest(b_grams.join(frequency, "h"), right_keys, at_least).withColumnsRenamed({"n": "m", "p": "q"})
+    enough = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= (F.col("n") + F.col("m")) * F.lit(t / (1 + t))
+    pairs = a_rare.join(b_rare, "h").where(enough & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(t))).select(*left_keys, *right_keys).distinct()
+    both = pairs.join(a.select(*left_keys, F.col("g").alias("ga")), left_keys).join(b.select(*right_keys, F.col("g").alias("gb")), right_keys)
+    return both.select(*left_keys, *right_keys, jaccard(F.col("ga"), F.col("gb")).alias("score")).where(F.col("score") >= t)
 
 
 def best_paragraphs(sources: DataFrame, samples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -65,19 +96,26 @@ def best_paragraphs(sources: DataFrame, samples: DataFrame, threshold: float = T
     """
     if threshold <= 0:
         raise ValueError("a threshold of 0 matches everything")
-    left = grams(sources.withColumnRenamed("id", "doc_id"), ["doc_id", "ord", "start", "end"])
-    right = grams(samples.select(F.col("id").alias("sample_id"), F.col("ord").alias("sample_ord"), F.col("start").alias("sample_start"), F.col("end").alias("sample_end"), "text"), ["sample_id", "sample_ord", "sample_start", "sample_end"])
+    left = sources.withColumnRenamed("id", "doc_id")
+    right = samples.select(F.col("id").alias("sample_id"), F.col("ord").alias("sample_ord"), F.col("start").alias("sample_start"), F.col("end").alias("sample_end"), "text")
     scored = pair_scores(left, right, ["doc_id", "ord", "start", "end"], ["sample_id", "sample_ord", "sample_start", "sample_end"], threshold).where(F.col("score") >= threshold)
     best = Window.partitionBy("doc_id", "ord", "sample_id").orderBy(F.desc("score"), "sample_ord")
     return scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "sample_ord")
 
 
+def _scored(docs: DataFrame, corpus: DataFrame, threshold: float, corpus_id: str) -> DataFrame:
+    """(doc_id, sample_id, jaccard_score, spans): the higher of the whole texts' similarity and the best passage's, to 6
+    places, and where the passages stand."""
+    whole = pair_scores(docs.select("doc_id", "text"), corpus.select(F.col(corpus_id).alias("sample_id"), "text"), ["doc_id"], ["sample_id"], threshold)
+    passages = best_paragraphs(paragraphs(docs), paragraphs(corpus, corpus_id), threshold)
+    both = whole.unionByName(passages.select("doc_id", "sample_id", "score", F.struct("start", "end").alias("span")), allowMissingColumns=True)
+    out = both.groupBy("doc_id", "sample_id").agg(F.round(F.max("score"), 6).alias("jaccard_score"), F.collect_list("span").alias("spans"))
+    return out.where(F.col("jaccard_score") >= threshold)
+
+
 def document_pairs(docs: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, corpus_id: str = "item_id") -> DataFrame:
     """(doc_id, sample_id, jaccard_score): the higher of the whole texts' similarity and the best passage's, to 6 places."""
-    whole = pair_scores(grams(docs.select("doc_id", "text"), ["doc_id"]), grams(corpus.select(F.col(corpus_id).alias("sample_id"), "text"), ["sample_id"]), ["doc_id"], ["sample_id"], threshold)
-    passages = best_paragraphs(paragraphs(docs), paragraphs(corpus, corpus_id), threshold)
-    both = whole.unionByName(passages.select("doc_id", "sample_id", "score")).groupBy("doc_id", "sample_id").agg(F.max("score").alias("score"))
-    return both.select("doc_id", "sample_id", F.round("score", 6).alias("jaccard_score")).where(F.col("jaccard_score") >= threshold)
+    return _scored(docs, corpus, threshold, corpus_id).drop("spans")
 
 
 def top_matches(pairs: DataFrame, most: int = 5) -> DataFrame:
@@ -102,9 +140,8 @@ def covered(spans: DataFrame, keys: list[str], name: str = "matched_characters")
 def similarity_rate(docs: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, corpus_id: str = "item_id") -> DataFrame:
     """(doc_id, effective_characters, matched_characters, total_similarity_rate), a row per document: what the passages
     of its five best samples cover, over the characters of its normalized text, at most 1."""
-    passages = best_paragraphs(paragraphs(docs), paragraphs(corpus, corpus_id), threshold)
-    top = top_matches(document_pairs(docs, corpus, threshold, corpus_id)).select("doc_id", "sample_id")
-    hit = covered(passages.join(top, ["doc_id", "sample_id"]).select("doc_id", "start", "end"), ["doc_id"])
+    top = top_matches(_scored(docs, corpus, threshold, corpus_id))
+    hit = covered(top.select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.*"), ["doc_id"])
     size = docs.select("doc_id", F.length(normalized(F.col("text"))).cast("long").alias("effective_characters"))
     matched = F.coalesce("matched_characters", F.lit(0)).cast("long")
     rate = F.when(F.col("effective_characters") > 0, F.round(F.least(F.lit(1.0), matched / F.col("effective_characters")), 6)).otherwise(0.0)

@@ -52,6 +52,35 @@ def attach_sources(submissions: DataFrame, sources: dict[str, DataFrame], column
     return submissions.join(every.withColumn("found", F.lit(True)), ["source_type", "report_id", "student_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+#: How the kinds of reports are called, and what is said of them (fixed values).
+KINDS = {"normative": "规范性检测", "duplication": "校内库查重", "innovation": "创新性评价", "ai_review": "AI智能评阅"}
+
+
+def own_reports(tasks: DataFrame, duplication: DataFrame, innovation: DataFrame, reviews: DataFrame, subject: str | None = None) -> DataFrame:
+    """(key, source_type, report_id, title, summary, created_at): finished reports of all four kinds, one student's or
+    everyone's, newest first."""
+    digits = lambda x: F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+    counts = F.map_values(F.from_json("severity_counts_json", "map<string,bigint>"))
+    issues = F.coalesce(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0).cast("long"))), F.lit(0))
+    rate = F.floor(F.col("total_similarity_rate") * 1000 + 0.5) / 10
+    marked = lambda label, score, grade, none: F.coalesce(F.concat(F.lit(label), digits(score), F.coalesce(F.concat(F.lit(" · "), F.nullif(grade, F.lit(""))), F.lit(""))), F.lit(none))
+    scored = lambda key: F.get_json_object("scoring_snapshot_json", f"$.{key}")
+    parts = {
+        "normative": (tasks.where("status = 'completed'"), F.concat(F.lit("规范问题 "), issues.cast("string"), F.lit(" 项"))),
+        "duplication": (duplication, F.coalesce(F.concat(F.lit("相似度 "), F.format_string("%.1f", rate), F.lit("%")), F.lit("相似度报告已完成"))),
+        "innovation": (innovation, marked("创新评分 ", scored("total_score").try_cast("double"), scored("grade_label"), "创新性报告已完成")),
+        "ai_review": (reviews, marked("AI 评分 ", F.col("total_score").cast("double"), F.col("result_label"), "AI 评阅报告已完成")),
+    }
+    rows = []
+    for kind, (table, summary) in parts.items():
+        names = [F.nullif(F.col(c), F.lit("")) for c in ("source_filename", "thesis_title") if c in table.columns]
+        title = F.coalesce(*names, F.concat(F.lit(f"{KINDS[kind]} "), "id"))
+        rows.append(table.select(F.concat(F.lit(f"{kind}:"), "id").alias("key"), F.lit(kind).alias("source_type"), F.col("id").alias("report_id"), "subject_id", title.alias("title"), summary.alias("summary"), "created_at"))
+    every = reduce(DataFrame.unionByName, rows)
+    every = every if subject is None else every.where(F.col("subject_id") == subject)
+    return every.orderBy(F.col("created_at").try_cast("timestamp").desc_nulls_last(), "key")
+
+
 def clean_annotations(annotations: Column) -> Column:
     """Trimmed finding ids and comments, without those that lack one."""
     trimmed = F.transform(annotations, lambda a: F.struct(F.trim(a["finding_id"]).alias("finding_id"), F.trim(a["comment"]).alias("comment")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,14 +94,14 @@ def ledger_latest_global_vs_filtered(spark: SparkSession, sf_dir: str) -> DataFr
     return in_range.join(of_all, ["subject_id", "detection_type"], "left")
 
 
-@query(sql(_SOURCES, f", {_UNITED} select id as \"记录ID\", college_id as \"学院\", subject_id as \"学号\", student_name as \"姓名\", supervisor_name as \"导师\", '学生' as \"学生类别\", thesis_title as \"论文题目\", detection_type as \"检测类型\", template_name as \"检测模板\", coalesce(core_result, '') as \"核心结果\" from people"))
+@query(sql(_SOURCES, f", {_UNITED} select id as \"记录ID\", case detection_type when 'normative' then '/normative-reports/' when 'duplication' then '/duplication-history/' else '/ai-review/results/' end || source_record_id as \"详情链接\", regexp_replace(strftime(created_at, '%Y-%m-%d %H:%M:%S.%f'), '\\.?0+$', '') as \"检测时间\", college_id as \"学院\", subject_id as \"学号\", student_name as \"姓名\", supervisor_name as \"导师\", '学生' as \"学生类别\", thesis_title as \"论文题目\", detection_type as \"检测类型\", template_name as \"检测模板\", coalesce(core_result, '') as \"核心结果\" from people"))
 def ledger_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.csv_rows(ledger.with_people(_united(spark, sf_dir), inputs.users(spark, sf_dir))).drop("详情链接", "检测时间")
+    return ledger.csv_rows(ledger.with_people(_united(spark, sf_dir), inputs.users(spark, sf_dir)))
 
 
-@query(sql(_SOURCES, f", {_UNITED} select id, source_record_id, detection_type from ranked where source_record_id = '15' or id = 'normative:15'"))
+@query(sql(_SOURCES, f", {_UNITED} select id, source_record_id, detection_type from ranked where source_record_id = '3' or id = '3'"))
 def ledger_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.find(_united(spark, sf_dir), "15").select("id", "source_record_id", "detection_type")
+    return ledger.find(_united(spark, sf_dir), "3").select("id", "source_record_id", "detection_type")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +182,23 @@ def orphan_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.orphans(inputs.todos(spark, sf_dir), inputs.submissions(spark, sf_dir), {"submission_id": "id", "assignee_id": "supervisor_id"}).select("id")
 
 
+@query(sql("tasks duplication innovation reviews", """, r as (
+  select 'normative' k, id, coalesce(source_filename, '规范性检测 ' || id) title, '规范问题 ' || (high + medium + low) || ' 项' summary, created_at from tasks where status = 'completed'
+  union all select 'duplication', id, coalesce(source_filename, '校内库查重 ' || id), '相似度 ' || round(total_similarity_rate * 100, 1) || '%', created_at from duplication
+  union all select 'innovation', id, thesis_title, coalesce('创新评分 ' || score::int, '创新性报告已完成'), created_at from innovation
+  union all select 'ai_review', id, thesis_title, coalesce('AI 评分 ' || total_score || ' · ' || result_label, 'AI 评阅报告已完成'), created_at from reviews)
+  select k || ':' || id as key, k as source_type, id as report_id, title, summary, created_at from r"""))
+def own_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = workflow.own_reports(inputs.tasks(spark, sf_dir), inputs.duplication(spark, sf_dir), inputs.innovation(spark, sf_dir), inputs.reviews(spark, sf_dir))
+    return rows.drop("subject_id")
+
+
+@query(sql("duplication reviews", """ select id source_record_id, '{"total_similarity_rate":' || total_similarity_rate || '}' payload_json from duplication
+  union all select id, '{"total_score":' || coalesce(total_score::varchar, 'null') || ',"score_items":"[{\\\\"key\\\\":\\\\"a\\\\",\\\\"score\\\\":' || (items - 7)::int || '},{\\\\"key\\\\":\\\\"b\\\\",\\\\"score\\\\":7}]"}' from reviews""".replace("\\\\", "\\")))
+def quality_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.payloads(inputs.duplication(spark, sf_dir), inputs.reviews(spark, sf_dir))
+
+
 @query(sql("submissions tasks duplication innovation reviews", "select s.id, s.source_type, r.created_at as report_created, r.id is not null as found from submissions s left join (select 'view' t, id, subject_id, created_at from tasks union all select 'click', id, subject_id, created_at from duplication union all select 'signup', id, subject_id, created_at from innovation union all select 'purchase', id, subject_id, created_at from reviews) r on r.t = s.source_type and r.id = s.report_id and r.subject_id = s.student_id"))
 def submission_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all four kinds joined in one go."""
@@ -193,11 +212,12 @@ def history_of_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.scan(inputs.facts(spark, sf_dir), "7").select("id", "detection_type")
 
 
-@query(sql("facts", "select id, subject_id, value from facts where id = '12' and subject_id = (select subject_id from facts where id = '12')"))
+@query(sql("facts", "select id, subject_id, value from facts where id in ('12', '2', '40') and subject_id = '7'"))
 def record_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one owner's rows, each by its id and its owner; another's id gives none."""
     facts = inputs.facts(spark, sf_dir)
-    owner = facts.where("id = '12'").select(F.col("subject_id").alias("owner"))
-    return facts.where("id = '12'").join(owner, F.col("subject_id") == F.col("owner"), "left_semi").select("id", "subject_id", "value")
+    found = [store.lookup(facts, record, "7") for record in ("12", "2", "40")]
+    return reduce(DataFrame.unionAll, found).select("id", "subject_id", "value")
 
 
 @query("select 'customer' table_name, count(*) n from customer union all select 'events', count(*) from events union all select 'orders', count(*) from orders")
@@ -231,9 +251,9 @@ def sequence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_expected(rows, ["l_orderkey"], "num", ["j"]).where("num <> expected").select("l_orderkey", "j", "num", "expected")
 
 
-@query("select finding_id, page_number, min(x1) x1, min(y1) y1, max(x2) x2, max(y2) y2, (min(x1) + max(x2)) / 2 cx, (min(y1) + max(y2)) / 2 cy from (select l_orderkey finding_id, l_linenumber % 2 page_number, l_quantity x1, l_discount * 100 y1, l_quantity + l_tax * 100 - 2 x2, l_discount * 100 + 5 y2 from lineitem) where x2 > x1 and y2 > y1 group by 1, 2")
+@query("select finding_id, page_number, min(x1) x1, min(y1) y1, max(x2) x2, max(y2) y2, (min(x1) + max(x2)) / 2 cx, (min(y1) + max(y2)) / 2 cy from (select l_orderkey finding_id, l_linenumber % 2 + 1 page_number, l_quantity x1, l_discount * 100 y1, l_quantity + l_tax * 100 - 2 x2, l_discount * 100 + 5 y2 from lineitem) where x2 > x1 and y2 > y1 group by 1, 2")
 def finding_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rects = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey finding_id", "l_linenumber % 2 page_number", "l_quantity x1", "l_discount * 100 y1", "l_quantity + l_tax * 100 - 2 x2", "l_discount * 100 + 5 y2", "100.0d width", "100.0d height")
+    rects = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey finding_id", "l_linenumber % 2 + 1 page_number", "l_quantity x1", "l_discount * 100 y1", "l_quantity + l_tax * 100 - 2 x2", "l_discount * 100 + 5 y2", "100.0d width", "100.0d height")
     return geometry.union_rects(rects)
 
 
