@@ -67,7 +67,7 @@ def own_reports(tasks: DataFrame, duplication: DataFrame, innovation: DataFrame,
     scored = lambda key: F.get_json_object("scoring_snapshot_json", f"$.{key}")
     parts = {
         "normative": (tasks.where("status = 'completed'"), F.concat(F.lit("规范问题 "), issues.cast("string"), F.lit(" 项"))),
-        "duplication": (duplication, F.coalesce(F.concat(F.lit("相似度 "), F.format_string("%.1f", rate), F.lit("%")), F.lit("相似度报告已完成"))),
+        "duplication": (duplication, F.when(rate.isNotNull(), F.concat(F.lit("相似度 "), F.format_string("%.1f", rate), F.lit("%"))).otherwise("相似度报告已完成")),
         "innovation": (innovation, marked("创新评分 ", scored("total_score").try_cast("double"), scored("grade_label"), "创新性报告已完成")),
         "ai_review": (reviews, marked("AI 评分 ", F.col("total_score").cast("double"), F.col("result_label"), "AI 评阅报告已完成")),
     }

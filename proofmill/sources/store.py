@@ -58,6 +58,11 @@ def insert_missing(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFra
     return rows.dropDuplicates(key).join(table.select(*key), key, "left_anti")
 
 
+def exists(table: DataFrame, record_id: str, record: str = "id") -> bool:
+    """Whether there is a row of that id: what a deletion asks for first."""
+    return not table.where(F.col(record) == record_id).isEmpty()
+
+
 def delete(table: DataFrame, record_id: str, record: str = "id") -> DataFrame:
     return table.where(~F.col(record).eqNullSafe(F.lit(record_id)))
 
@@ -73,7 +78,8 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, error): whole files as UTF-8. Too large a file, a wrong name or malformed bytes give an error and no text."""
+    """(path, text, error): whole files as UTF-8. Too large a file, a wrong name or malformed bytes give an error and no text;
+    Spark lists no empty files, so these give no row."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
     error = F.when(~extension(F.col("path")).isin(*TEXT_EXTENSIONS), "unsupported file type").when(F.col("length") > MAX_TEXT_BYTES, "file too large").when(~F.is_valid_utf8("content"), "not UTF-8")
     return raw.select("path", F.when(error.isNull(), F.try_validate_utf8("content").cast("string")).alias("text"), error.alias("error"))
