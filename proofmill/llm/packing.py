@@ -94,7 +94,8 @@ class Ids(dict):
 
             self.by_rank = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
             alone = [p for p in (b.decode("utf-8", "ignore") for b in ranks) if p and not _UNSETTLED.search(p) and len(self.by_rank.encode_ordinary(p)) == 1]
-            if any(len(e.ids) != 1 for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            parts = (self.tokenizer.encode_batch_fast(alone[i : i + 1000], add_special_tokens=False) for i in range(0, len(alone), 1000))
+            if any(len(e.ids) != 1 for part in parts for e in part):
                 self.by_rank = None  # a piece that no merges reach: only the library knows
 
     def encode(self, texts: list[str]) -> list[bytes]:
