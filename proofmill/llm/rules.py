@@ -54,26 +54,33 @@ def _without(text: Column, characters: str) -> Column:
     return text
 
 
+#: Up to so many words a window's place fits into the low bits of its hash.
+PACKED_WORDS = 1 << 24
+
+
 def _repeat_words(words: str) -> str:
-    """Words in windows of 3 that occur twice: windows are sorted as hash bits over position bits, neighbours compared by full hash."""
+    """Words in windows of 3 that occur twice: windows are sorted by hash and place, and neighbours compared. A place is
+    packed into the low bits of its hash, with the full hash looked up; in longer texts both are sorted as a pair."""
     hashes = f"transform({words}, w -> xxhash64(w))"
-    windows = f"transform(slice(h, 1, size(h) - 2), (x, i) -> xxhash64(x, h[i + 1], h[i + 2]))"
+    windows = "transform(slice(h, 1, size(h) - 2), (x, i) -> xxhash64(x, h[i + 1], h[i + 2]))"
     packed = "array_sort(transform(w, (x, i) -> (x & -16777216L) | cast(i as bigint)))".replace("array_sort", "sort_array")
     at = "cast({} & 16777215L as int)"
     same = f"w[{at.format('s[i]')}] = w[{at.format('s[{}]')}]"
     hit = f"(i > 0 and {same.format('i - 1')}) or (i + 1 < size(s) and {same.format('i + 1')})"
     found = f"sort_array(transform(filter(transform(s, (x, i) -> if({hit}, x & 16777215L, null)), x -> x is not null), x -> cast(x as int)))"
+    pairs = "sort_array(transform(w, (x, i) -> named_struct('h', x, 'p', i)))"
+    paired = "sort_array(transform(filter(s, (x, i) -> (i > 0 and x.h = s[i - 1].h) or (i + 1 < size(s) and x.h = s[i + 1].h)), x -> x.p))"
     covered = "aggregate(p, named_struct('n', 0L, 'end', -1), (a, x) -> named_struct('n', a.n + x + 3 - greatest(x, a.end), 'end', x + 3), a -> a.n)"
     let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
-    inner = let("h", hashes, let("w", windows, f"if(size(array_distinct(w)) = size(w), 0L, {let('s', packed, let('p', found, covered))})"))
+    short, long_ = let("s", packed, let("p", found, covered)), let("s", pairs, let("p", paired, covered))
+    inner = let("h", hashes, let("w", windows, f"if(size(array_distinct(w)) = size(w), 0L, if(size(w) <= {PACKED_WORDS}, {short}, {long_}))"))
     return f"if(size({words}) < 4, 0L, {inner})"
 
 
 def evaluate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ledger: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_letters, fail_bits.
 
-    One row per row of ``docs``. Null is an empty text: no words, so it fails ``too_few_words``. Positions of windows
-    have 24 bits, so a text of more than 16,777,216 words is refused with an error rather than counted wrongly.
+    One row per row of ``docs``. Null is an empty text: no words, so it fails ``too_few_words``. Texts may be of any length.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"))
@@ -85,7 +92,7 @@ def evaluate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.length(_without(F.col("_t"), SPACES)).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(_without(F.col("_t"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.expr(f"if(size(_w) > 16777216, cast(raise_error('text of more than 2^24 words') as bigint), {_repeat_words('_w')})").alias("n_repeat_words"),
+        F.expr(_repeat_words("_w")).alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
         F.length(F.regexp_replace("_t", "[^\\p{Lu}]+", "")).cast("long").alias("n_upper"),
         F.length(letters).cast("long").alias("n_letters"),
