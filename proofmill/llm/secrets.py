@@ -12,9 +12,12 @@ tested but never reported.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofmill.functions.text import matches
 from proofmill.llm.common import stage
 
 #: The patterns of the base scan, in the order of the kinds (fixed values).
@@ -38,18 +41,10 @@ ENCODINGS = (
 Q, Z, BIN = 0.05, 3.3, 0.05
 
 
-def _spans(text: Column, pattern: str, kind: int, value: Column | None = None) -> Column:
-    """Array of (start, kind, end, s) of all matches: lengths of what split() leaves and of the matches, added up."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    both = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("s"))
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["s"])).alias("end"), x["s"].alias("s"))
-        return F.struct((start + F.length(x["s"])).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,s:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda a: a["out"])).otherwise(empty)
+def _spans(text: Column, pattern: str, kind: int) -> Column:
+    """Array of (start, kind, end, s) of all matches."""
+    span = lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("s"))
+    return F.transform(matches(text, pattern), span)
 
 
 def _joined(spans: Column) -> Column:
@@ -57,10 +52,24 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"], x["end"])), ",")
 
 
+#: Of the normal tail between 0 and 2, by Abramowitz and Stegun's 26.2.17: the argument's factor and the coefficients.
+_TAIL = (0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429))
+
+
 def _normal_tail(z: Column) -> Column:
-    """P(Z <= z) by the logistic approximation of Bowling and others; within 2e-4."""
-    z = F.greatest(F.least(z, F.lit(8.0)), F.lit(-8.0))
-    return 1 / (1 + F.exp(-0.07056 * z * z * z - 1.5976 * z))
+    """P(Z <= z) with a small relative error in the lower tail, which the false-discovery rule works in: beyond 2 the
+    continued fraction of Mills' ratio. Least is 1e-300 or so, at -37."""
+    w = F.least(F.abs(z), F.lit(37.0))
+    density = F.exp(-w * w / 2) / math.sqrt(2 * math.pi)
+    t = 1 / (1 + _TAIL[0] * w)
+    near = F.lit(0.0)
+    for c in reversed(_TAIL[1]):
+        near = (near + c) * t
+    ratio = w + 40.0 / w
+    for k in range(39, 0, -1):
+        ratio = w + k / ratio
+    lower = density * F.when(w <= 2, near).otherwise(1 / ratio)
+    return F.when(z <= 0, lower).otherwise(1 - lower)
 
 
 def battery(candidates: DataFrame) -> DataFrame:
