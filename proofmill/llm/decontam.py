@@ -8,11 +8,12 @@ Texts and items are compared lower-cased, with runs of ASCII punctuation and whi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ RATE_PERCENT = 8
 #: Bytes of items whose automaton is broadcast at once; a larger benchmark takes several passes over the documents.
 BLOCK_BYTES = 4_000_000
 Q = 4
+#: Shorter items, in bytes of normalised text, say too little to be recognised: "yes" would be found everywhere.
+LEAST_BYTES = 24
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -99,28 +102,43 @@ class Items:
                 yield item, best[0], k, best[1]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate_percent: int = RATE_PERCENT, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[Broadcast]:
+    """The items in broadcast blocks of about ``BLOCK_BYTES``."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where(F.octet_length("text") > 0)
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    for block in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
+        yield benchmark.sparkSession.sparkContext.broadcast([(r.id, r.text) for r in part.collect()])  # about BLOCK_BYTES
+
+
+def _searcher(rows: Broadcast, rate_percent: int, least: int) -> Callable[[], Items]:
+    """The items of a block, made ready once in a worker."""
+    made: list[Items] = []
+
+    def items() -> Items:
+        if not made:
+            made.append(Items([(i, t) for i, t in rows.value if len(normal(t)) >= least], rate_percent))
+        return made[0]
+
+    return items
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate_percent: int = RATE_PERCENT, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST_BYTES) -> DataFrame:
     """(doc_id, item_id, distance, budget, match_end) for each document and item found in it within the budget.
 
     A match needs the item's outer spaces, so it begins and ends at words but for edits. Null, empty and
-    punctuation-only texts and items match nothing; an empty table on either side gives no rows. Repeated rows each
-    give their own. ``match_end`` is a byte offset in the normalised text. Other columns are ignored.
+    punctuation-only texts and items match nothing, nor do items of under ``least`` bytes; an empty table on either side
+    gives no rows. Repeated rows each give their own. ``match_end`` is a byte offset in the normalised text. Other columns
+    are ignored. A benchmark of several blocks takes a pass over the documents for each.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = []
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
-        rows = spark.sparkContext.broadcast([(r.id, r.text) for r in part.collect()])  # about BLOCK_BYTES
-        built: dict[int, Items] = {}
+    for rows in _blocks(benchmark, item_id, item_text):
+        items = _searcher(rows, rate_percent, least)
 
-        def one(batch: pa.RecordBatch, rows=rows, built=built) -> pa.RecordBatch:
-            if 0 not in built:
-                built[0] = Items(rows.value, rate_percent)
-            hits = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in built[0].find(t)]
+        def one(batch: pa.RecordBatch, items=items) -> pa.RecordBatch:
+            hits = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in items().find(t)]
             columns = list(zip(*hits, strict=True)) or [()] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance", "budget", "match_end"])
 
@@ -128,7 +146,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate_percent: int = RATE
     return reduce(DataFrame.unionAll, found)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate_percent: int = RATE_PERCENT, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` in which no item is found. Rows without an id are searched by no one and stay."""
-    hits = contaminated(docs, benchmark, rate_percent, id_col).select(F.col("doc_id").alias("_hit")).where("_hit is not null").distinct()
-    return docs.join(hits, docs[id_col] == hits["_hit"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, rate_percent: int = RATE_PERCENT, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, with all their columns. Each row is judged by its own text, whatever
+    its id, on its way through: nothing is joined or shuffled."""
+    for rows in _blocks(benchmark, item_id, item_text):
+        items, at = _searcher(rows, rate_percent, least), docs.columns.index(text_col)
+
+        def one(batch: pa.RecordBatch, items=items, at=at) -> pa.RecordBatch:
+            return batch.filter(pa.array([next(items().find(t), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = map_batches(docs, one, docs.schema)
+    return docs
