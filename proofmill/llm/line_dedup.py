@@ -11,11 +11,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm.common import stage, staging
 
+#: Lines of a batch; a corpus is cut into as many batches as that takes, ``LEAST_BATCHES`` at least.
+BATCH_LINES, LEAST_BATCHES = 1_000_000_000, 4
+_RUN = "h1 long, h2 long, n_docs long, owner long"
 SPACES = " \t\n\x0b\f\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -68,25 +71,47 @@ class LineRuns:
     def _merged(runs: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("owner").alias("owner"))
 
+    def save(self, path: str) -> None:
+        """Write the runs and which level each is on to a folder, for batches to come."""
+        spark, names = None, []
+        for level, runs in enumerate(self.levels):
+            for i, run in enumerate(runs):
+                spark = run.sparkSession
+                names.append((level, f"run-{level}-{i}"))
+                run.write.parquet(f"{path}/run-{level}-{i}")
+        if spark is not None:
+            spark.createDataFrame(names, "level int, name string").coalesce(1).write.json(f"{path}/levels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, fanout: int = 4) -> LineRuns:
+        """What ``save`` has written. Runs are read where they lie, so the folder must stay."""
+        runs = cls(fanout)
+        for row in spark.read.schema("level int, name string").json(f"{path}/levels").orderBy("level", "name").collect():
+            while len(runs.levels) <= row.level:
+                runs.levels.append([])
+            runs.levels[row.level].append(spark.read.schema(_RUN).parquet(f"{path}/{row.name}"))
+        return runs
+
     def counts(self) -> DataFrame | None:
         """(h1, h2, n_docs, owner) over all batches; None before the first."""
         runs = self.runs()
         return runs[0] if len(runs) == 1 else self._merged(runs) if runs else None
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``n_lines``, ``n_dropped`` and the text without lines that other documents keep.
 
     A key of ``min_chars`` code points found in ``min_docs`` documents loses all its lines but those of the largest
     id that holds it. A null text becomes an empty one, a single empty line. Rows that repeat an id are one document.
-    Rows without an id are not counted and stay whole. Columns ``n_lines`` and ``n_dropped`` of ``docs`` are replaced;
+    Rows without an id are not counted and stay whole. Batches are cut by id, ``BATCH_LINES`` lines each or so. Columns ``n_lines`` and ``n_dropped`` of ``docs`` are replaced;
     all others are kept. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(f"`{text_col}`", F.lit("")).alias("text"))
     with staging(docs.sparkSession):
         lines = stage(line_hashes(rows.select("doc_id", "text"), min_chars), "lines")
-        cuts = lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+        batches = batches or max(LEAST_BATCHES, -(-lines.count() // BATCH_LINES))
+        cuts = lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], max(1000, 10 * batches))).first()[0] if batches > 1 else None
         cuts = sorted(set(cuts or []), reverse=True)
         runs = LineRuns()
         for high, low in zip([None, *cuts], [*cuts, None], strict=True):
@@ -95,7 +120,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         common = stage(runs.counts().where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner"), "common")
         drops = lines.join(common, ["h1", "h2"]).where("doc_id <> owner").select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("drop"))
         drops = stage(drops, "drops", keep=True)
-    return _cut(rows.join(drops, "doc_id", "left"), names, text_col)
+    # Whole texts meet the places to drop by a merge at every size: skewed ids can be split then.
+    return _cut(rows.join(drops.hint("merge"), "doc_id", "left"), names, text_col)
 
 
 def _cut(rows: DataFrame, names: list[str], text_col: str) -> DataFrame:
