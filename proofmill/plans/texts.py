@@ -11,6 +11,8 @@ from proofmill.plans.inputs import table
 
 QUERIES, ORACLES = {}, {}
 THRESHOLD = 0.3
+#: Lines that some of the documents have.
+_LICENCES = ["All rights reserved.", "Released under the MIT License."]
 
 
 def query(oracle: str | None = None):  # noqa: ANN201
@@ -119,7 +121,17 @@ def lint_long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line", F.length("excerpt").alias("n"))
 
 
-@query()
+#: Words that the next word equals or begins with, as far as one match goes; then matches in order, none inside another.
+_TWICE = rf"""{_LINES},
+t as (select doc_id, line, t, regexp_extract_all(t, '\S+') as w, regexp_extract_all(t, '\s*\S+') as p from l),
+c0 as (select doc_id, line, w, unnest(range(1, len(w))) as i from t),
+c1 as (select doc_id, line, i, list_filter(range(i + 1, len(w) + 1), lambda j: not coalesce(w[j] = w[i] and starts_with(w[j + 1], w[i]), false))[1] as e from c0 where starts_with(w[i + 1], w[i]) and regexp_full_match(w[i], '[\p{{L}}0-9]+')),
+c2 as (select doc_id, line, list({{'i': i, 'e': e}} order by i) as c from c1 group by 1, 2),
+r as (select doc_id, line, c, c[1] as x from c2 union all select doc_id, line, c, list_filter(c, lambda y: y.i > x.e)[1] from r where len(list_filter(c, lambda y: y.i > x.e)) > 0),
+twice as (select r.doc_id, r.line, t.w[x.i] as word, t.t, coalesce(list_sum(list_transform(p[:x.i - 1], lambda y: length(y))), 0) + length(p[x.i]) - length(w[x.i]) as pos from r join t on t.doc_id = r.doc_id and t.line = r.line)"""
+
+
+@query(f"""with recursive {_TWICE} select doc_id, line::bigint as line, (pos + 1)::bigint as "column", substr(t, pos::int + 1, 2 * length(word) + 1) as excerpt, '存在连续重复词“' || word || '”' as message from twice""")
 def lint_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.issues(table(spark, sf_dir, "documents"), {"repeated_words": {}}).select("doc_id", "line", "column", "excerpt", "message")
 
@@ -136,7 +148,7 @@ def lint_straight_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The stack as a recursion over the marks of each text.
-_STACK = r"""with recursive m as (select doc_id, text, list_filter(list_transform(range(1, length(text) + 1), lambda i: {'p': i, 'c': text[i]}), lambda x: contains('()（）[]【】《》“”"' || chr(39), x.c)) as marks
+_STACK = r"""m as (select doc_id, text, list_filter(list_transform(range(1, length(text) + 1), lambda i: {'p': i, 'c': text[i]}), lambda x: contains('()（）[]【】《》“”"' || chr(39), x.c)) as marks
   from documents where regexp_matches(text, '[()（）\[\]【】《》“”"'']')),
 r as (select doc_id, marks, 1 as i, []::struct(p bigint, c varchar)[] as stack, []::struct(p bigint, c varchar)[] as extra from m
   union all select doc_id, marks, i + 1,
@@ -148,7 +160,7 @@ select e.doc_id, 'NORM-002' as rule_id, 'high' as severity, (length(h) - length(
 from (select e.*, substr(m.text, 1, x.p - 1) as h from e join m on m.doc_id = e.doc_id) e"""
 
 
-@query(_STACK)
+@query(f"with recursive {_STACK}")
 def lint_unmatched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lint.issues(table(spark, sf_dir, "documents"), {"unmatched_pairs": {}})
     return found.select("doc_id", "rule_id", "severity", "line", "column", "excerpt", "message")
@@ -157,7 +169,7 @@ def lint_unmatched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"with {_LINES}, f as (select doc_id, min(line) filter (trim(t) = 'All rights reserved.') as a, min(line) filter (trim(t) = 'Released under the MIT License.') as b from l group by 1) select doc_id, case when a is null then 'All rights reserved.' end as first_missing, case when b is null then 'Released under the MIT License.' end as second_missing, coalesce(b < a, false) as wrong_order from f")
 def lint_section_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule with headings that these texts have."""
-    names = ["All rights reserved.", "Released under the MIT License."]
+    names = _LICENCES
     docs = table(spark, sf_dir, "documents")
     found = lint.issues(docs, {"section_order": {"sections": names}})
     lack = lambda s: F.max(F.when((F.col("excerpt") == s) & F.col("message").startswith("缺少"), F.col("excerpt")))
@@ -170,17 +182,42 @@ def lint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.analyze(table(spark, sf_dir, "documents"))
 
 
-@query()
+def _runs(marks: str, least: int) -> str:
+    return "|".join(("\\" + c if c in "?.-" else c) + f"{{{least},}}" for c in marks)
+
+
+_STACKED = _STACK.replace("r as (", "sr as (").replace("from r where", "from sr where").split("select e.doc_id, 'NORM-002'")[0].strip()
+#: Every rule's issues as one number per line or text; these texts have no reference heading, so that rule adds none.
+_SEVERITIES = rf"""with recursive {_TWICE}, {_STACKED},
+d as (select doc_id from documents where length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13))) > 0),
+s as (select doc_id, 5 - (bool_or(trim(t) = '摘要')::int + bool_or(trim(t) = '关键词')::int + bool_or(trim(t) = '引言')::int + bool_or(trim(t) = '结论')::int + bool_or(trim(t) = '参考文献')::int) as high,
+  sum(len(regexp_extract_all(t, '{_runs("，。；", 2)}')) + len(regexp_extract_all(t, '{_runs(lint.RUN_CLASS[1:-1], 3)}')) + contains(t, chr(9))::int + regexp_matches(t, '[ ' || chr(9) || ']$')::int
+    + len(regexp_extract_all(t, '{"|".join(lint.BANNED_WORDS)}'))
+    + len(list_filter(regexp_extract_all(t, '[^。！？!?]+[。！？!?]?'), lambda x: length(trim(x)) > 120)) + (length(trim(t)) > 120 and not regexp_matches(trim(t), '[。！？!?]$'))::int) as medium,
+  sum(len(list_filter(regexp_extract_all(' ' || t || ' ', '[^0-9][0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}[^0-9]'), lambda x: not regexp_full_match(x[2:len(x) - 1], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')))) as low
+  from l group by 1),
+n as (select doc_id, count(*) as k from e group by 1), w as (select doc_id, count(*) as k from twice group by 1),
+a as (select s.doc_id, s.high + coalesce(n.k, 0) as high, s.medium + coalesce(w.k, 0) as medium, s.low from s join d on d.doc_id = s.doc_id left join n on n.doc_id = s.doc_id left join w on w.doc_id = s.doc_id)
+select doc_id, high::bigint as high, medium::bigint as medium, low::bigint as low, (high + medium + low)::bigint as total from a"""
+
+
+@query(_SEVERITIES)
 def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.severity_counts(lint.analyze(table(spark, sf_dir, "documents")))
 
 
-@query("select d.doc_id, 5 - (case when regexp_matches(text, '(?m)^(All rights reserved\\.)$') then 1 else 0 end) as missing, 0 as reference_count, case when 1 = 1 then 20 else 0 end as methodology_section from documents d")
+_CHECKLIST = rf"""with {_LINES}, g as (select doc_id, 2 - (bool_or(trim(t) = '{_LICENCES[0]}')::int + bool_or(trim(t) = '{_LICENCES[1]}')::int) as missing, sum(len(list_filter(regexp_extract_all(t, '[^。！？!?]+[。！？!?]?'), lambda x: length(trim(x)) > 120)) + (length(trim(t)) > 120 and not regexp_matches(trim(t), '[。！？!?]$'))::int) as n from l group by 1),
+c as (select doc_id, missing::int as missing, 0 as reference_count, case when missing = 0 then 30 else 0 end as section_completeness, 20 as methodology_section, case when n = 0 then 10 else 0 end as normative_detection_result from g)
+select *, section_completeness + normative_detection_result + 60 as total_score, case when missing = 0 then '基础检查通过' else '需修改' end as result_label from c"""
+
+
+@query(_CHECKLIST)
 def checklist_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The checklist with a template whose sections suit these texts."""
-    kinds = spark.createDataFrame([("own", ["All rights reserved.", "研究背景", "数据", "讨论", "附录"], 1)], "template_id string, required_sections array<string>, minimum_reference_count int")
-    rows = rubric.checklist(table(spark, sf_dir, "documents").select("doc_id", F.lit("own").alias("template_id"), "text"), None, kinds)
-    return rows.select("doc_id", F.size("missing_sections").alias("missing"), "reference_count", "methodology_section")
+    """The checklist with a template whose sections these texts have, and their long sentences as issues."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("own").alias("template_id"), "text")
+    kinds = spark.createDataFrame([("own", _LICENCES, 0)], "template_id string, required_sections array<string>, minimum_reference_count int")
+    rows = rubric.checklist(docs, lint.issues(docs, {"long_sentences": {}}), kinds)
+    return rows.select("doc_id", F.size("missing_sections").alias("missing"), "reference_count", "section_completeness", "methodology_section", "normative_detection_result", "total_score", "result_label")
 
 
 def _layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
