@@ -1,10 +1,10 @@
 """Exact character 5-gram similarity of documents with a corpus, best passages, covered spans, and writing risk.
 
-Pairs come from an equi-join on grams, never from a product of the tables, and only on the rarest grams of each side: with
-n grams and a threshold t, a unit that is similar to another one shares one of its n - ceil(t n) + 1 rarest with it. Grams
-that the corpus hasn't got are the rarest of all and drop out early. Two places that meet say how many grams can follow,
-which must be enough for the threshold. The pairs left over are counted exactly, on the grams themselves; for the join 64
-bits of each will do. Pairs without a common gram have similarity 0 and only matter at a threshold of 0, which is refused.
+Pairs come from an equi-join on grams, never from a product of the tables, and only on the rarest grams of the corpus: with
+m grams and a threshold t, a unit shares one of a sample's m - ceil(t m) + 1 rarest grams if they are similar. How many of
+these a pair has in common says how many it can have in all, for the sample has ceil(t m) - 1 others. Pairs for which that
+is enough are counted exactly, on the grams themselves; for the join 64 bits of each will do. Pairs without a common gram
+have similarity 0 and only matter at a threshold of 0, which is refused.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from proofmill.functions.text import char_ngrams, jaccard, let, normalized, phrase_hits, scan, sentences, strip
 
 THRESHOLD = 0.65
-#: A corpus of so many different grams is broadcast, 16 bytes each; a larger one is joined by shuffling both sides.
-BROADCAST_GRAMS = 2_000_000
+#: A corpus of so many grams is broadcast, some 40 bytes each; a larger one is joined by shuffling both sides.
+BROADCAST_GRAMS = 1_000_000
 #: Weights of the risk's factors and the phrases that it counts (fixed values).
 RISK_WEIGHTS = {"paragraph_duplication_rate": 0.35, "sentence_length_low_variation": 0.25, "template_connector_density": 0.2, "vague_phrase_density": 0.2}
 TEMPLATE_CONNECTORS = ["首先", "其次", "再次", "最后", "因此", "综上所述", "总之", "与此同时", "however", "therefore", "moreover", "firstly", "secondly"]
@@ -60,33 +60,32 @@ def _exploded(sets: DataFrame, keys: list[str]) -> DataFrame:
     return each.select(*keys, "n", F.xxhash64("gram").alias("h"))
 
 
-def _rarest(grams: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """(keys, n, h, p): the grams that can be the first common one, with their places from the rarest on. ``grams`` has
-    their frequency ``d``; those that it lacks have been left out and come before all others."""
-    own = Window.partitionBy(*keys)
-    ranked = grams.withColumns({"_r": F.row_number().over(own.orderBy("d", "h")), "_k": F.count(F.lit(1)).over(own)})
-    return ranked.withColumn("p", F.expr("n - _k + _r - 1")).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold - 5e-7))).select(*keys, "n", "h", "p")
+def _rarest(grams: DataFrame, keys: list[str], t: float) -> DataFrame:
+    """(keys, n, h): the n - ceil(t n) + 1 rarest grams of each unit."""
+    frequency = grams.groupBy("h").agg(F.count(F.lit(1)).alias("d"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("d", "h"))
+    return grams.join(frequency, "h").withColumn("_r", rank).where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * F.lit(t)) + 1).select(*keys, "n", "h")
 
 
 def pair_scores(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], at_least: float) -> DataFrame:
-    """(left keys, right keys, score) of the pairs that reach ``at_least``, from two frames of units (keys, text).
+    """Both sides' columns but the texts, and score, of the pairs that reach ``at_least``, from two frames of units with a
+    text, which their keys name.
 
     The right side is the corpus. How many grams it has is counted first: this decides between a broadcast and a shuffle,
     and left units too large or too small for any of it are left out before their grams are dealt out.
     """
-    a, b = _sets(left, left_keys), _sets(right, right_keys)
-    b_grams = _exploded(b, right_keys)
-    frequency = b_grams.groupBy("h").agg(F.count(F.lit(1)).alias("d"))
-    bounds = b.where("n > 0").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
-    frequency = F.broadcast(frequency) if frequency.count() <= BROADCAST_GRAMS else frequency.hint("shuffle_merge")
     t = at_least - 5e-7
-    fits = (F.col("n") >= (bounds.lo or 0) * t) & (F.col("n") * t <= (bounds.hi or 0))
-    a_rare = _rarest(_exploded(a.where(fits), left_keys).join(frequency, "h"), left_keys, at_least)
-    b_rare = _rarest(b_grams.join(frequency, "h"), right_keys, at_least).withColumnsRenamed({"n": "m", "p": "q"})
-    enough = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= (F.col("n") + F.col("m")) * F.lit(t / (1 + t))
-    pairs = a_rare.join(b_rare, "h").where(enough & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(t))).select(*left_keys, *right_keys).distinct()
-    both = pairs.join(a.select(*left_keys, F.col("g").alias("ga")), left_keys).join(b.select(*right_keys, F.col("g").alias("gb")), right_keys)
-    return both.select(*left_keys, *right_keys, jaccard(F.col("ga"), F.col("gb")).alias("score")).where(F.col("score") >= t)
+    rare = _rarest(_exploded(_sets(right, right_keys), right_keys), right_keys, t).withColumnRenamed("n", "m")
+    size = rare.agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("lo"), F.max("m").alias("hi")).first()
+    rare = F.broadcast(rare) if size.k <= BROADCAST_GRAMS else rare.hint("shuffle_merge")
+    fits = (F.col("n") >= (size.lo or 0) * t) & (F.col("n") * t <= (size.hi or 0))
+    met = _exploded(_sets(left, left_keys).where(fits), left_keys).join(rare, "h").where(F.least("n", "m") >= F.greatest("n", "m") * F.lit(t))
+    counted = met.groupBy(*left_keys, *right_keys, "n", "m").agg(F.count(F.lit(1)).alias("k"))
+    enough = F.col("k") + F.ceil(F.col("m") * F.lit(t)) - 1 >= (F.col("n") + F.col("m")) * F.lit(t / (1 + t))
+    pairs = counted.where(enough).select(*left_keys, *right_keys)
+    both = pairs.join(left.withColumnRenamed("text", "_a"), left_keys).join(right.withColumnRenamed("text", "_b"), right_keys)
+    score = jaccard(char_ngrams(normalized(F.col("_a"))), char_ngrams(normalized(F.col("_b"))))
+    return both.withColumn("score", score).where(F.col("score") >= t).drop("_a", "_b")
 
 
 def best_paragraphs(sources: DataFrame, samples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -98,7 +97,7 @@ def best_paragraphs(sources: DataFrame, samples: DataFrame, threshold: float = T
         raise ValueError("a threshold of 0 matches everything")
     left = sources.withColumnRenamed("id", "doc_id")
     right = samples.select(F.col("id").alias("sample_id"), F.col("ord").alias("sample_ord"), F.col("start").alias("sample_start"), F.col("end").alias("sample_end"), "text")
-    scored = pair_scores(left, right, ["doc_id", "ord", "start", "end"], ["sample_id", "sample_ord", "sample_start", "sample_end"], threshold).where(F.col("score") >= threshold)
+    scored = pair_scores(left, right, ["doc_id", "ord"], ["sample_id", "sample_ord"], threshold).where(F.col("score") >= threshold)
     best = Window.partitionBy("doc_id", "ord", "sample_id").orderBy(F.desc("score"), "sample_ord")
     return scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "sample_ord")
 
