@@ -111,6 +111,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
                 out = f(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()  # workers live on beside the executor
 
     prepare(df.sparkSession)
     return df.mapInArrow(over, schema)
@@ -124,7 +125,7 @@ def utf8(column: pa.Array) -> list[bytes]:
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash; a bounded memo."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

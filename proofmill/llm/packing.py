@@ -13,6 +13,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache, cached_property
 from pathlib import Path
 
 import numpy as np
@@ -70,36 +71,54 @@ def _bytes(ids: list[int]) -> bytes:
     return found.tobytes()
 
 
+def _by_rank(spec: dict):  # noqa: ANN202
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks_of(spec), special_tokens={})
+
+
+@cache
+def merges_by_rank(tokenizer_file: str) -> bool:
+    """Whether merging by rank gives the library's ids: every piece of settled characters that is one id by rank must be
+    one id to the library too, or no merges reach it and only the library knows."""
+    from tokenizers import Tokenizer
+
+    spec = _spec(tokenizer_file)
+    if not splits_plainly(spec) or not (ranks := ranks_of(spec)):
+        return False
+    encoding, library = _by_rank(spec), Tokenizer.from_file(tokenizer_file)
+    alone = [p for p in (b.decode("utf-8", "ignore") for b in ranks) if p and not _UNSETTLED.search(p) and len(encoding.encode_ordinary(p)) == 1]
+    parts = (library.encode_batch_fast(alone[i : i + 1000], add_special_tokens=False) for i in range(0, len(alone), 1000))
+    return all(len(e.ids) == 1 for part in parts for e in part)
+
+
 class Ids(dict):
     """The library's ids of texts, as little-endian 32-bit bytes.
 
-    A text of settled characters is merged by rank as a whole, where the vocabulary and the splitting allow it. Other
-    texts are cut before single spaces, each of which begins a pre-token there, and the chunks encoded by the library;
-    the dictionary is a bounded memo of them. Chunks with white space at an end never get into it: their texts go to
-    the library whole, as do texts with special strings, and all texts where the file splits them in another way.
+    A text of settled characters is merged by rank as a whole, where ``merges_by_rank`` has found that this is the same.
+    Other texts are cut before single spaces, each of which begins a pre-token there, and the chunks encoded by the
+    library, which is only loaded for them; the dictionary is a bounded memo. Chunks with white space at an end never get
+    into it: their texts go to the library whole, as do texts with special strings, and all texts where the file splits
+    them in another way.
     """
 
     LIMIT = 100_000
 
-    def __init__(self, tokenizer_file: str) -> None:
-        from tokenizers import Tokenizer
-
+    def __init__(self, tokenizer_file: str, by_rank: bool) -> None:
         spec = _spec(tokenizer_file)
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.file = tokenizer_file
+        self.special = [t["content"] for t in spec.get("added_tokens") or ()]
         self.plain = splits_plainly(spec)
-        self.by_rank = None
-        if self.plain and (ranks := ranks_of(spec)):
-            import tiktoken
+        self.by_rank = _by_rank(spec) if by_rank else None
 
-            self.by_rank = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            alone = [p for p in (b.decode("utf-8", "ignore") for b in ranks) if p and not _UNSETTLED.search(p) and len(self.by_rank.encode_ordinary(p)) == 1]
-            parts = (self.tokenizer.encode_batch_fast(alone[i : i + 1000], add_special_tokens=False) for i in range(0, len(alone), 1000))
-            if any(len(e.ids) != 1 for part in parts for e in part):
-                self.by_rank = None  # a piece that no merges reach: only the library knows
+    @cached_property
+    def tokenizer(self):  # noqa: ANN201
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [] if not texts else [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def documents(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -138,9 +157,11 @@ _memo: dict[str, Ids] = {}
 def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> DataFrame:
     """(doc_id, text) to (doc_id, part, local, ids): ids as bytes with ``end_id`` last, ``local`` the ids before it in its partition."""
 
+    by_rank = merges_by_rank(tokenizer_file)
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_file not in _memo:
-            _memo[tokenizer_file] = Ids(tokenizer_file)
+            _memo[tokenizer_file] = Ids(tokenizer_file, by_rank)
         memo = _memo[tokenizer_file]
         part, local, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for whole in batches:

@@ -34,7 +34,8 @@ def odd_strings(n: int = 4000) -> list[str]:
 
 
 def test_ids_are_the_librarys_whatever_the_text():  # noqa: ANN201
-    ids, texts = packing.Ids(BPE), odd_strings()
+    assert packing.merges_by_rank(BPE)
+    ids, texts = packing.Ids(BPE, True), odd_strings()
     assert ids.by_rank is not None and ids.documents(texts) == ids.encode(texts)
 
 
@@ -45,7 +46,7 @@ def test_a_file_that_splits_otherwise_goes_to_the_library_whole():  # noqa: ANN2
     for other in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": pre | {"add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}):
         assert not packing.splits_plainly(spec | other)
     assert packing.ranks_of(spec | {"model": spec["model"] | {"dropout": 0.1}}) is None
-    whole = packing.Ids(BPE)
+    whole = packing.Ids(BPE, False)
     whole.plain = False
     texts = ["one two", "", "漢字 x"]
     assert whole.documents(texts) == whole.encode(texts) and not whole
