@@ -17,29 +17,32 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' policy keeps."""
+    """Documents that the rules' policy keeps. Null, empty and blank texts have too few words and go; each row is judged
+    by its own text, whatever its id."""
     return rules.keep_good(docs)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that other documents keep; n_chars follows."""
+    """Documents without the lines that other documents keep; n_chars follows. All rows stay: a null text becomes an empty
+    one, rows that repeat an id are one document, and those without an id keep all their lines."""
     done = line_dedup.dedup_lines(docs)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near-duplicates."""
+    """The smallest document of each group of near-duplicates. Rows that repeat its id all stay, as do rows without an id
+    and rows without words, which are in no group."""
     verdict = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(verdict, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found; each row is judged by its own text. Without items all stay."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
+    """Pieces of sequences of 1024 tokens. Null and empty texts are one token, and every row is packed for itself."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
