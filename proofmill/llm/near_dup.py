@@ -89,7 +89,9 @@ def buckets(reps: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     hashed = [F.xxhash64(F.lit(i), F.expr(f"substring(sig, {1 + 4 * rows * i}, {4 * rows})")) for i in range(bands)]
     banded = reps.select("uid", F.explode(F.array(*hashed)).alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return banded.join(sizes, "bucket")
+    # What is known of buckets is staged before members join it: both sides are plain exchanges then, so Spark can split
+    # a bucket that holds a large part of all members over several tasks.
+    return banded.join(stage(sizes, "sizes"), "bucket")
 
 
 def _prune(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -184,10 +186,10 @@ def link(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: in
         for orders in (["weight"], [f"weight * (1 + pmod(xxhash64({i}, uid), 1000) / 2000)" for i in range(HUBS)]):
             best = [F.max_by(F.struct(F.col("uid").alias("other"), F.col("label").alias("other_label")), F.struct(F.expr(order), -F.col("uid"))) for order in orders]
             hubs = rest.groupBy("bucket").agg(F.array_distinct(F.array(*best)).alias("h")).select("bucket", F.inline("h"))
-            labels = compare(rest.join(hubs, "bucket").where("label <> other_label"))
+            labels = compare(rest.join(stage(hubs, "hubs"), "bucket").where("label <> other_label"))
             rest = members.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
             still = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-            rest = stage(rest.join(still, "bucket").select("bucket", "uid", "weight", "label"), "rest")
+            rest = stage(rest.join(stage(still, "open"), "bucket").select("bucket", "uid", "weight", "label"), "rest")
             if rest.isEmpty():
                 break
         else:
