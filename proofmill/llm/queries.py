@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import decontam, html_text, line_dedup, near_dup, packing, quality_model, rules, secrets, substring_dedup, token_count
+from proofmill.llm import decontam, embedding_dedup, html_text, line_dedup, near_dup, packing, quality_model, rules, secrets, substring_dedup, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -135,4 +140,21 @@ select doc_id, any_value(n)::bigint as n_lines, count(*) filter (dropped) as n_d
 from j group by doc_id
 """
 
-ORACLES: dict[str, str] = {"op10_line_dedup": _OP10, "op2_minhash_near_dedup": _OP2, "op9_quality_rules": _OP9}
+_OP12 = """
+with recursive e as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+n as (
+  select vec_id, label, v, sqrt(list_inner_product(v, v)) as norm from e),
+p as (
+  select a.vec_id as x, b.vec_id as y from n a join n b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+  where a.norm > 0 and b.norm > 0 and list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
+r as (
+  select vec_id, vec_id as c from embeddings union select r.vec_id, p.y from r join p on p.x = r.c),
+k as (
+  select x, count(*) as n_links from p group by x)
+select e.vec_id, coalesce(k.n_links, 0)::bigint as n_links, c.c::bigint as component_id, e.vec_id = c.c as kept
+from embeddings e left join k on k.x = e.vec_id join (select vec_id, min(c) as c from r group by vec_id) c on c.vec_id = e.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op10_line_dedup": _OP10, "op12_embedding_near_dedup": _OP12, "op2_minhash_near_dedup": _OP2, "op9_quality_rules": _OP9}
