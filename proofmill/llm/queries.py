@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import conversations, decontam, embedding_dedup, html_text, line_dedup, near_dup, packing, quality_model, rules, secrets, substring_dedup, token_count
+from proofmill.llm import collocations, conversations, decontam, embedding_dedup, html_text, line_dedup, near_dup, packing, quality_model, rules, secrets, substring_dedup, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -162,4 +167,35 @@ select e.vec_id, coalesce(k.n_links, 0)::bigint as n_links, c.c::bigint as compo
 from embeddings e left join k on k.x = e.vec_id join (select vec_id, min(c) as c from r group by vec_id) c on c.vec_id = e.vec_id
 """
 
-ORACLES: dict[str, str] = {"op10_line_dedup": _OP10, "op12_embedding_near_dedup": _OP12, "op2_minhash_near_dedup": _OP2, "op9_quality_rules": _OP9}
+_OP13 = r"""
+with w as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+  from (
+    select coalesce(lang, 'und') as lang,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents)),
+f as (
+  select lang, phrase, any_value(k)::bigint as k, count(*) as a
+  from (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, range(1, 5) x(k)))
+  group by lang, phrase),
+t as (
+  select lang, sum(len(w))::bigint as n from w group by lang),
+c as (
+  select lang, phrase, k, a, string_split(phrase, ' ') as w from f where k > 1 and a >= 30),
+i as (
+  select distinct c.lang, c.phrase
+  from (select lang, a, k, w, unnest(range(2, k)) as j from c) l, range(1, 4) x(o), c
+  where o + j - 1 <= l.k and c.lang = l.lang and c.phrase = array_to_string(l.w[o:o + j - 1], ' ') and 100 * l.a >= 80 * c.a),
+s as (
+  select c.lang, c.phrase, c.a, j, l.a as l, r.a as r, (2000000::hugeint * c.a) // (l.a + r.a) as score
+  from (select *, unnest(range(1, k)) as j from c) c
+  join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:j], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[j + 1:], ' ')),
+b as (
+  select lang, phrase, a, l, r, score from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+o as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+  from b where not exists (from i where i.lang = b.lang and i.phrase = b.phrase))
+select o.lang, rank, phrase, a, l, r, n, score::bigint as score from o join t on t.lang = o.lang where rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op10_line_dedup": _OP10, "op12_embedding_near_dedup": _OP12, "op13_phrase_collocations": _OP13, "op2_minhash_near_dedup": _OP2, "op9_quality_rules": _OP9}
