@@ -70,7 +70,7 @@ def doc_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_SETS} select doc_id, sample_id, jaccard_score, rank::int as rank from top")
 def doc_similarity_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.top_matches(similarity.document_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), THRESHOLD))
+    return similarity.best_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), THRESHOLD).drop("spans")
 
 
 @query(f'with {_SETS} select doc_id, ord::int as ord, sample_id, "start", "end", sample_start, sample_end, score from best')

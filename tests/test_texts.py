@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from proofmill.functions import scores, text
 from proofmill.operators import similarity
+from proofmill.operators.gram_index import GramIndex, rounded
 
 
 @pytest.fixture(scope="module")
@@ -113,10 +114,13 @@ def jaccard_of(a: str, b: str) -> float:
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
 
 
-def test_pairs_against_every_pair(spark):  # noqa: ANN001, ANN201
-    """The prefixes lose no pair: rare and common grams, equal and unequal sizes, ties and repeated texts."""
+@pytest.mark.parametrize("most", [similarity.BROADCAST_CHARS, 0])
+def test_pairs_against_every_pair(spark, monkeypatch, most):  # noqa: ANN001, ANN201
+    """Neither the index nor the cuts lose a pair: rare and common grams, equal and unequal sizes, ties and repeated texts."""
     import random
 
+    monkeypatch.setattr(similarity, "BROADCAST_CHARS", most)
+
     rng = random.Random(4)
     words = ["alpha", "beta", "gamma", "delta", "rho", "sigma", "of", "the", "and"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) for _ in range(60)]
@@ -130,6 +134,41 @@ def test_pairs_against_every_pair(spark):  # noqa: ANN001, ANN201
         assert got == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("chars", [similarity.BROADCAST_CHARS, 0])
+def test_best_matches_are_those_of_all_pairs(spark, monkeypatch, chars):  # noqa: ANN001, ANN201
+    import random
+
+    monkeypatch.setattr(similarity, "BROADCAST_CHARS", chars)
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "rho", "sigma", "of", "the", "and", "Ωmega", "漢字"]
+    line = lambda: " ".join(rng.choices(words, k=rng.randrange(1, 12)))
+    samples = ["\n".join(line() for _ in range(rng.randrange(1, 4))) for _ in range(30)]
+    texts = ["\n".join(rng.choice([line(), rng.choice(samples), rng.choice(samples) + " x"]) for _ in range(rng.randrange(0, 5))) for _ in range(25)]
+    docs = spark.createDataFrame([*enumerate(texts), (98, None)], "doc_id int, text string")
+    corpus = spark.createDataFrame([*enumerate(samples), (99, "")], "item_id int, text string")
+    for most in (1, 5):
+        got = {(r.doc_id, r.sample_id, r.jaccard_score, r.rank, tuple(sorted(tuple(x) for x in r.spans))) for r in similarity.best_matches(docs, corpus, 0.3, most=most).collect()}
+        spans = similarity._scored(docs, corpus, 0.3, "item_id")
+        want = {(r.doc_id, r.sample_id, r.jaccard_score, r.rank, tuple(sorted(tuple(x) for x in r.spans))) for r in similarity.top_matches(spans, most).collect()}
+        assert len(want) > 15 and got == want
+
+
+def test_bounds_save_counting():  # noqa: ANN201
+    """Of a document's candidates above the threshold only those are counted whose bound passes its own fifth best."""
+    import random
+
+    rng = random.Random(5)
+    base = "".join(rng.choices("abcdefghij ", k=400))
+    changed = lambda k: "".join(c if i % 400 not in spots else "z" for spots in [set(rng.sample(range(400), k))] for i, c in enumerate(base))
+    samples = [changed(k % 40) for k in range(200)]
+    index = GramIndex(list(range(200)), samples)
+    sides = [(index, dict(enumerate(range(200)))), (GramIndex([], []), {})]
+    best, counted = similarity.best_samples(sides, [base], [], 0.3, 0.3, 5)
+    every = sorted(((-rounded(s), i) for i, s, _ in index.matches(base, 0.3)))
+    assert [(sample, score) for sample, score, _ in best] == [(i, -s) for s, i in every[:5]]
+    assert len(every) > 150 and counted < len(every) / 2
+
+
 def test_five_best_of_a_corpus(spark):  # noqa: ANN001, ANN201
     base = "the same sentence about the same thing over and over again"
     corpus = spark.createDataFrame([(i, base + " x" * i) for i in range(6)] + [(9, "nothing in common here at all")], "item_id int, text string")
