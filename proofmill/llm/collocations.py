@@ -1,7 +1,8 @@
 """Phrase collocations from depth-limited count tries.
 
-Each task builds count tries of its shard, a level of arrays for each depth, and writes them out in order of their phrases.
-These runs are dealt by ranges of phrases, sorted together and summed as they stream by: a merge of all shards' runs.
+Each task builds count tries of its shard, a level of arrays for each depth, and gives them out in order of their phrases.
+These runs are dealt by ranges of the phrases' beginnings, sorted together and summed as they stream by: a merge of all
+shards' runs. Ranges are cut where the words' counts say, inside a common word at the word that follows.
 
 A phrase occurs no more often than its parts, so tries grow in three passes: words; pairs of words that are frequent; and
 up to four words all of whose pairs are. What is frequent is passed on as a bitmap of hashes of at most ``MOST_BITS``: a
@@ -13,7 +14,7 @@ link leads from a phrase to what is left without its first word; that node has t
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,37 +27,39 @@ from pyspark.sql import functions as F
 from proofmill.llm.common import _MULTIPLIERS, _mix, map_batches, prepare, stage, staging, utf8
 
 DEPTH = 4
-#: Tokens and different words that a task holds at once; beyond them it writes its tries out and starts anew.
-SHARD_TOKENS, SHARD_WORDS = 2_000_000, 500_000
+#: Tokens that a task holds at once, and words, counted anew in each part; beyond them it writes its tries out and starts anew.
+SHARD_TOKENS, SHARD_WORDS = 6_000_000, 2_000_000
 #: Bytes of text split at once.
-PART = 1 << 20
+PART = 1 << 22
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
+#: Ranges of phrases for each of the session's shuffle partitions, and all of them at most.
+RANGES, MOST_RANGES = 16, 20_000
 #: Every lang's best are found in so many parts first.
 SALTS = 64
-_SPLIT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
+_SPLIT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz .........")
 _END = b"."
-RUN = "lang string, phrase binary, n long"
+RUN = "lang string, phrase binary, n long, part int"
 
 
-def tokens(text: bytes, size: int) -> Iterator[list[bytes]]:
-    """Words of a text, a full stop where a piece ends, in lists of about ``size`` bytes that follow each other."""
+def split_parts(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes that follow each other: words between blanks, full stops where pieces end."""
     text, at = text.translate(_SPLIT), 0
     while at < len(text):
         cut = text.find(b" ", at + size)
         cut = len(text) if cut < 0 else cut
-        yield text[at:cut].replace(_END, b" . ").split()
+        yield text[at:cut].replace(_END, b" . ")
         at = cut
-    yield [_END]
+    yield b" . "
 
 
 class _Bitmap:
     """Which phrases may be frequent, by a hash of their words' hashes."""
 
     def __init__(self, words: np.ndarray) -> None:
-        self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
+        self.words, self.mask = words, len(words) * 64 - 1
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & self.mask
+        at = hashes & np.uint64(self.mask)
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
@@ -65,117 +68,127 @@ def _word_hash(lang: bytes, word: bytes) -> int:
 
 
 def _phrase_hash(words: list[np.ndarray]) -> np.ndarray:
+    if len(words) == 1:
+        return words[0]
     total = np.zeros(len(words[0]), np.uint64)
     for m, h in zip(_MULTIPLIERS, words, strict=False):
         total += h * m
     return _mix(total)
 
 
-class _Words(dict):
-    """A lang's words that may be frequent, numbered; all others are -1."""
-
-    def __init__(self, lang: bytes, frequent: _Bitmap) -> None:
-        self.lang, self.frequent, self.list, self.hashes = lang, frequent, [], []
-        self[_END] = -1
-
-    def __missing__(self, word: bytes) -> int:
-        h = _word_hash(self.lang, word)
-        number = -1
-        if self.frequent.has(_phrase_hash([np.array([h], np.uint64)]))[0]:
-            number = len(self.list)
-            self.list.append(word), self.hashes.append(h)
-        self[word] = number
-        return number
-
-
-def _run(lang: bytes, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    langs = pa.array([lang.decode()] * len(phrases), pa.string())
-    return pa.RecordBatch.from_arrays([langs, phrases.cast(pa.binary()), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
-
-
-class _WordTrie:
-    """Depth 1: the words of a lang."""
+class _Trie:
+    """Tries of one lang in one task; until they are written out, its words as a dictionary and numbers for each part."""
 
     def __init__(self, lang: bytes) -> None:
-        self.lang, self.counts = lang, Counter()
-
-    def add(self, part: list[bytes]) -> None:
-        self.counts.update(part)
+        self.lang, self.waiting, self.bytes, self.coded = lang, [], 0, []
+
+    def add(self, part: bytes, size: int) -> tuple[int, int]:
+        """Tokens and words that have come in by it."""
+        self.waiting.append(part)
+        self.bytes += len(part)
+        return self.read() if self.bytes >= size else (0, 0)
+
+    def read(self) -> tuple[int, int]:
+        new = pc.split_pattern(pa.array([b"".join(self.waiting)], pa.binary()), " ").values.dictionary_encode()
+        self.waiting, self.bytes = [], 0
+        self.coded.append(new)
+        return len(new), len(new.dictionary)
+
+    def words(self) -> tuple[pa.Array, np.ndarray]:
+        """The different words, in order, and the number of each token's, without those between two blanks."""
+        self.read()
+        coded = pa.chunked_array(self.coded).unify_dictionaries()
+        words = coded.chunk(0).dictionary
+        order = pc.sort_indices(words).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        at = rank[np.concatenate([c.indices.to_numpy() for c in coded.chunks])]
+        words = words.take(pa.array(order))
+        return (words.slice(1), at[at > 0] - 1) if len(words) and words[0].as_py() == b"" else (words, at)
 
-    def holds(self) -> tuple[int, int]:
-        """Tokens and words."""
-        return 0, len(self.counts)
+    def _run(self, phrases: pa.Array, counts: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(counts), 50_000):
+            some = phrases.slice(at, 50_000).cast(pa.binary())
+            langs = pa.repeat(pa.scalar(self.lang.decode()), len(some))
+            yield pa.RecordBatch.from_arrays([langs, some, pa.array(counts[at : at + 50_000], pa.int64()), pa.array(parts[at : at + 50_000], pa.int32())], ["lang", "phrase", "n", "part"])
 
-    def runs(self) -> Iterator[pa.RecordBatch]:
-        del self.counts[_END]
-        words = sorted(self.counts)
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
-            yield _run(self.lang, pa.array(some, pa.binary()), np.fromiter(map(self.counts.__getitem__, some), np.int64, len(some)))
 
+class _WordTrie(_Trie):
+    """Depth 1."""
 
-class _PhraseTrie:
-    """Depths 2, or 3 and 4, of a lang."""
+    def runs(self) -> Iterator[pa.RecordBatch]:
+        words, at = self.words()
+        counts = np.bincount(at, minlength=len(words))
+        keep = pa.array(pc.not_equal(words, _END).to_numpy(zero_copy_only=False).nonzero()[0])
+        yield from self._run(words.take(keep), counts[keep.to_numpy()], np.zeros(len(keep), np.int32))
 
-    def __init__(self, lang: bytes, words: _Bitmap, pairs: _Bitmap | None) -> None:
-        self.lang, self.words, self.pairs, self.parts, self.tokens = lang, _Words(lang, words), pairs, [], 0
 
-    def add(self, part: list[bytes]) -> None:
-        self.parts.append(np.fromiter(map(self.words.__getitem__, part), np.int64, len(part)))
-        self.tokens += len(part)
+class _PhraseTrie(_Trie):
+    """Depth 2, or 3 and 4, of words that may be frequent."""
 
-    def holds(self) -> tuple[int, int]:
-        return self.tokens, len(self.words)
+    def __init__(self, lang: bytes, words: _Bitmap, pairs: _Bitmap | None, borders: list[tuple[bytes, bytes]], first_part: int) -> None:
+        super().__init__(lang)
+        self.frequent, self.pairs, self.borders, self.first_part = words, pairs, borders, first_part
 
     def runs(self) -> Iterator[pa.RecordBatch]:
-        order = sorted(range(len(self.words.list)), key=self.words.list.__getitem__)
-        names = pa.array([self.words.list[i] for i in order], pa.binary())
-        rank = np.full(len(order) + 1, -1, np.int64)  # the last stands for -1
-        rank[order] = np.arange(len(order))
-        hashes = np.array([self.words.hashes[i] for i in order], np.uint64)
-        ids = rank[np.concatenate(self.parts)] if self.parts else np.empty(0, np.int64)
+        words, at = self.words()
+        seed = xxhash.xxh3_64_intdigest(self.lang)
+        every = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words.to_pylist()), np.uint64, len(words))
+        kept = np.flatnonzero(self.frequent.has(every) & pc.not_equal(words, _END).to_numpy(zero_copy_only=False))
+        number = np.full(len(words), -1, np.int64)
+        number[kept] = np.arange(len(kept))
+        ids, texts, hashes, size = number[at], words.take(pa.array(kept)), every[kept], len(kept)
+        names = texts.to_pylist()
         starts = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-        # A node is a pair of its parent's number and its last word; numbers follow the order of the phrases.
-        first, second = ids[starts], ids[starts + 1]
-        nodes, inverse, counts = np.unique(first * max(len(order), 1) + second, return_inverse=True, return_counts=True)
-        texts = [names.take(pa.array(nodes // max(len(order), 1))), names.take(pa.array(nodes % max(len(order), 1)))]
+        if not len(starts):
+            return
+        # A node is its parent's number and its last word; numbers follow the order of the phrases.
+        keys = ids[starts] * size + ids[starts + 1]
         if self.pairs is None:
-            yield from self._write(texts, counts)
+            nodes, counts = np.unique(keys, return_counts=True)
+            yield from self._run(self._join([texts.take(pa.array(nodes // size)), texts.take(pa.array(nodes % size))]), counts, self._parts(nodes, names))
             return
-        a, b = nodes // max(len(order), 1), nodes % max(len(order), 1)
-        good = self.pairs.has(_phrase_hash([hashes[a], hashes[b]])) if len(nodes) else np.empty(0, bool)
+        nodes, inverse = np.unique(keys, return_inverse=True)
+        good = self.pairs.has(_phrase_hash([hashes[nodes // size], hashes[nodes % size]]))
         pair_at = np.full(len(ids), -1, np.int64)
         pair_at[starts[good[inverse]]] = inverse[good[inverse]]
-        node_at = pair_at
+        node_at, parts = pair_at, self._parts(nodes, names)
+        columns = [texts.take(pa.array(nodes // size)), texts.take(pa.array(nodes % size))]
         for depth in range(3, DEPTH + 1):
             # A phrase goes on where the one that is a word shorter does and the pair at its end is frequent.
             starts = np.flatnonzero((node_at[: -(depth - 2)] >= 0) & (pair_at[depth - 2 :] >= 0))
-            nodes, inverse, counts = np.unique(node_at[starts] * len(order) + ids[starts + depth - 1], return_inverse=True, return_counts=True)
-            parents = pa.array(nodes // max(len(order), 1))
-            texts = [*(t.take(parents) for t in texts), names.take(pa.array(nodes % max(len(order), 1)))]
-            yield from self._write(texts, counts)
+            nodes, inverse, counts = np.unique(node_at[starts] * size + ids[starts + depth - 1], return_inverse=True, return_counts=True)
+            parts = parts[nodes // size]
+            columns = [*(c.take(pa.array(nodes // size)) for c in columns), texts.take(pa.array(nodes % size))]
+            yield from self._run(self._join(columns), counts, parts)
             node_at = np.full(len(ids), -1, np.int64)
             node_at[starts] = inverse
 
-    def _write(self, texts: list[pa.Array], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(counts), 50_000):
-            yield _run(self.lang, pc.binary_join_element_wise(*(t.slice(at, 50_000) for t in texts), b" "), counts[at : at + 50_000])
+    def _join(self, columns: list[pa.Array]) -> pa.Array:
+        return pc.binary_join_element_wise(*columns, b" ")
+
+    def _parts(self, pairs: np.ndarray, names: list[bytes]) -> np.ndarray:
+        """The range that each pair of words, numbered in order, falls into; the same in all tasks."""
+        cuts = []
+        for first, second in self.borders:
+            at = bisect_left(names, first)
+            there = at < len(names) and names[at] == first
+            cuts.append(at * len(names) + (bisect_left(names, second) if there else 0))
+        return self.first_part + np.searchsorted(np.array(cuts, np.int64), pairs, "right")
 
 
-def _tries(docs: DataFrame, new: Callable[[bytes], _WordTrie | _PhraseTrie]) -> DataFrame:
-    """The runs (lang, phrase, n) of the tries of each task."""
-    most, part_size = (SHARD_TOKENS, SHARD_WORDS), PART
+def _tries(docs: DataFrame, new: Callable[[bytes], _Trie]) -> DataFrame:
+    """The runs (lang, phrase, n, part) of the tries of each task."""
+    most, size = (SHARD_TOKENS, SHARD_WORDS), PART
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[bytes, _WordTrie | _PhraseTrie] = {}
+        tries: dict[bytes, _Trie] = {}
         held = [0, 0]
         for batch in batches:
             for lang, text in zip(utf8(batch.column(0)), batch.column(1).cast(pa.binary()), strict=True):
                 trie = tries.get(lang) or tries.setdefault(lang, new(lang))
-                before = trie.holds()
-                for part in tokens(text.as_py() or b"", part_size):
-                    trie.add(part)
-                held = [x + now - was for x, now, was in zip(held, trie.holds(), before, strict=True)]
+                for part in split_parts(text.as_py() or b"", size):
+                    held = [x + new for x, new in zip(held, trie.add(part, size), strict=True)]
                 if held[0] >= most[0] or held[1] >= most[1]:
                     for t in tries.values():
                         yield from t.runs()
@@ -188,11 +201,49 @@ def _tries(docs: DataFrame, new: Callable[[bytes], _WordTrie | _PhraseTrie]) ->
     return docs.select("lang", "text").mapInArrow(over, RUN)
 
 
+def _borders(words: DataFrame, ranges: int) -> dict[bytes, tuple[int, list[tuple[bytes, bytes]]]]:
+    """By lang the number of its first range and the (word, next word) that its other ranges begin with.
+
+    From a bounded sample of the frequent words, drawn by their counts: those that fill a range are all in it. Where the
+    borders are decides how even the ranges are and nothing else.
+    """
+    total = words.agg(F.sum("n")).first()[0] or 0
+    drawn = F.expr("-ln((pmod(xxhash64(lang, phrase), 1000003) + 1) / 1000004.0) / n")
+    sample = sorted((r.lang.encode(), bytes(r.phrase), r.n) for r in words.orderBy(drawn, "lang", "phrase").limit(4 * ranges).collect())
+    large = [x for x in sample if x[2] * ranges >= total]
+    rest = (total - sum(n for *_, n in large)) / max(1, len(sample) - len(large))
+    out: dict[bytes, tuple[int, list[tuple[bytes, bytes]]]] = {}
+    number = 0
+    for lang in dict.fromkeys(lang for lang, *_ in sample):
+        mine = [(w, n if n * ranges >= total else rest) for x, w, n in sample if x == lang]
+        sums = np.cumsum([n for _, n in mine])
+        out[lang] = number, []
+        filled = 0.0
+        for word, n in mine:
+            if n * ranges >= total:  # a common word: cut it at the words that may follow
+                cuts = int(n * ranges // total)
+                follow = [mine[int(np.searchsorted(sums, sums[-1] * k / (cuts + 1)))][0] for k in range(1, cuts + 1)]
+                out[lang][1].extend([(word, b""), *((word, f) for f in dict.fromkeys(follow))])
+                filled = total / ranges
+                continue
+            if filled >= total / ranges:
+                out[lang][1].append((word, b""))
+                filled = 0.0
+            filled += n
+        number += len(out[lang][1]) + 1
+    return out
+
+
 def _merged(runs: DataFrame, least: int) -> DataFrame:
-    """The runs of all shards, merged by ranges of phrases: phrases with their counts, of at least ``least``."""
+    """The runs of all shards, merged range by range: (lang, phrase, n) of at least ``least``."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if last and last[2] >= least:
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, (pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "phrase", "n"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -202,17 +253,18 @@ def _merged(runs: DataFrame, least: int) -> DataFrame:
             totals = np.add.reduceat(n, starts)
             if last and last[:2] == (langs[0].as_py(), phrases[0].as_py()):
                 totals[0] += last[2]
-            elif last and last[2] >= least:
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, (pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "phrase", "n"])
+            else:
+                yield from done()
             keep = np.flatnonzero(totals[:-1] >= least)
             if len(keep):
                 at = pa.array(starts[keep])
                 yield pa.RecordBatch.from_arrays([langs.take(at), phrases.take(at), pa.array(totals[keep], pa.int64())], ["lang", "phrase", "n"])
             last = langs[int(starts[-1])].as_py(), phrases[int(starts[-1])].as_py(), int(totals[-1])
-        if last and last[2] >= least:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, (pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "phrase", "n"])
+        yield from done()
 
-    return runs.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase").mapInArrow(over, RUN)
+    # Phrases first: the beginning of the sort key then tells most of them apart.
+    dealt = runs.repartition("part").select("lang", "phrase", "n").sortWithinPartitions("phrase", "lang")
+    return dealt.mapInArrow(over, "lang string, phrase binary, n long")
 
 
 def _bitmap(phrases: DataFrame) -> _Bitmap:
@@ -234,15 +286,15 @@ def count_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, n) of up to four words and of at least ``least`` occurrences, (lang, n) with the words of each lang)."""
     spark = docs.sparkSession
     with staging(spark):
-        runs = stage(_tries(docs, _WordTrie), "words")
+        runs = stage(_tries(docs, _WordTrie).drop("part"), "words")
         totals = stage(runs.groupBy("lang").agg(F.sum("n").alias("n")), "totals", keep=True)
-        found = [stage(_merged(runs, least), "frequent", keep=True)]
-        words = spark.sparkContext.broadcast(_bitmap(found[0]))
-        runs = stage(_tries(docs, lambda lang: _PhraseTrie(lang, words.value, None)), "pairs")
-        found.append(stage(_merged(runs, least), "frequent", keep=True))
+        found = [stage(runs.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "frequent", keep=True)]
+        borders = _borders(found[0], min(RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES))
+        words = spark.sparkContext.broadcast((_bitmap(found[0]), borders))
+        first = lambda lang: words.value[1].get(lang, (0, []))
+        found.append(stage(_merged(_tries(docs, lambda lang: _PhraseTrie(lang, words.value[0], None, first(lang)[1], first(lang)[0])), least), "frequent", keep=True))
         pairs = spark.sparkContext.broadcast(_bitmap(found[1]))
-        runs = stage(_tries(docs, lambda lang: _PhraseTrie(lang, words.value, pairs.value)), "phrases")
-        found.append(stage(_merged(runs, least), "frequent", keep=True))
+        found.append(stage(_merged(_tries(docs, lambda lang: _PhraseTrie(lang, words.value[0], pairs.value, first(lang)[1], first(lang)[0])), least), "frequent", keep=True))
         words.destroy(), pairs.destroy()
         return found[0].unionAll(found[1]).unionAll(found[2]), totals
 

@@ -93,7 +93,29 @@ def test_counts_beyond_32_bits_stay_exact(spark):  # noqa: ANN001, ANN201
 
 def test_bitmap_has_all_that_were_put_in(spark):  # noqa: ANN001, ANN201
     rows = [("en", f"w{i} x{i % 7}".encode(), 30) for i in range(3000)]
-    bitmap = collocations._bitmap(spark.createDataFrame(rows, collocations.RUN))
+    bitmap = collocations._bitmap(spark.createDataFrame(rows, "lang string, phrase binary, n long"))
     hashes = lambda lang, ps: collocations._phrase_hash([np.array([collocations._word_hash(lang, p.split()[k]) for p in ps], np.uint64) for k in (0, 1)])
     assert bitmap.has(hashes(b"en", [p for _, p, _ in rows])).all()
     assert bitmap.has(hashes(b"fr", [p for _, p, _ in rows])).mean() < 0.1
+
+
+def test_ranges_agree_whatever_words_a_task_has():  # noqa: ANN201
+    rng = random.Random(6)
+    words = sorted({bytes(rng.choices(b"abcd", k=rng.randrange(1, 4))) for _ in range(60)})
+    borders = sorted({(rng.choice(words), rng.choice([b"", *words])) for _ in range(12)})
+    known: dict = {}
+    for _ in range(20):
+        names = sorted(rng.sample(words, rng.randrange(2, len(words))))
+        trie = collocations._PhraseTrie(b"en", None, None, borders, 5)
+        pairs = np.array([i * len(names) + j for i in range(len(names)) for j in range(len(names))])
+        for pair, part in zip(pairs, trie._parts(pairs, names), strict=True):
+            phrase = names[pair // len(names)], names[pair % len(names)]
+            assert part == 5 + sum(b <= phrase for b in borders) == known.setdefault(phrase, part)
+
+
+def test_borders_split_common_words(spark):  # noqa: ANN001, ANN201
+    rows = [("en", b"the", 50_000)] + [("en", f"w{i:03}".encode(), 100) for i in range(300)] + [("fr", f"v{i:03}".encode(), 100) for i in range(200)]
+    borders = collocations._borders(spark.createDataFrame(rows, "lang string, phrase binary, n long"), 20)
+    (first, en), (second, fr) = borders[b"en"], borders[b"fr"]
+    assert en == sorted(en) and fr == sorted(fr) and first == 0 and second == len(en) + 1
+    assert sum(w == b"the" for w, _ in en) > 5 and 4 <= sum(w != b"the" for w, _ in en) <= 12 and 2 <= len(fr) <= 8
