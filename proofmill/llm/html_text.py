@@ -9,6 +9,7 @@ The tree is grown by Gini impurity on the labelled table below when the module's
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 from html import unescape
 
@@ -21,9 +22,18 @@ from proofmill.llm.common import map_batches
 
 #: Elements whose content is never text of the page.
 _SKIP = "script|style|noscript|template|title|svg|math|iframe|object|select|button|textarea|canvas"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{_SKIP})(?=[\s/>])[^>]*(?:(?<=/)>|>.*?(?:</(?P=skip)\s*>|\Z))|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>", re.S | re.I
-)
+
+
+def _token(attrs: str) -> re.Pattern:
+    """Comments, skipped elements, declarations and tags. Nothing is tried twice, so a match costs what it is long."""
+    return re.compile(
+        rf"<!--.*?(?:-->|\Z)|<(?P<skip>{_SKIP})(?=[\s/>])[^>]*+(?:(?P<whole>(?<=/)>)|>.*?(?:(?P<close></(?P=skip)\s*+>)|\Z))|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{attrs})>|</?[a-zA-Z][^>]*+>", re.S | re.I
+    )
+
+
+#: A tag ends at the first > outside of quotes. Where there is none to the page's end, quotes say nothing from there on.
+_TOKEN, _UNQUOTED = _token("(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+"), _token("[^>]*+")
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags and words of class, id and role that name something other than the article (fixed values).
@@ -167,11 +177,18 @@ LABELLED = """
 6 0.0 7 0.0 2 0.0 0 0 0 1
 8 0.0 20 0.0 0 0.0 0 0 0 1
 6 0.0 28 0.9 2 1.0 0 0 0 0
+2 0.0 0 0.0 6 0.0 0 0 1 1
+6 0.0 2 0.0 5 0.0 0 0 0 1
+5 0.0 6 0.0 0 0.0 0 0 0 1
+6 0.0 6 0.0 0 0.0 0 0 0 1
+4 1.0 40 0.0 5 1.0 0 0 1 0
+9 1.0 5 1.0 4 1.0 0 0 0 0
+11 1.0 60 0.0 12 1.0 0 1 0 0
 """
 
 
 @cache
-def tree(depth: int = 6, leaf: int = 1) -> tuple:
+def tree(depth: int = 8, leaf: int = 1) -> tuple:
     """Nested (feature, threshold, left, right), with True or False at the leaves."""
     table = np.array([[float(x) for x in line.split()] for line in LABELLED.strip().splitlines()])
     x, y = table[:, :-1], table[:, -1]
@@ -223,13 +240,14 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
     out: list[tuple[str, int, float, bool, bool, bool]] = []
     open_: list[tuple[str, bool, bool]] = []  # tag, in another container, in an article
     parts: list[str] = []
-    linked, link, heading, at = 0, 0, False, 0
+    linked, heading, at = 0, False, 0
+    link: int | None = None  # how many elements were open where the link began; it ends with them at the latest
 
     def text(raw: str) -> None:
         nonlocal linked
         raw = unescape(raw) if "&" in raw else raw
         parts.append(raw)
-        if link:
+        if link is not None:
             linked += len(raw.split())
 
     def flush() -> None:
@@ -239,23 +257,24 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             out.append((" ".join(words), len(words), min(1.0, linked / len(words)), other, article, heading))
         parts, linked = [], 0
 
-    for m in _TOKEN.finditer(html):
+    for m in _tokens(html):
         if m.start() > at:
             text(html[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["skip"]:
+            if m[0].startswith("<!--") and not m[0].endswith("-->") or m["skip"] and not (m["whole"] or m["close"]):
+                at = len(html)  # it has no end
+            elif m["skip"]:
                 parts.append(" ")
             continue
         if tag in _INLINE:
-            if tag == "a":
-                link = max(0, link - 1) if m["end"] else link + 1
+            if tag == "a" and (m["end"] or _HREF.search(m["attrs"])):
+                link = None if m["end"] else len(open_)
             elif tag == "br":
                 parts.append(" ")
             continue
         flush()
-        link = 0
         if m["end"]:
             if any(t == tag for t, _, _ in open_):
                 while open_.pop()[0] != tag:
@@ -264,15 +283,30 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
         elif tag not in _VOID and not m["attrs"].endswith("/"):
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and open_ and open_[-1][0] == tag:
                 open_.pop()  # these end where the next one begins
+            if link is not None and link > len(open_):
+                link = None
             _, other, article = open_[-1] if open_ else ("", False, False)
             other = other or tag in _OTHER_TAGS or tag == "header" and not article or _named_other(tag, m["attrs"], article or tag in ("article", "main", "body", "html"))
             open_.append((tag, other, article or tag in ("article", "main")))
             heading = len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
-    text(html[at:])
+        if link is not None and link > len(open_):
+            link = None
+    rest = html[at:]
+    text(rest[: rest.find("<!--")] if "<!--" in rest else rest)
     flush()
     return out
 
 
+def _tokens(html: str) -> Iterator[re.Match]:
+    """The tokens of a page in order, up to its last >: there is no tag behind it."""
+    at, last, pattern = 0, html.rfind(">") + 1, _TOKEN
+    while at < last and (m := pattern.search(html, at, last)):
+        yield m
+        at = m.end()
+        if pattern is _TOKEN and not m["tag"] and re.match("</?[a-zA-Z]", m[0]) and not m["skip"]:
+            pattern = _UNQUOTED
+
+
 def main_text(html: str | None) -> str:
     """The content blocks of a page, two line feeds between them."""
     found = blocks(html or "")

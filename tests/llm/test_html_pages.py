@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import time
+from collections import Counter
+
 import pytest
 
 from proofmill.llm import html_text
+from tests.conftest import DATA
 
 LONG = "Many words of the article stand here and go on for a while. " * 4
 TEXT = LONG.strip()
@@ -75,3 +80,45 @@ def test_the_tree_asks_for_own_and_neighbours_link_density():  # noqa: ANN201
         return set() if isinstance(node, bool) else {node[0]} | asked(node[2]) | asked(node[3])
 
     assert 1 in asked(html_text.tree()) and {3, 5} & asked(html_text.tree())
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a '\" ", "<script ", "<!", "<!x \"", "</a ", "<b\"'>", "<a x=\"'>", "<p a='>", "</script ", "<textarea", "<?"])
+@pytest.mark.parametrize("end", ["", ">", "\">"])
+def test_time_grows_as_the_page(piece, end):  # noqa: ANN001, ANN201
+    def took(n: int) -> float:
+        began = time.perf_counter()
+        html_text.main_text("<p>text of the page</p>" + piece * n + end)
+        return time.perf_counter() - began
+
+    assert took(2_500_000 // len(piece)) < 15
+
+
+def test_pages_that_break_off():  # noqa: ANN201
+    for rest in ("<!-- to the end", "<!-- to the end <b>x</b>", "<script>var x = 1; <p>no</p>", "<style>p {}"):
+        assert html_text.main_text(f"<article><p>{LONG}</p>{rest}</article>") == TEXT
+    assert html_text.main_text(f"<article><p>{LONG} 1 < 2 and <b") == f"{TEXT} 1 < 2 and <b"
+    assert html_text.main_text(f"<article><p title=\"a>b\">{LONG}</p><p title='>{LONG}</p></article>").startswith(TEXT)
+
+
+def test_links_around_blocks_stay_links():  # noqa: ANN201
+    cards = "".join(f"<a href=/{i}><h3>Another story number {i}</h3><div>What it tells in a few words</div></a>" for i in range(4))
+    assert html_text.main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p></div>{cards}</body>") == f"{TEXT}\n\n{TEXT}"
+    found = html_text.blocks(f"<div><p><a href=x>not closed</p><p>{LONG}</p><a id=here>named only<p>{LONG}</p></div>")
+    assert [b[2] for b in found] == [1.0, 0.0, 0.0, 0.0]
+
+
+def test_two_short_paragraphs():  # noqa: ANN201
+    page = "<div><h1>Title here</h1><p>First short paragraph of the story.</p><p>Second short paragraph of it.</p></div>"
+    assert html_text.main_text(page) == "Title here\n\nFirst short paragraph of the story.\n\nSecond short paragraph of it."
+
+
+def test_the_measures_find_the_text_without_names_of_containers(spark):  # noqa: ANN001, ANN201
+    """Without any class, id or role, and with div in place of telling tags, words and link density must do."""
+    names = re.compile(r"""\s(?:class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""")
+    telling = re.compile(r"(</?)(nav|footer|aside|form|header|article|main|menu|dialog)\b")
+    for bare in (lambda x: names.sub("", x), lambda x: telling.sub(r"\1div", names.sub("", x))):
+        same = found = wanted = 0
+        for (page,) in spark.read.parquet(f"{DATA}/pages.parquet").select("html").collect():
+            a, b = (Counter(html_text.main_text(x).split()) for x in (bare(page or ""), page))
+            same, found, wanted = same + (a & b).total(), found + a.total(), wanted + b.total()
+        assert same >= 0.93 * found and same >= 0.98 * wanted
