@@ -23,8 +23,6 @@ RATE_PERCENT = 8
 #: Bytes of items whose automaton is broadcast at once; a larger benchmark takes several passes over the documents.
 BLOCK_BYTES = 4_000_000
 Q = 4
-#: Shorter items, in bytes of normalised text, say too little to be recognised: "yes" would be found everywhere.
-LEAST_BYTES = 24
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -124,11 +122,12 @@ def _searcher(rows: Broadcast, rate_percent: int, least: int) -> Callable[[], It
     return items
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate_percent: int = RATE_PERCENT, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate_percent: int = RATE_PERCENT, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 0) -> DataFrame:
     """(doc_id, item_id, distance, budget, match_end) for each document and item found in it within the budget.
 
     A match needs the item's outer spaces, so it begins and ends at words but for edits. Null, empty and
-    punctuation-only texts and items match nothing, nor do items of under ``least`` bytes; an empty table on either side
+    punctuation-only texts and items match nothing, nor do items of under ``least`` bytes of normalised text,
+    if a caller asks for that: an item of under 13 bytes has no budget, so it matches as whole words only. An empty table on either side
     gives no rows. Repeated rows each give their own. ``match_end`` is a byte offset in the normalised text. Other columns
     are ignored. A benchmark of several blocks takes a pass over the documents for each.
     """
@@ -146,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate_percent: int = RATE
     return reduce(DataFrame.unionAll, found)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate_percent: int = RATE_PERCENT, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate_percent: int = RATE_PERCENT, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 0) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns. Each row is judged by its own text, whatever
     its id, on its way through: nothing is joined or shuffled."""
     for rows in _blocks(benchmark, item_id, item_text):

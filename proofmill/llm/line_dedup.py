@@ -31,10 +31,15 @@ def line_key(line: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, text) to (doc_id, pos, h1, h2) for each line whose key has ``min_chars`` code points or more."""
-    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    keys = lines.where(F.length("line") >= min_chars).select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return keys.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
+    """(doc_id, text) to (doc_id, of, pos, h1, h2) for each line whose key has ``min_chars`` code points or more; ``of`` tells
+    the texts of one id apart."""
+    lines = docs.where("doc_id is not null").select("doc_id", _text_key().alias("of"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    keys = lines.where(F.length("line") >= min_chars).select("doc_id", "of", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    return keys.select("doc_id", "of", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
+
+
+def _text_key() -> Column:
+    return F.xxhash64("text")
 
 
 class LineRuns:
@@ -102,9 +107,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     """The rows of ``docs`` with ``n_lines``, ``n_dropped`` and the text without lines that other documents keep.
 
     A key of ``min_chars`` code points found in ``min_docs`` documents loses all its lines but those of the largest
-    id that holds it. A null text becomes an empty one, a single empty line. Rows that repeat an id are one document.
-    Rows without an id are not counted and stay whole. Batches are cut by id, ``BATCH_LINES`` lines each or so. Columns ``n_lines`` and ``n_dropped`` of ``docs`` are replaced;
-    all others are kept. An empty table gives no rows.
+    id that holds it. A null text becomes an empty one, a single empty line. Rows that repeat an id are one document
+    where it is counted in how many a key stands, but each loses lines of its own text only.
+    Rows without an id are not counted and stay whole. Batches are cut by id, ``BATCH_LINES`` lines each or so. Columns
+    ``n_lines`` and ``n_dropped`` of ``docs`` are replaced; all others are kept. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(f"`{text_col}`", F.lit("")).alias("text"))
@@ -118,16 +124,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
             part = lines if high is None else lines.where(F.col("doc_id") <= high)
             runs.add(part if low is None else part.where(F.col("doc_id") > low))
         common = stage(runs.counts().where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner"), "common")
-        drops = lines.join(common, ["h1", "h2"]).where("doc_id <> owner").select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("drop"))
+        drops = lines.join(common, ["h1", "h2"]).where("doc_id <> owner").select("doc_id", "of", "pos").distinct().groupBy("doc_id", "of").agg(F.sort_array(F.collect_list("pos")).alias("drop"))
         drops = stage(drops, "drops", keep=True)
     # Whole texts meet the places to drop by a merge at every size: skewed ids can be split then.
-    return _cut(rows.join(drops.hint("merge"), "doc_id", "left"), names, text_col)
+    return _cut(rows.withColumn("of", _text_key()).join(drops.hint("merge"), ["doc_id", "of"], "left"), names, text_col)
 
 
 def _cut(rows: DataFrame, names: list[str], text_col: str) -> DataFrame:
-    """Lines at the positions ``drop`` go: what is kept are the slices between them. Rows that repeat an id have the
-    positions of all of them, so a position past a row's end is left out."""
-    with_lines = rows.select("row", "text", F.split("text", "\n").alias("l"), F.col("drop").alias("d0")).withColumn("d", F.expr("filter(d0, x -> x < size(l))"))
+    """Lines at the positions ``drop`` go: what is kept are the slices between them."""
+    with_lines = rows.select("row", "text", F.split("text", "\n").alias("l"), F.col("drop").alias("d"))
     kept = "flatten(transform(sequence(0, size(d)), k -> slice(l, coalesce(get(d, k - 1), -1) + 2, coalesce(get(d, k), size(l)) - coalesce(get(d, k - 1), -1) - 1)))"
     return with_lines.select(
         *[(F.expr(f"if(d is null, text, array_join({kept}, '\n'))") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in names],

@@ -289,25 +289,47 @@ def passage_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram: int = GRAM_W
         return stage(map_batches(per_doc, one, "doc_id long, start long, end long, words long, component_id long, kept boolean"), "runs", keep=True)
 
 
+def _passages(rows: DataFrame) -> DataFrame:
+    """The passages of (doc_id, text), with ``of`` where an id has several texts: the hash of the one that is meant."""
+    keys = rows.select("doc_id", F.xxhash64("text").alias("of"))
+    several = keys.groupBy("doc_id").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi")
+    numbered = None
+    if not several.isEmpty():  # number the texts in order of their ids: each is a document of its own
+        numbered = stage(keys.distinct().repartitionByRange("doc_id", "of").sortWithinPartitions("doc_id", "of").withColumn("uid", F.monotonically_increasing_id()), "texts")
+        rows = rows.withColumn("of", F.xxhash64("text")).join(numbered, ["doc_id", "of"]).select(F.col("uid").alias("doc_id"), "text")
+    one, two = paragraph_clusters(rows), passage_runs(rows)
+    found = one.withColumn("kind", F.lit("paragraph")).unionByName(two.withColumn("kind", F.lit("run"))).select("doc_id", "kind", "start", "end", "words", "component_id", "kept")
+    if numbered is None:
+        return found.withColumn("of", F.lit(None).cast("long"))
+    own = found.withColumnRenamed("doc_id", "uid").join(numbered, "uid").drop("uid").withColumnRenamed("component_id", "uid")
+    return own.join(numbered.select("uid", F.col("doc_id").alias("component_id")), "uid").select(*found.columns, "of")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kind, start, end, words, component_id, kept), a row per passage that two documents or more have.
 
     kind: paragraph or run. Places are code points of the text, end exclusive. component_id is the smallest document of
-    the cluster; its passages are kept, all others can go. Words of a run that
-    earlier documents hold go, and the rest of it is a row of its own that is kept. Repeats within one document only are not reported. Null and
-    empty texts and rows without an id have none; rows that repeat an id are one document. Other columns are ignored.
+    the cluster; its passages are kept, all others can go. Words of a run that earlier documents hold go, and the rest of
+    it is a row of its own that is kept. Repeats within one document only are not reported. Null and empty texts and rows
+    without an id have none. Rows that repeat an id and its text are one document, those with another text one of its own.
+    Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    one, two = paragraph_clusters(rows), passage_runs(rows)
-    return one.withColumn("kind", F.lit("paragraph")).unionByName(two.withColumn("kind", F.lit("run"))).select("doc_id", "kind", "start", "end", "words", "component_id", "kept")
+    return _passages(_texts(docs, id_col, text_col)).drop("of")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = LINE_WORDS) -> DataFrame:
     """The rows of ``docs`` without the passages that their clusters' smallest documents keep; all columns stay.
-    Fewer than ``LINE_WORDS`` words of a line that a run begins or ends with stay with the rest of their line."""
-    gone = repeated_passages(docs, id_col, text_col).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cut"))
-    # A run may take the first or last words of a line by chance; fewer than LINE_WORDS don't leave their line.
-    few = f"regexp_count({{0}}, '[^\\\\s]+') < {LINE_WORDS} and length({{0}}) < x.end - x.start"
+
+    Fewer than ``line_words`` words of a line that a run begins or ends with stay with the rest of their line; with 0 all go.
+    Null and empty texts and rows without an id stay as they are; each row loses passages of its own text only.
+    """
+    gone = _passages(_texts(docs, id_col, text_col)).where("not kept").groupBy(F.col("doc_id").alias("_id"), "of").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cut"))
+    # A run may take the first or last words of a line by chance; fewer than line_words don't leave their line.
+    few = f"regexp_count({{0}}, '[^\\\\s]+') < {line_words} and length({{0}}) < x.end - x.start"
     head, tail = (f"substring_index(substring(_t, cast(x.start as int) + 1, cast(x.end - x.start as int)), '\\n', {i})" for i in (1, -1))
     start = f"if(x.start > 0 and substring(_t, cast(x.start as int), 1) <> '\\n' and {few.format(head)}, x.start + length({head}), x.start)"
     end = f"if(substring(_t, cast(x.end as int) + 1, 1) not in ('', '\\n') and {few.format(tail)}, x.end - length({tail}), x.end)"
@@ -315,6 +337,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     step = "named_struct('at', greatest(a.at, cast(x.end as int)), 'out', if(x.start > a.at, concat(a.out, substring(_t, a.at + 1, cast(x.start as int) - a.at)), a.out))"
     rest = f"aggregate({cuts}, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(_t, a.at + 1)))"
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
-    joined = rows.join(gone, F.col("_doc") == F.col("_id"), "left")
+    joined = rows.join(gone, (F.col("_doc") == F.col("_id")) & (F.coalesce("of", F.xxhash64("_t")) == F.xxhash64("_t")), "left")
     text = F.when(F.col("_cut").isNull(), F.col(f"_row.`{text_col}`")).otherwise(F.expr(rest))
     return joined.select(*[(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
