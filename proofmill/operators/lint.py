@@ -148,7 +148,7 @@ def trailing_blanks(text: Column, line: Column) -> Column:
 
 def repeated_words(text: Column, line: Column) -> Column:
     """A word and white space and the same again. No boundary is asked for after it: 'a apple' counts."""
-    pattern = "(?:^|(?U:\\s))([\\p{L}0-9]+)(?:(?U:\\s+)\\1)+"
+    pattern = "(?:^|(?U:\\s))([\\p{L}0-9]++)(?:(?U:\\s+)\\1)+"
 
     def issue(m: Column) -> Column:
         word, value = F.regexp_extract(m["value"], pattern, 1), F.regexp_replace(m["value"], "^(?U:\\s)", "")
@@ -166,9 +166,10 @@ def banned_words(text: Column, line: Column, words: list[str] = BANNED_WORDS) ->
 def long_sentences(text: Column, line: Column, most: int = MAX_SENTENCE) -> Column:
     """Sentences over the limit; and lines over it that end without a mark, once more."""
     issue = lambda column, value: _issue("NORM-006", "medium", line, column, value, "long", most=F.lit(most), n=F.length(value))
-    each = F.filter(matches(text, "[^。！？!?\n]+[。！？!?]?"), lambda m: F.length(strip(m["value"])) > most)
+    # Only a run of so many characters can be one, and it is tried from its own start on alone.
+    each = F.filter(matches(text, f"(?<![^。！？!?\\n])[^。！？!?\\n]{{{max(most, 1)},}}+[。！？!?]?"), lambda m: F.length(strip(m["value"])) > most)
     whole = strip(text)
-    open_end = _some((F.length(whole) > most) & ~whole.rlike("[。！？!?]$"), issue(1, whole))
+    open_end = _some(~text.rlike("[。！？!?](?U:\\s)*\\z") & (F.length(whole) > most), issue(1, whole))
     none = F.array().cast(f"array<{_KIND}>")
     return F.when(F.length(text) > most, F.concat(F.transform(each, lambda m: issue(m["start"] + 1, strip(m["value"]))), open_end)).otherwise(none)
 
@@ -186,8 +187,8 @@ LINE_RULES: dict[str, Callable[..., Column]] = {
 }
 
 
-def issues(docs: DataFrame, rules: dict[str, dict] | None = None) -> DataFrame:
-    """The issues of the rules named, with what their functions take besides; all rules if none are named."""
+def found_in(text: Column, rules: dict[str, dict] | None = None) -> Column:
+    """Array of the issues of a text by the rules named, with what their functions take besides; all rules if none are named."""
     chosen = {name: {} for name in (*TEXT_RULES, *LINE_RULES)} if rules is None else rules
     of_line = [(LINE_RULES[n], more) for n, more in chosen.items() if n in LINE_RULES]
 
@@ -197,8 +198,13 @@ def issues(docs: DataFrame, rules: dict[str, dict] | None = None) -> DataFrame:
             parts.append(F.flatten(F.transform(rows, lambda t, i: F.concat(*[f(t, i + 1, **more) for f, more in of_line]))))
         return F.concat(*parts)
 
+    return let(F.split(text, "\r?\n"), found)
+
+
+def issues(docs: DataFrame, rules: dict[str, dict] | None = None) -> DataFrame:
+    """The issues of ``found_in``, a row each."""
     # explode_outer, since Spark infers a filter on the size from explode and computes all of it a second time for that.
-    each = docs.select("doc_id", F.explode_outer(let(F.split("text", "\r?\n"), found)).alias("x")).where("x is not null").select("doc_id", "x.*")
+    each = docs.select("doc_id", F.explode_outer(found_in(F.col("text"), rules)).alias("x")).where("x is not null").select("doc_id", "x.*")
     names = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
     return each.withColumn("category", names[F.col("rule_id")]).select(*ISSUE)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proofmill.functions.scores import grade
 from proofmill.functions.text import fill, strip
+from proofmill.operators import lint
 
 #: Dimensions, weights, points and templates (fixed values).
 DIMENSIONS = ["research_topic", "research_method", "research_content", "research_conclusion", "application_value"]
@@ -47,14 +48,14 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "template_id string, required_sections array<string>, minimum_reference_count int")
 
 
-def checklist(runs: DataFrame, issues: DataFrame | None = None, rubrics: DataFrame | None = None) -> DataFrame:
+def checklist(runs: DataFrame, issues: DataFrame | dict[str, dict] | None = None, rubrics: DataFrame | None = None) -> DataFrame:
     """Runs (doc_id, template_id, text) with missing_sections, reference_count, the five scores, total, label, and
     score_items: (key, label, points, score, findings) of each score.
 
     A section is there if a line is its name or begins with its name and a full-width colon. References are numbered
     lines after the first reference heading. A method section is only asked for where the template asks for one. An
-    unknown template gives no row. Of the issues the first five messages are listed. Everything else is one projection
-    over the text.
+    unknown template gives no row. Of the issues the first five messages are listed; they are joined by doc_id, or where
+    they are named by rules found in the same row. Everything else is one projection over the text.
     """
     kinds = templates(runs.sparkSession) if rubrics is None else rubrics
     lines = F.transform(F.split("text", "\r?\n"), strip)
@@ -64,7 +65,11 @@ def checklist(runs: DataFrame, issues: DataFrame | None = None, rubrics: DataFra
     after = F.when(head > 0, F.slice("_l", head + 1, F.greatest(F.size("_l"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumns({"missing_sections": missing, "reference_count": F.size(F.filter(after, lambda x: x.rlike("^\\[\\d+\\]")))})
     n_issues, messages = F.lit(0), F.array().cast("array<string>")
-    if issues is not None:
+    if isinstance(issues, dict):
+        places = F.transform(lint.found_in(F.col("text"), issues), lambda x: F.struct(x["line"].alias("line"), x["column"].alias("column"), x["rule_id"].alias("rule_id"), x["message"].alias("message")))
+        rows = rows.withColumn("_p", F.coalesce(places, F.array().cast("array<struct<line:bigint,column:bigint,rule_id:string,message:string>>")))
+        n_issues, messages = F.size("_p"), F.transform(F.slice(F.array_sort("_p"), 1, MOST_MESSAGES), lambda x: x["message"])
+    elif issues is not None:
         first = F.slice(F.array_sort(F.collect_list(F.struct("line", "column", "rule_id", "message"))), 1, MOST_MESSAGES)
         rows = rows.join(issues.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_i"), F.transform(first, lambda x: x["message"]).alias("_m")), "doc_id", "left")
         n_issues, messages = F.coalesce("_i", F.lit(0)), F.coalesce("_m", messages)

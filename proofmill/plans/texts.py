@@ -216,10 +216,37 @@ def checklist_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The checklist with a template whose sections these texts have, and their long sentences as issues."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("own").alias("template_id"), "text")
     kinds = spark.createDataFrame([("own", _LICENCES, 0)], "template_id string, required_sections array<string>, minimum_reference_count int")
-    rows = rubric.checklist(docs, lint.issues(docs, {"long_sentences": {}}), kinds)
+    rows = rubric.checklist(docs, {"long_sentences": {}}, kinds)
     return rows.select("doc_id", F.size("missing_sections").alias("missing"), "reference_count", "section_completeness", "methodology_section", "normative_detection_result", "total_score", "result_label")
 
 
+_KINDS = list(rubric.TEMPLATES)
+_REQUIRED = ", ".join("[" + ", ".join(f"'{s}'" for s in rubric.TEMPLATES[k][0]) + "]" for k in _KINDS)
+#: What the checklist must find in texts whose sections and references are known: (doc_id >> i) & 1 says if section i is there.
+_BY_TEMPLATE = rf"""with {_LINES}, g as (select doc_id, sum(len(list_filter(regexp_extract_all(t, '[^。！？!?]+[。！？!?]?'), lambda x: length(trim(x)) > 120)) + (length(trim(t)) > 120 and not regexp_matches(trim(t), '[。！？!?]$'))::int) as n from l group by 1),
+k as (select doc_id, n, [{", ".join(f"'{k}'" for k in _KINDS)}][doc_id % 5 + 1] as template_id, [{_REQUIRED}][doc_id % 5 + 1] as secs, [{", ".join(str(rubric.TEMPLATES[k][1]) for k in _KINDS)}][doc_id % 5 + 1] as least from g),
+m as (select *, [secs[i] for i in range(1, len(secs) + 1) if not (doc_id % 3 = 0 or (doc_id >> (i - 1)) & 1 = 1)] as missing from k),
+r as (select *, case when list_contains(missing, '参考文献') then 0 else doc_id * 7 % 120 end as refs from m),
+p as (select *, case when len(missing) = 0 then 30 else 0 end as a, case when refs >= least then 20 else 0 end as b, case when list_contains(missing, '研究方法') then 0 else 20 end as c, case when list_contains(missing, '结论') then 0 else 20 end as d, case when n = 0 then 10 else 0 end as e from r)
+select doc_id, template_id, array_to_string(missing, ',') as missing, refs::int as reference_count, a as section_completeness, b as reference_count_and_numbering, c as methodology_section, d as conclusion_section, e as normative_detection_result, a + b + c + d + e as total_score,
+  case when a + b + c + d + e >= 80 and len(missing) = 0 then '基础检查通过' else '需修改' end as result_label, '参考文献条目：' || refs::bigint || '/' || least as reference_finding, least(n, 5)::int as n_messages from p"""
+
+
+@query(_BY_TEMPLATE)
+def checklist_by_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five templates over texts that some of their sections and up to 119 references are added to."""
+    of = F.expr("cast(doc_id % 5 as int) + 1")
+    docs = table(spark, sf_dir, "documents").withColumn("template_id", F.element_at(F.array(*map(F.lit, _KINDS)), of))
+    docs = docs.withColumn("s", F.element_at(F.array(*[F.array(*map(F.lit, rubric.TEMPLATES[k][0])) for k in _KINDS]), of))
+    there = "doc_id % 3 = 0 or (shiftright(doc_id, i) & 1) = 1"
+    name = "if(i % 2 = 1 and doc_id % 2 = 1 and i < size(s) - 1, concat(x, '：', doc_id), x)"
+    entries = "transform(if(doc_id * 7 % 120 > 0, sequence(1L, doc_id * 7 % 120), array()), k -> concat('[', k, '] entry'))"
+    text = F.expr(f"array_join(concat(array(text, '[1] before the heading'), filter(transform(s, (x, i) -> if({there}, {name}, null)), x -> x is not null), {entries}), '\n')")
+    rows = rubric.checklist(docs.select("doc_id", "template_id", text.alias("text")), {"long_sentences": {}})
+    finding = lambda i: F.get("score_items", F.lit(i))["findings"]
+    return rows.select("doc_id", "template_id", F.array_join("missing_sections", ",").alias("missing"), "reference_count", *rubric.POINTS, "total_score", "result_label", F.get(finding(1), F.lit(0)).alias("reference_finding"), F.size(finding(4)).alias("n_messages"))
+
+
 def _layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lint.lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", (F.expr("(line - 1) div 40") + 1).alias("page_number"), "line", "text").selectExpr("doc_id", "page_number", "line reading_order", "0.0d x1", "cast((line - 1) % 40 * 20 as double) y1", "cast((line - 1) % 40 * 20 + 15 as double) y2", "800.0d height", "text")
