@@ -14,9 +14,17 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "(?U)\\s+", " "), "[\\p{P}\\p{S}]", ""))
 
 
+#: The characters that Unicode calls white space (fixed values).
+WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
     """Without any Unicode white space at the ends."""
-    return F.regexp_replace(text, "^(?U:\\s+)|(?U:\\s+)$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+def strip_left(text: Column) -> Column:
+    return F.ltrim(text, F.lit(WHITE_SPACE))
 
 
 def compact(text: Column) -> Column:
@@ -65,15 +73,17 @@ def scan(items: Column, start: Column, step: Callable[[Column, Column], Column],
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, value) of all matches of a pattern, without a UDF: the lengths of what split() leaves and of the matches add up."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
-
     def step(acc: Column, x: Column) -> Column:
         start = acc["s"] + F.length(x["gap"])
         return F.struct((start + F.length(x["value"])).alias("s"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["value"].alias("value")))).alias("out"))
 
+    def placed(found: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(F.split(text, pattern), 1, F.size(found)).alias("gap"), found.alias("value"))
+        return F.when(F.size(found) == 0, none).otherwise(scan(pairs, F.lit(0), step, "struct<start:int,value:string>"))
+
+    # A text is gone through once, and once more only if there are matches to place.
     none = F.array().cast("array<struct<start:int,value:string>>")
-    return F.when(text.rlike(pattern), scan(pairs, F.lit(0), step, "struct<start:int,value:string>")).otherwise(none)
+    return let(F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>")), placed)
 
 
 def phrase_hits(text: Column, phrases: list[str]) -> Column:

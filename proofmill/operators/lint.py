@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.functions.text import fill, let, matches, scan, strip
+from proofmill.functions.text import fill, let, matches, scan, strip, strip_left
 
 #: Rules, sections, words and pairs (fixed values).
 SECTIONS = ["摘要", "关键词", "引言", "结论", "参考文献"]
@@ -62,7 +62,7 @@ def _some(ok: Column, issue: Column) -> Column:
 
 def _lead(text: Column) -> Column:
     """How much white space a line begins with."""
-    return F.length(text) - F.length(F.regexp_replace(text, "^(?U:\\s+)", ""))
+    return F.length(text) - F.length(strip_left(text))
 
 
 def section_order(rows: Column, sections: list[str] = SECTIONS) -> Column:

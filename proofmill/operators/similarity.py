@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.functions.text import let, normalized, phrase_hits, scan, sentences, strip
+from proofmill.functions.text import let, normalized, phrase_hits, scan, sentences, strip, strip_left
 from proofmill.operators.gram_index import GramIndex, Rarity, gram_set, hashes, jaccard_of, rounded
 from proofmill.sources.session import checkpointed
 
@@ -50,7 +50,7 @@ def _lines(text: Column) -> Column:
 
     def step(acc: Column, raw: Column) -> Column:
         at = acc["s"]["at"]
-        lead = F.regexp_replace(raw, "^(?U:\\s+)", "")
+        lead = strip_left(raw)
         body = strip(raw)
         start = at + F.length(raw) - F.length(lead)
         line = F.struct(acc["s"]["ord"].alias("ord"), body.alias("text"), start.alias("start"), (start + F.length(body)).alias("end"))
