@@ -81,6 +81,10 @@ def section_order(rows: Column, sections: list[str] = SECTIONS) -> Column:
     return let(F.transform(rows, strip), of)
 
 
+#: Marks of a block that is folded over the stack.
+BLOCK = 256
+
+
 def unmatched_pairs(rows: Column) -> Column:
     """A stack over the brackets of a whole text. A closer that doesn't fit is reported and pops nothing; straight quotes
     open only, so each is reported and blocks what is around it. Marks carry their line and column through the fold."""
@@ -91,17 +95,33 @@ def unmatched_pairs(rows: Column) -> Column:
     place = lambda i: lambda m: F.struct((i + 1).alias("line"), (m["start"] + 1).alias("col"), m["value"].alias("value"))
     found = F.flatten(F.transform(rows, lambda t, i: F.transform(matches(t, pattern), place(i))))
     none = F.array().cast("array<struct<line:int,col:int,value:string>>")
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / BLOCK).cast("int") - 1, F.lit(0))), lambda k: F.slice(xs, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def in_block(stack: Column, marks: Column) -> Column:
+        """What a block of marks does to the stack: how much of it is left, what is put on it, and the closers that don't fit."""
+
+        def fold(acc: Column, x: Column) -> Column:
+            own = F.size(acc["own"]) > 0
+            top = F.when(own, F.try_element_at(acc["own"], F.lit(-1))["value"]).otherwise(F.get(stack, acc["left"] - 1)["value"])
+            is_open = opens.contains(x["value"])
+            fits = ~is_open & F.coalesce(wants[top] == x["value"], F.lit(False))
+            return F.struct(
+                F.when(fits & ~own, acc["left"] - 1).otherwise(acc["left"]).alias("left"),
+                F.when(is_open, F.concat(acc["own"], F.array(x))).when(fits & own, F.slice(acc["own"], 1, F.greatest(F.size(acc["own"]) - 1, F.lit(0)))).otherwise(acc["own"]).alias("own"),
+                F.when(is_open | fits, acc["extra"]).otherwise(F.concat(acc["extra"], F.array(x))).alias("extra"),
+            )
+
+        return F.aggregate(marks, F.struct(F.size(stack).alias("left"), none.alias("own"), none.alias("extra")), fold)
 
-    def fold(acc: Column, x: Column) -> Column:
-        top = F.try_element_at(acc["stack"], F.lit(-1))
-        is_open = opens.contains(x["value"])
-        fits = ~is_open & F.coalesce(wants[top["value"]] == x["value"], F.lit(False))
-        stack = F.when(is_open, F.concat(acc["stack"], F.array(x))).when(fits, F.slice(acc["stack"], 1, F.greatest(F.size(acc["stack"]) - 1, F.lit(0)))).otherwise(acc["stack"])
-        return F.struct(stack.alias("stack"), F.when(is_open | fits, acc["extra"]).otherwise(F.concat(acc["extra"], F.array(x))).alias("extra"))
+    def over(acc: Column, marks: Column) -> Column:
+        stack = lambda r: F.concat(F.slice(acc["stack"], F.lit(1), r["left"]), r["own"])
+        return let(in_block(acc["stack"], marks), lambda r: F.struct(stack(r).alias("stack"), F.concat(acc["extra"], r["extra"]).alias("extra")))
 
     extra = lambda x: _issue("NORM-002", "high", x["line"], x["col"], x["value"], "closer", mark=x["value"])
     left = lambda x: _issue("NORM-002", "high", x["line"], x["col"], x["value"], "opener", mark=x["value"])
-    return F.aggregate(found, F.struct(none.alias("stack"), none.alias("extra")), fold, lambda r: F.concat(F.transform(r["extra"], extra), F.transform(r["stack"], left)))
+    # A fold copies its state at every step: inside a block that is what the block has added, over blocks once for each.
+    start = F.struct(none.alias("stack"), none.alias("extra"))
+    return F.aggregate(let(found, cut), start, over, lambda r: F.concat(F.transform(r["extra"], extra), F.transform(r["stack"], left)))
 
 
 def repeated_punctuation(text: Column, line: Column) -> Column:

@@ -138,3 +138,18 @@ def test_a_corpus_is_scanned_once(spark):  # noqa: ANN001, ANN201
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = lint.analyze(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+def test_the_stack_grows_as_the_marks(spark):  # noqa: ANN001, ANN201
+    import time
+
+    def took(text: str) -> tuple[float, int]:
+        docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+        began = time.perf_counter()
+        return time.perf_counter() - began if (n := lint.issues(docs, {"unmatched_pairs": {}}).count()) < 0 else time.perf_counter() - began, n
+
+    deep = "(" * 1000 + "[" * 700 + "]" * 700 + ")" * 999  # over many blocks, in and out again
+    assert took(deep)[1] == 1 and took('"' * 500)[1] == 500 and took(")" * 500)[1] == 500 and took("(" * 130 + "]" + ")" * 130)[1] == 1
+    took('"' * 4000)
+    small, large = took('"' * 4000), took('"' * 40_000)
+    assert large[1] == 40_000 and large[0] < 12 * max(small[0], 0.5)
