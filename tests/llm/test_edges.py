@@ -124,15 +124,16 @@ def test_many_spans_in_one_text(spark):  # noqa: ANN001, ANN201
 # Decontamination
 
 
-def test_short_items_are_left_out_and_rows_are_judged_by_their_text(spark):  # noqa: ANN001, ANN201
+def test_short_items_can_be_left_out_and_rows_are_judged_by_their_text(spark):  # noqa: ANN001, ANN201
     item = "the exact wording of a question that a benchmark asks"
     bench = spark.createDataFrame([(1, item), (2, "yes"), (3, None), (4, "...")], "item_id long, text string")
     rows = [(None, f"it said {item} here"), (1, f"and {item}"), (1, "yes it is clean"), (None, None), (2, "")]
     frame = spark.createDataFrame([(*r, [1], {"a": 2.0}) for r in rows], "doc_id long, text string, _hit array<int>, item_id map<string,double>")
-    assert sorted((r.doc_id or 0, r.item_id) for r in decontam.contaminated(frame, bench).collect()) == [(0, 1), (1, 1)]
-    kept = decontam.clean(frame, bench)
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontam.contaminated(frame, bench, least=24).collect()) == [(0, 1), (1, 1)]
+    kept = decontam.clean(frame, bench, least=24)
     assert kept.schema == frame.schema and [(r.doc_id, r.text) for r in kept.collect()] == [(1, "yes it is clean"), (None, None), (2, "")]
-    assert {r.item_id for r in decontam.contaminated(frame, bench, least=0).collect()} == {1, 2}
+    assert {r.item_id for r in decontam.contaminated(frame, bench).collect()} == {1, 2}
+    assert [(r.doc_id, r.text) for r in decontam.clean(frame, bench).collect()] == [(None, None), (2, "")]
 
 
 def test_a_benchmark_of_several_blocks(spark, monkeypatch):  # noqa: ANN001, ANN201
