@@ -45,5 +45,5 @@ def choose(findings: DataFrame, severity: str | None = None, rule: str | None =
 
 
 def page_of(rows: DataFrame, order: list[Column], page: int, size: int = 8) -> DataFrame:
-    """One page of an ordered list."""
+    """One page of an ordered list, sorted anew; ``paging.Pages`` keeps a list for many pages."""
     return rows.orderBy(*order).offset((page - 1) * size).limit(size)

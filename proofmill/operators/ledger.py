@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.functions.scores import date_of, percent_label
+from proofmill.operators.postings import matches
 
 LABELS = {"normative": "规范性检测", "duplication": "校内库查重", "ai_review": "AI智能评阅"}
 CSV_HEADER = ["记录ID", "学院", "学号", "姓名", "导师", "学生类别", "论文题目", "检测类型", "检测模板", "核心结果", "详情链接", "检测时间"]
@@ -122,7 +123,7 @@ def apply_filters(rows: DataFrame, filters: Mapping[str, object] | None, created
     if "to" in f:
         rows = rows.where(day <= date_of(F.lit(f["to"])))
     if "student" in f:
-        rows = rows.where(reduce(lambda a, b: a | b, [F.coalesce(F.col(c).cast("string").ilike(f"%{f['student']}%"), F.lit(False)) for c in keyword_columns]))
+        rows = rows.where(matches(list(keyword_columns), str(f["student"])))
     if f.get("latest_only"):
         rows = rows.where("latest_rank = 1")
     return rows

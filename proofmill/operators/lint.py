@@ -243,7 +243,8 @@ def analyze(docs: DataFrame, overrides: dict[str, dict] | None = None) -> DataFr
 
 
 def ordered(issues: DataFrame) -> DataFrame:
-    return issues.orderBy("doc_id", "line", "column", "rule_id", "message")
+    """By place, then rule and message in the order of Unicode's collation."""
+    return issues.orderBy("doc_id", "line", "column", *[F.collate(c, "UNICODE") for c in ("rule_id", "message")])
 
 
 def severity_counts(issues: DataFrame) -> DataFrame:

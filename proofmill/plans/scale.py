@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.operators import ranged, rollup
-from proofmill.plans import inputs
+from proofmill.operators import ledger, paging, postings, ranged, rollup
+from proofmill.plans import inputs, records
 from proofmill.plans.inputs import sql, table
-from proofmill.sources.session import checkpointed
+from proofmill.sources.session import checkpointed, new_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -68,3 +70,33 @@ def ledger_rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [("all", stored, None), ("type", stored, "detection_type"), ("day", stored, "day"), ("month", months, "day")]
     out = [rollup.counts(s, [by] if by else []).select(F.lit(kind).alias("kind"), (F.col(by).cast("string") if by else F.lit("")).alias("name"), "record_count", "subject_count") for kind, s, by in parts]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+#: Keywords of all kinds: a rare one, wild cards, some that are shorter than a trigram, other scripts, and one that nothing has.
+_KEYWORDS = ["user1", "F12", "s_s 3%1", "9", "R4", "is%", "é", "论", "no such"]
+_PEOPLE_COLUMNS = ["subject_id", "student_name", "thesis_title", "source_filename"]
+_ANY = " or ".join(f"coalesce({c} ilike '%' || k || '%', false)" for c in _PEOPLE_COLUMNS)
+
+
+@query(sql(records._SOURCES, f", {records._UNITED} select k as keyword, id, latest_rank from people, (values {', '.join(f'({k!r})' for k in _KEYWORDS)}) w(k) where {_ANY}"))
+def ledger_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger indexed once and searched for several keywords."""
+    rows = ledger.with_people(records._united(spark, sf_dir), inputs.users(spark, sf_dir)).select("id", "latest_rank", *_PEOPLE_COLUMNS)
+    index = postings.Index.build(rows, _PEOPLE_COLUMNS, ["subject_id", "id"], new_folder(spark, "postings"))
+    return reduce(DataFrame.unionAll, [index.search(k).select(F.lit(k).alias("keyword"), "id", "latest_rank") for k in _KEYWORDS])
+
+
+_BY_PRICE = ["l_extendedprice desc", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+
+
+@query(
+    f"with l as (select *, row_number() over (order by {', '.join(_BY_PRICE)}) - 1 as i, (count(*) over () + 7) // 8 as last from lineitem) "
+    "select i // 8 + 1 as page, l_orderkey, l_linenumber, l_extendedprice from l where i // 8 + 1 in (1, greatest(last // 2, 1), last)"
+)
+def pages_of_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page, the one in the middle and the last, of eight lines each, the dearest first."""
+    order = [F.desc("l_extendedprice"), *[F.asc(c) for c in _BY_PRICE[1:]]]
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity")
+    pages = paging.Pages.store(rows, order, new_folder(spark, "pages"))
+    wanted = sorted({1, max(pages.last() // 2, 1), max(pages.last(), 1)})
+    return reduce(DataFrame.unionAll, [pages.page(n).select(F.lit(n).cast("long").alias("page"), "l_orderkey", "l_linenumber", "l_extendedprice") for n in wanted])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,9 +79,14 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, error): whole files as UTF-8. Too large a file, a wrong name or malformed bytes give an error and no text;
-    Spark lists no empty files, so these give no row."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    """(path, text, error): whole files as UTF-8, a row each. Too large a file, a wrong name or malformed bytes give an error
+    and no text; an empty file has an empty text."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # Spark lists empty files but reads none: they are the names that it lists and has no row of.
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "name string")
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    empty = listed.join(files.select(bare(F.col("path")).alias("there")), bare(F.col("name")) == F.col("there"), "left_anti")
+    raw = files.select("path", "length", "content").unionAll(empty.select(bare(F.col("name")), F.lit(0).cast("long"), F.lit(b"")))
     error = F.when(~extension(F.col("path")).isin(*TEXT_EXTENSIONS), "unsupported file type").when(F.col("length") > MAX_TEXT_BYTES, "file too large").when(~F.is_valid_utf8("content"), "not UTF-8")
     return raw.select("path", F.when(error.isNull(), F.try_validate_utf8("content").cast("string")).alias("text"), error.alias("error"))
 

@@ -71,10 +71,10 @@ def test_table_counts(table):  # noqa: ANN001, ANN201
 
 
 def test_text_files(spark, tmp_path):  # noqa: ANN001, ANN201
-    for name, data in (("a.txt", "é\nx".encode()), ("b.MD", b"m"), ("c.pdf", b"p"), ("d.txt", b"\xff\xfe"), ("e.txt", b"")):
+    for name, data in (("a.txt", "é\nx".encode()), ("b.MD", b"m"), ("c.pdf", b"p"), ("d.txt", b"\xff\xfe"), ("e.txt", b""), ("f g.pdf", b"")):
         (tmp_path / name).write_bytes(data)
     got = {Path(r.path).name: (r.text, r.error) for r in store.read_texts(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": ("é\nx", None), "b.MD": ("m", None), "c.pdf": (None, "unsupported file type"), "d.txt": (None, "not UTF-8")}
+    assert got == {"a.txt": ("é\nx", None), "b.MD": ("m", None), "c.pdf": (None, "unsupported file type"), "d.txt": (None, "not UTF-8"), "e.txt": ("", None), "f g.pdf": (None, "unsupported file type")}
 
 
 def test_csv_json_and_text_files(spark, tmp_path):  # noqa: ANN001, ANN201
