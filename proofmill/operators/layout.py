@@ -122,11 +122,19 @@ def figure_numbering(lines: Column) -> Column:
     group = lambda t: F.concat_ws(":", name(t), chapter(t).cast("string"))
     entries = _with(lines, lambda t: t.rlike(OBJECT), name=name, number=number, group=group)
 
-    def of(xs: Column) -> Column:
-        groups = F.array_distinct(F.transform(xs, lambda x: x["group"]))
-        return F.flatten(F.transform(groups, lambda g: _in_sequence(F.filter(xs, lambda x: x["group"] == g), "numbering", name=lambda x: x["name"], number=lambda x: x["number"])))
+    # Sorted by group, one fold counts them all; what it finds goes back to the order in which groups begin.
+    keyed = F.array_sort(F.transform(entries, lambda x: F.struct(x["group"].alias("group"), x["n"].alias("n"), x.alias("x"))))
+
+    def step(acc: Column, y: Column) -> Column:
+        x, s = y["x"], acc["s"]
+        same = s["group"].eqNullSafe(y["group"])
+        expected, first = F.when(same, s["expected"]).otherwise(F.lit(1).cast("long")), F.when(same, s["first"]).otherwise(y["n"])
+        state = F.struct(y["group"].alias("group"), first.alias("first"), (F.greatest(expected, x["number"]) + 1).alias("expected"))
+        bad = F.struct(first.alias("first"), y["n"].alias("n"), _finding(x, "numbering", expected=expected, name=x["name"], number=x["number"]).alias("f"))
+        return F.struct(state.alias("s"), F.when(x["number"] == expected, acc["out"]).otherwise(F.concat(acc["out"], F.array(bad))).alias("out"))
 
-    return let(entries, of)
+    start = F.expr("cast(null as struct<group:string,first:int,expected:bigint>)")
+    return F.transform(F.array_sort(scan(keyed, start, step, f"struct<first:int,n:int,f:{_FINDING}>")), lambda y: y["f"])
 
 
 def _section(lines: Column) -> Column:
@@ -180,35 +188,40 @@ def heading_numbering(lines: Column, pattern: str = HEADING) -> Column:
     number = lambda t: F.regexp_extract(t, pattern, 1)
     rows = _with(lines, lambda t: t.rlike(pattern), number=number, parent=lambda t: F.regexp_extract(number(t), "^(.*)\\.\\d+$", 1), current=lambda t: F.regexp_extract(number(t), "(\\d+)$", 1).try_cast("long"))
 
-    def of(xs: Column) -> Column:
-        def below(parent: Column) -> Column:
+    keyed = F.array_sort(F.transform(rows, lambda x: F.struct(x["parent"].alias("parent"), x["n"].alias("n"), x.alias("x"))))
+
+    def of(ys: Column) -> Column:
+        def one(y: Column, i: Column) -> Column:
+            x, parent, last = y["x"], y["parent"], F.get(ys, i - 1)
             under = F.when(parent == "", F.lit("章节")).otherwise(parent)
             name = lambda k: F.concat_ws(".", F.nullif(parent, F.lit("")), k.cast("string"))
+            first, before = ~last["parent"].eqNullSafe(parent), last["x"]["current"]
+            return _some(
+                (first & (x["current"] != 1), _finding(x, "heading_first", under=under, number=x["number"], expected=name(F.lit(1)))),
+                (~first & (x["current"] != before + 1), _finding(x, "heading_next", under=under, number=x["number"], expected=name(before + 1))),
+            )
 
-            def check(own: Column) -> Column:
-                def one(x: Column, i: Column) -> Column:
-                    before = F.get(own, i - 1)["current"]
-                    return _some(
-                        ((i == 0) & (x["current"] != 1), _finding(x, "heading_first", under=under, number=x["number"], expected=name(F.lit(1)))),
-                        ((i > 0) & (x["current"] != before + 1), _finding(x, "heading_next", under=under, number=x["number"], expected=name(before + 1))),
-                    )
-
-                return F.flatten(F.transform(own, one))
-
-            return let(F.filter(xs, lambda x: x["parent"] == parent), check)
-
-        return F.array_sort(F.flatten(F.transform(F.array_distinct(F.transform(xs, lambda x: x["parent"])), below)))
+        return F.array_sort(F.flatten(F.transform(ys, one)))
 
-    return let(rows, of)
+    return let(keyed, of)
 
 
 def toc_consistency(lines: Column, entry: str = TOC_ENTRY) -> Column:
     """Entries of a table of contents whose title is no line of the body."""
-    body = F.array_distinct(F.transform(F.filter(lines, lambda x: ~x["text"].rlike(entry)), lambda x: compact(x["text"])))
     title = lambda t: strip(F.regexp_replace(F.regexp_extract(t, entry, 1), "[.．·…\\s]+$", ""))
-    rows = _with(lines, lambda t: t.rlike(entry), title=title)
-    absent = lambda known: F.filter(rows, lambda x: (x["title"] != "") & ~F.array_contains(known, compact(x["title"])))
-    return F.transform(let(body, absent), lambda x: _finding(x, "toc", title=x["title"]))
+
+    def keyed(x: Column, wanted: Column, name: Column) -> Column:
+        return F.struct(compact(F.when(wanted, name).otherwise(x["text"])).alias("key"), wanted.alias("entry"), x["n"].alias("n"), name.alias("title"), x.alias("x"))
+
+    # Sorted by text, a line of the body stands before the entries that name it.
+    rows = F.transform(lines, lambda x: let(F.struct(x.alias("x"), x["text"].rlike(entry).alias("e"), title(x["text"]).alias("t")), lambda y: keyed(y["x"], y["e"], y["t"])))
+
+    def step(acc: Column, y: Column) -> Column:
+        absent = y["entry"] & (y["title"] != "") & ~acc["s"].eqNullSafe(y["key"])
+        out = F.when(absent, F.concat(acc["out"], F.array(_finding(y["x"], "toc", title=y["title"])))).otherwise(acc["out"])
+        return F.struct(F.when(y["entry"], acc["s"]).otherwise(y["key"]).alias("s"), out.alias("out"))
+
+    return F.array_sort(scan(F.array_sort(rows), F.lit(None).cast("string"), step, _FINDING))
 
 
 def required_sections(lines: Column) -> Column:
@@ -247,14 +260,11 @@ def _cited(lines: Column) -> Column:
 def citation_sequence(lines: Column) -> Column:
     """Numbers cited before the reference heading appear for the first time in the order 1, 2, 3."""
 
-    def step(acc: Column, x: Column) -> Column:
-        expected, seen = acc["s"]["expected"], acc["s"]["seen"]
-        new = ~F.array_contains(seen, x["number"])
-        bad = _finding(x, "citation", expected=expected, number=x["number"])
-        state = F.struct(F.when(new, F.greatest(expected, x["number"]) + 1).otherwise(expected).alias("expected"), F.when(new, F.concat(seen, F.array(x["number"]))).otherwise(seen).alias("seen"))
-        return F.struct(state.alias("s"), F.when(new & (x["number"] != expected), F.concat(acc["out"], F.array(bad))).otherwise(acc["out"]).alias("out"))
-
-    return scan(_cited(lines), F.struct(F.lit(1).cast("long").alias("expected"), F.array().cast("array<bigint>").alias("seen")), step, _FINDING)
+    keyed = F.array_sort(F.transform(_cited(lines), lambda x, i: F.struct(x["number"].alias("number"), i.alias("i"), x.alias("x"))))
+    # A number that is too long for one is none.
+    firsts = let(keyed, lambda ys: F.filter(ys, lambda y, j: y["number"].isNotNull() & ~F.get(ys, j - 1)["number"].eqNullSafe(y["number"])))
+    ordered = F.array_sort(F.transform(firsts, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x"))))
+    return _in_sequence(F.transform(ordered, lambda y: y["x"]), "citation", number=lambda x: x["number"])
 
 
 RULES: dict[str, Callable[[Column], Column]] = {

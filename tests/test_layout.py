@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from proofmill.operators import layout
 
@@ -122,3 +127,77 @@ def test_rule_names():  # noqa: ANN201
     assert layout.select_rules([" page_number_sequence_check ", "", "page_number_sequence_check"]) == ["page_number_sequence_check"]
     with pytest.raises(ValueError):
         layout.select_rules(["nothing"])
+
+
+def random_lines(seed: int) -> list[str]:
+    rng = random.Random(seed)
+    figure = lambda: f"{rng.choice(['图', '表', 'Figure', '公式'])} {rng.choice(['', '1-', '2-', '10.'])}{rng.randrange(1, 7)} x"
+    heading = lambda: f"{'.'.join(str(rng.randrange(1, 4)) for _ in range(rng.randrange(1, 4)))} 标题{rng.randrange(9)}"
+    entry = lambda: f"{heading()} ..... {rng.randrange(1, 30)}"
+    cite = lambda: "文" + "".join(f"[{rng.randrange(1, 12)}]" for _ in range(3)) + rng.choice(["", "[99999999999999999999]"])
+    return [rng.choice([figure, heading, entry, cite])() for _ in range(rng.choice([1, 40, 700]))]
+
+
+def plain_findings(texts: list[str]) -> dict[str, list[int]]:
+    """Lines (from 0) that each rule finds, in the rule's own order, by loops."""
+    out: dict[str, list[int]] = {"figures": [], "headings": [], "citations": [], "toc": []}
+    groups: dict = {}
+    for i, t in enumerate(texts):
+        if m := re.match(r"(图|表|Figure|公式) (?:(\d+)[-.])?(\d+) x$", t):
+            groups.setdefault(({"Figure": "图"}.get(m[1], m[1]), m[2]), []).append((i, int(m[3])))
+    for entries in groups.values():
+        expected = 1
+        for i, n in entries:
+            out["figures"] += [i] * (n != expected)
+            expected = max(expected, n) + 1
+    last: dict = {}
+    for i, t in enumerate(texts):
+        if m := re.match(layout.HEADING, t):
+            parent, _, current = m[1].rpartition(".")
+            out["headings"] += [i] * (int(current) != last.get(parent, 0) + 1)
+            last[parent] = int(current)
+    expected, seen = 1, set()
+    for i, t in enumerate(texts):
+        for n in map(int, re.findall(r"\[(\d+)\]", t)):
+            if n < 2**63 and n not in seen:
+                seen.add(n)
+                out["citations"] += [i] * (n != expected)
+                expected = max(expected, n) + 1
+    small = lambda t: re.sub(r"\s+", "", t).lower()
+    body = {small(t) for t in texts if not re.match(layout.TOC_ENTRY, t)}
+    for i, t in enumerate(texts):
+        if m := re.match(layout.TOC_ENTRY, t):
+            title = re.sub(r"[.．·…\s]+$", "", m[1]).strip()
+            out["toc"] += [i] * (title != "" and small(title) not in body)
+    return out
+
+
+FOLDS = {"figures": layout.figure_numbering, "headings": layout.heading_numbering, "citations": layout.citation_sequence, "toc": layout.toc_consistency}
+
+
+def test_sorted_folds_against_loops(spark):  # noqa: ANN001, ANN201
+    texts = {seed: random_lines(seed) for seed in range(24)}
+    rows = layout.gathered(spark.createDataFrame([r for d, ts in texts.items() for r in page(*ts, doc=d)], SCHEMA))
+    got = rows.select("doc_id", *[F.transform(f(F.col("lines")), lambda x: x["n"] - 1).alias(name) for name, f in FOLDS.items()]).collect()
+    assert len(got) == 24
+    for r in got:
+        assert {name: r[name] for name in FOLDS} == plain_findings(texts[r.doc_id]), r.doc_id
+    assert all(any(r[name] for r in got) for name in FOLDS)
+
+
+@pytest.mark.parametrize("name", sorted(FOLDS))
+def test_time_grows_as_the_lines(spark, name):  # noqa: ANN001, ANN201
+    text = {"figures": "图 {0}-2 x", "headings": "{0}.2 标题", "citations": "文[{0}]", "toc": "章{0} .... 3"}[name]
+
+    def took(n: int) -> float:
+        rows = spark.createDataFrame(page(*[text.format(n - i) for i in range(n)]), SCHEMA)
+        lines = layout.gathered(rows).cache()
+        lines.count()
+        began = time.perf_counter()
+        assert lines.select(F.size(FOLDS[name](F.col("lines"))).alias("k")).first().k > 0
+        lines.unpersist()
+        return time.perf_counter() - began
+
+    took(2000)
+    small, large = took(2000), took(20_000)
+    assert large < 12 * max(small, 0.4)
