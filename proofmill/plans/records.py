@@ -199,6 +199,12 @@ def quality_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.payloads(inputs.duplication(spark, sf_dir), inputs.reviews(spark, sf_dir))
 
 
+@query(sql("innovation", "select id, subject_id, thesis_title, created_at, score as total_score, null::varchar as grade_label from innovation"))
+def innovation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every owner's scored papers, newest first, with two fields of their snapshots."""
+    return store.scan(store.projected(inputs.innovation(spark, sf_dir), "scoring_snapshot_json", {"total_score": "double", "grade_label": "string"}))
+
+
 @query(sql("submissions tasks duplication innovation reviews", "select s.id, s.source_type, r.created_at as report_created, r.id is not null as found from submissions s left join (select 'view' t, id, subject_id, created_at from tasks union all select 'click', id, subject_id, created_at from duplication union all select 'signup', id, subject_id, created_at from innovation union all select 'purchase', id, subject_id, created_at from reviews) r on r.t = s.source_type and r.id = s.report_id and r.subject_id = s.student_id"))
 def submission_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all four kinds joined in one go."""

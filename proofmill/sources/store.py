@@ -36,6 +36,13 @@ def summaries(reports: DataFrame, result: str, counters: list[str]) -> DataFrame
     return reports.select(*[c for c in reports.columns if c != result], *[F.coalesce(F.get_json_object(result, f"$.summary.{c}").try_cast("long"), F.lit(0)).alias(c) for c in counters])
 
 
+def projected(rows: DataFrame, document: str, fields: dict[str, str]) -> DataFrame:
+    """Rows with fields of a JSON column, by name and type, in its place: null where the field is missing, of another type,
+    or the JSON is malformed. A field takes the place of a column of its name."""
+    kept = [c for c in rows.columns if c != document and c not in fields]
+    return rows.select(*[F.col(f"`{c}`") for c in kept], *[F.get_json_object(document, f"$.{name}").try_cast(kind).alias(name) for name, kind in fields.items()])
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

@@ -41,6 +41,12 @@ def test_summaries_have_defaults(spark):  # noqa: ANN001, ANN201
     assert out.columns == ["id", "finding_count", "rule_count"] and tuples(out, *out.columns) == [(1, 3, 0), (2, 0, 0), (3, 0, 0)]
 
 
+def test_fields_of_a_snapshot(spark):  # noqa: ANN001, ANN201
+    rows = spark.createDataFrame([(1, '{"total_score": 71.5, "grade_label": "良好", "more": {}}', "x"), (2, '{"total_score": "high"}', "x"), (3, "{", "x"), (4, None, "x")], "id int, snapshot string, grade_label string")
+    out = store.projected(rows, "snapshot", {"total_score": "double", "grade_label": "string"})
+    assert out.columns == ["id", "total_score", "grade_label"] and tuples(out, *out.columns) == [(1, 71.5, "良好"), (2, None, None), (3, None, None), (4, None, None)]
+
+
 def test_append_upsert_and_insert_missing(spark, tmp_path):  # noqa: ANN001, ANN201
     rows = lambda *x: spark.createDataFrame(list(x), "k string, n int, v string")
     old, new = rows(("a", 1, "x"), (None, 1, "y")), rows(("a", 2, "z"), (None, 0, "w"), ("b", 1, "q"))
