@@ -15,6 +15,7 @@ without a common gram have similarity 0 and only matter at a threshold of 0, whi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from math import ceil
 
 import numpy as np
@@ -98,8 +99,8 @@ def pair_scores(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
         index = shared.value
         for batch in batches:
             rows, units, scores = [], [], []
-            for row, text in enumerate(batch.column("_t").to_pylist()):
-                for unit, score, _ in index.matches(text or "", t):
+            for row, found in enumerate(index.matches_of([text or "" for text in batch.column("_t").to_pylist()], t)):
+                for unit, score, _ in found:
                     rows.append(row), units.append(unit), scores.append(score)
             if rows:
                 mine = batch.select(names).take(pa.array(rows))
@@ -233,8 +234,12 @@ def best_matches(docs: DataFrame, corpus: DataFrame, threshold: float = THRESHOL
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = [], []
-            for row, (text, lines) in enumerate(zip(batch.column("_t").to_pylist(), batch.column("lines").to_pylist(), strict=True)):
-                best, _ = best_samples(shared.value, [text or ""], [x["t"] for x in lines or []], t, threshold, most)
+            texts, each = [text or "" for text in batch.column("_t").to_pylist()], [lines or [] for lines in batch.column("lines").to_pylist()]
+            whole, passages = (side[0] for side in shared.value)
+            of_text, of_line = whole.candidates_of(texts, t), iter(passages.candidates_of([x["t"] for lines in each for x in lines], t))
+            for row, (text, lines) in enumerate(zip(texts, each, strict=True)):
+                found = [of_text[row], *islice(of_line, len(lines))]
+                best, _ = _best_of(shared.value, [text], [x["t"] for x in lines], found, threshold, most)
                 for rank, (sample, score, hits) in enumerate(best, 1):
                     ids.append(row)
                     out.append((sample, score, rank, [{"start": lines[i]["start"], "end": lines[i]["end"]} for i in hits]))
@@ -249,11 +254,16 @@ def best_matches(docs: DataFrame, corpus: DataFrame, threshold: float = THRESHOL
 
 def best_samples(sides: list[tuple[GramIndex, dict]], whole: list[str], lines: list[str], t: float, threshold: float, most: int) -> tuple[list[tuple], int]:
     """([(sample, score, lines that match one of its lines)] best first, pairs counted) of one document."""
+    return _best_of(sides, whole, lines, sides[0][0].candidates_of(whole, t) + sides[1][0].candidates_of(lines, t), threshold, most)
+
+
+def _best_of(sides: list[tuple[GramIndex, dict]], whole: list[str], lines: list[str], found: list[list[tuple[int, float]]], threshold: float, most: int) -> tuple[list[tuple], int]:
+    """``best_samples`` from the candidates of the whole texts and the lines."""
     units = [(0, text) for text in whole] + [(1, text) for text in lines]
     waiting = []
-    for i, (side, text) in enumerate(units):
+    for i, (side, _) in enumerate(units):
         index, owner = sides[side]
-        waiting += [(-bound, owner[index.ids[unit]], i, unit) for unit, bound in index.candidates(text, t)]
+        waiting += [(-bound, owner[index.ids[unit]], i, unit) for unit, bound in found[i]]
     waiting.sort()
     best: dict = {}
     counted: dict = {}

@@ -191,3 +191,21 @@ def test_an_empty_corpus_gives_no_pairs(spark):  # noqa: ANN001, ANN201
     none = spark.createDataFrame([], "item_id int, text string")
     assert similarity.document_pairs(docs, none, 0.3).collect() == []
     assert similarity.report_status("campus_corpus", none) == "no_samples" and similarity.report_status("campus_corpus", docs) == "completed"
+
+
+def test_candidates_of_many_texts_are_those_that_reach_the_threshold():  # noqa: ANN201
+    """All grams that two texts have in common are counted, so no pair is compared in vain; short, long and empty texts too."""
+    import random
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("aeiou nrst😀漢", k=rng.randint(1, 7))) for _ in range(40)]
+    make = lambda k: " ".join(rng.choices(words, k=k))
+    corpus = ["", "ab", "abcde", *(make(rng.randint(1, 30)) for _ in range(60))]
+    texts = ["", "ab", "abc", "abcde", "x" * 5000, make(4000), *(make(rng.randint(1, 40)) for _ in range(200)), *(t + "zz" for t in corpus)]
+    index = GramIndex(list(range(len(corpus))), corpus)
+    index.CHARS = 3000
+    for t in (0.1, 0.3, 0.65, 1.0):
+        scores = [{i: similarity.jaccard_of(similarity.gram_set(x), similarity.gram_set(c)) for i, c in enumerate(corpus) if x and c} for x in texts]
+        want = [{i: s for i, s in of.items() if s >= t} for of in scores]
+        assert [{i: s for i, s, _ in found} for found in index.matches_of(texts, t)] == want
+        assert [{index.ids[u]: bound for u, bound in found} for found in index.candidates_of(texts, t)] == want
