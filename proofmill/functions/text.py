@@ -27,6 +27,14 @@ def strip_left(text: Column) -> Column:
     return F.ltrim(text, F.lit(WHITE_SPACE))
 
 
+def others(marks: str) -> str:
+    """A pattern's class of all characters but these, as ranges. Java takes many times longer over a negated class of
+    characters in and beyond Latin-1."""
+    codes = sorted({ord(c) for c in marks})
+    ranges = [(a + 1, b - 1) for a, b in zip([-1, *codes], [*codes, 0x110000], strict=True) if a + 1 < b]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
 def compact(text: Column) -> Column:
     """Without white space, in lower case."""
     return F.lower(F.regexp_replace(text, "(?U)\\s+", ""))

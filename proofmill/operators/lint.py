@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.functions.text import fill, let, matches, scan, strip, strip_left
+from proofmill.functions.text import fill, let, matches, others, scan, strip, strip_left
 
 #: Rules, sections, words and pairs (fixed values).
 SECTIONS = ["摘要", "关键词", "引言", "结论", "参考文献"]
@@ -187,7 +187,8 @@ def long_sentences(text: Column, line: Column, most: int = MAX_SENTENCE) -> Colu
     """Sentences over the limit; and lines over it that end without a mark, once more."""
     issue = lambda column, value: _issue("NORM-006", "medium", line, column, value, "long", most=F.lit(most), n=F.length(value))
     # Only a run of so many characters can be one, and it is tried from its own start on alone.
-    each = F.filter(matches(text, f"(?<![^。！？!?\\n])[^。！？!?\\n]{{{max(most, 1)},}}+[。！？!?]?"), lambda m: F.length(strip(m["value"])) > most)
+    inside = others("。！？!?\n")
+    each = F.filter(matches(text, f"(?<!{inside}){inside}{{{max(most, 1)},}}+[。！？!?]?"), lambda m: F.length(strip(m["value"])) > most)
     whole = strip(text)
     open_end = _some(~text.rlike("[。！？!?](?U:\\s)*\\z") & (F.length(whole) > most), issue(1, whole))
     none = F.array().cast(f"array<{_KIND}>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from proofmill.operators import lint
 
@@ -153,3 +154,15 @@ def test_the_stack_grows_as_the_marks(spark):  # noqa: ANN001, ANN201
     took('"' * 4000)
     small, large = took('"' * 4000), took('"' * 40_000)
     assert large[1] == 40_000 and large[0] < 12 * max(small[0], 0.5)
+
+
+def test_classes_of_other_characters_are_ranges(spark):  # noqa: ANN001, ANN201
+    import re
+
+    from proofmill.functions.text import others
+
+    assert others("b!。!") == r"[\x{0}-\x{20}\x{22}-\x{61}\x{63}-\x{3001}\x{3003}-\x{10FFFF}]"
+    assert others("\0\1" + chr(0x10FFFF)) == r"[\x{2}-\x{10FFFE}]"
+    # A negated class is what takes long.
+    plan = lint.found_in(F.col("text"))._jc.toString()
+    assert not re.search(r"\[\^[^\]]*。", plan)
