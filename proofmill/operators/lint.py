@@ -47,7 +47,9 @@ MESSAGES = {
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, text): lines end with a line feed, with or without a carriage return."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\r?\n")).alias("_n", "text")).select("doc_id", (F.col("_n") + 1).alias("line"), "text")
+    # Splitting at one character needs no pattern.
+    parts = F.when(F.col(text_col).contains("\r"), F.split(text_col, "\r?\n")).otherwise(F.split(text_col, "\n"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("_n", "text")).select("doc_id", (F.col("_n") + 1).alias("line"), "text")
 
 
 def _issue(rule: str, severity: str, line: Column, column: Column | int, excerpt: Column, says: str, **values: Column) -> Column:

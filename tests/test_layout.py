@@ -9,7 +9,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from proofmill.operators import layout
+from proofmill.functions.text import WHITE_SPACE
+from proofmill.operators import layout, lint
 
 SCHEMA = "doc_id int, page_number int, reading_order int, x1 double, y1 double, y2 double, height double, text string"
 
@@ -201,3 +202,48 @@ def test_time_grows_as_the_lines(spark, name):  # noqa: ANN001, ANN201
     took(2000)
     small, large = took(2000), took(20_000)
     assert large < 12 * max(small, 0.4)
+
+
+def test_lines_end_with_a_line_feed_and_one_carriage_return(spark):  # noqa: ANN001, ANN201
+    texts = ["a\r\n\nb\r", "\r\r\n\n\r", "a\nb\n", "", "x\ry", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted((r.doc_id, r.line, r.text) for r in lint.lines(docs).collect())
+    assert got == [(i, n, t) for i, text in enumerate(texts) if text is not None for n, t in enumerate(re.split("\r?\n", text), 1)]
+
+
+def test_any_white_space_at_the_ends_goes(spark):  # noqa: ANN001, ANN201
+    texts = [f"{c}a{c}b{d}" for c in WHITE_SPACE for d in ("", c)] + [f"\u00fc{c}" for c in WHITE_SPACE] + list(WHITE_SPACE)
+    got = layout.gathered(spark.createDataFrame(page(*texts), SCHEMA)).first()
+    assert [x.text for x in got.lines] == [t.strip(WHITE_SPACE) for t in texts if t.strip(WHITE_SPACE)]
+
+
+def test_words_of_sections_and_covers_with_white_space_inside(found):  # noqa: ANN001, ANN201
+    rule = "required_section_completeness_check"
+    # The cover's words go on in the next line; a Kelvin sign is a k in lower case, a long s is no s.
+    assert found(rule, page("硕 士 论", "\u3000文", "A b\u00a0S\u3000tract", "\u212aEY WORDS", "C ontents", "Bibliography of it")) == []
+    bare = page("硕士", "论", "Ab\u017ftract", "Bib", "目", "文 录", number=1) + page("硕士论文", "the references", number=2)
+    assert [m for _, m, _ in found(rule, bare)] == ["首页未识别到学位论文封面标识。"] + [f"未识别到必备章节“{x}”。" for x in ("摘要", "关键词", "目录", "参考文献")]
+
+
+def test_entries_of_contents_end_with_a_digit_and_wide_characters_are_found_in_any_text(found):  # noqa: ANN001, ANN201
+    assert [t for t, _, _ in found("toc_body_heading_consistency_check", page("甲\r\r12", "乙....3", "丙....x", "丁....", "戊 4", "己  5"))] == ["甲\r\r12", "乙....3", "己  5"]
+    edges = ["Ａ", "Ｚ", "ａ", "ｚ", "０", "９", "\u4e00,\u9fff", "\u9fff;\u4e00"]
+    assert [t for t, _, _ in found("chinese_english_symbol_mix_check", page(*edges, "\uff0f", "\uff5b", "ü,ü", "a,b", "中,a"))] == edges
+
+
+def test_long_lines_of_plain_prose_take_little_time(spark):  # noqa: ANN001, ANN201
+    """A pattern that tries every place, or a text made compact for the sake of its beginning, takes over 20 microseconds a line of 1000 characters."""
+    rows = spark.createDataFrame(page(*["word of prose, " * 66] * 20), SCHEMA)
+    many = layout.gathered(rows).crossJoin(spark.range(2000)).selectExpr("id as doc_id", "lines").repartition(1).cache()
+    many.count()
+
+    def took(frame):  # noqa: ANN001, ANN202
+        began = time.perf_counter()
+        frame.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    toc, sections = (many.select(f(F.col("lines")).alias("k")) for f in (lambda x: layout._lacks("toc_body_heading_consistency_check", x), layout.required_sections))
+    took(toc), took(sections)
+    few = took(toc), took(sections)
+    many.unpersist()
+    assert max(few) < 40_000 * 20e-6, few
