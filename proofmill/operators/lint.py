@@ -170,7 +170,8 @@ def trailing_blanks(text: Column, line: Column) -> Column:
 
 def repeated_words(text: Column, line: Column) -> Column:
     """A word and white space and the same again. No boundary is asked for after it: 'a apple' counts."""
-    pattern = "(?:^|(?U:\\s))([\\p{L}0-9]++)(?:(?U:\\s+)\\1)+"
+    # Nothing in it is given back: for that Java would go a call deeper at each repetition, until the executor's stack ends.
+    pattern = "(?:^|(?U:\\s))([\\p{L}0-9]++)(?:(?U:\\s++)\\1)++"
 
     def issue(m: Column) -> Column:
         word, value = F.regexp_extract(m["value"], pattern, 1), F.regexp_replace(m["value"], "^(?U:\\s)", "")

@@ -106,6 +106,10 @@ def test_repeated_words(found):  # noqa: ANN001, ANN201
     ]
 
 
+def test_a_long_run_of_a_word_is_one_issue(found):  # noqa: ANN001, ANN201
+    assert places(found("x " + "ab  " * 20000 + "abc ab", "repeated_words")) == [(1, 3, "ab  a")]
+
+
 def test_banned_words(found):  # noqa: ANN001, ANN201
     assert [(line, c, e, m) for _, _, line, c, e, m, _ in found("显然必须显然\n众所周知", "banned_words")] == [(1, 1, "显然", "包含禁用词“显然”"), (1, 3, "必须", "包含禁用词“必须”"), (1, 5, "显然", "包含禁用词“显然”"), (2, 1, "众所周知", "包含禁用词“众所周知”")]
 
